@@ -35,6 +35,43 @@ def value_bucket(value: Column, per_doubling: int = 1024) -> Column:
     return (F.signum(value) * F.floor(F.log2(F.abs(value) + 1.0) * per_doubling)).cast("bigint")
 
 
+def rank_values(frequencies: DataFrame, keys: Sequence[str], targets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(keys, q, rank_value): for each target (keys, q, rank) the least value with at least `rank` weighted values at or below it.
+
+    frequencies is (keys, value, n) with one row per key and value; a target whose rank is above the key's weight, or
+    not positive, has no row. No key's values are gathered: the weights of value buckets (at most 1024 for each
+    doubling of the value's size) say which bucket holds the rank, and only the values of these buckets are sorted,
+    each bucket for itself.
+    """
+    k = list(keys)
+    valued = frequencies.filter("value IS NOT NULL").select(*k, "value", "n", value_bucket(F.col("value")).alias("bucket"))
+    weights = valued.groupBy(*k, "bucket").agg(F.sum("n").alias("weight"))
+    upward = Window.partitionBy(*k).orderBy("bucket")
+    before = F.coalesce(F.sum("weight").over(upward.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    weights = weights.select(*k, "bucket", "weight", before.alias("before"))
+    aimed = targets.select(*(col(c).alias(f"t_{c}") for c in k), "q", "rank")
+    held = weights.join(aimed, _same(k, weights, aimed, "t_"))
+    held = held.filter("rank > before AND rank <= before + weight").select(*(col(c).alias(f"h_{c}") for c in k), F.col("bucket").alias("h_bucket"), "before", "q", "rank")
+    held = scratch.table(held, "held")
+    same = _same(k, valued, held, "h_") & (valued["bucket"] == held["h_bucket"])
+    in_bucket = Window.partitionBy(*k, "q", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = valued.join(held, same).select(*k, "q", "bucket", "value", "rank", (F.col("before") + F.sum("n").over(in_bucket)).alias("upto")).filter("upto >= rank")
+    return reached.groupBy(*k, "q").agg(F.min("value").alias("rank_value"))
+
+
+def _same(k: Sequence[str], left: DataFrame, right: DataFrame, prefix: str) -> Column:
+    cond = left[k[0]].eqNullSafe(right[prefix + k[0]])
+    for c in k[1:]:
+        cond = cond & left[c].eqNullSafe(right[prefix + c])
+    return cond
+
+
+def rank_of(n: Column, share: tuple[int, int]) -> Column:
+    """The least rank that covers p/q of n values: ceil(n * p / q), exactly."""
+    p, q = share
+    return F.ceil(n.cast("decimal(20,0)") * F.lit(p).cast("decimal(9,0)") / F.lit(q).cast("decimal(9,0)")).cast("bigint")
+
+
 def key_profiles(frequencies: DataFrame, scratch: Scratch, quantiles: Mapping[str, tuple[int, int]] | None = None) -> DataFrame:
     """One row per field and key from weighted values: n, n_values, distinct_values, total, min, max, mode, percentiles.
 
@@ -42,9 +79,7 @@ def key_profiles(frequencies: DataFrame, scratch: Scratch, quantiles: Mapping[st
     key's values at or below it. All results are exact. The mode is the commonest value, of equally common ones the
     least. NULL values count in n only. An empty input gives an empty result.
 
-    Scale: sums of one key are combined map-side. For percentiles no key's values are gathered: the weights of value
-    buckets (at most 1024 for each doubling of the value's size) say which bucket holds the rank, and only the values
-    of these buckets are sorted, each bucket for itself.
+    Scale: sums of one key are combined map-side; percentiles are found by rank_values.
     """
     frequencies = scratch.table(frequencies, "frequencies")
     value, n = F.col("value"), F.col("n")
@@ -64,26 +99,10 @@ def key_profiles(frequencies: DataFrame, scratch: Scratch, quantiles: Mapping[st
     if any(not 0 < p <= q for p, q in quantiles.values()):
         raise ConfigError("a quantile is a share p/q with 0 < p <= q")
     profiles = scratch.table(profiles, "profiles")
-    valued = frequencies.filter(value.isNotNull()).withColumn("bucket", value_bucket(value))
-    weights = valued.groupBy("field_name", "key_id", "bucket").agg(F.sum(n).alias("weight"))
-    upward = Window.partitionBy("field_name", "key_id").orderBy("bucket")
-    before = F.coalesce(F.sum("weight").over(upward.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    whole = F.sum("weight").over(Window.partitionBy("field_name", "key_id"))
     names = list(quantiles)
-    ranks = F.array(*(F.struct(F.lit(i).alias("q"), F.ceil(F.col("whole") * F.lit(p).cast("decimal(20,0)") / F.lit(q).cast("decimal(20,0)")).cast("bigint").alias("rank")) for i, (p, q) in enumerate(quantiles.values())))
-    held = weights.select("field_name", "key_id", "bucket", "weight", before.alias("before"), whole.alias("whole")).withColumn(
-        "ranks", F.filter(ranks, lambda r: (r["rank"] > F.col("before")) & (r["rank"] <= F.col("before") + F.col("weight")))
-    )
-    held = scratch.table(held.filter(F.size("ranks") > 0).select("field_name", "key_id", "bucket", "before", "ranks"), "held")
-    in_bucket = Window.partitionBy("field_name", "key_id", "bucket").orderBy("value")
-    keys = [valued[c].eqNullSafe(held[c]) for c in ("field_name", "key_id", "bucket")]
-    reached = (
-        valued.join(held, keys[0] & keys[1] & keys[2])
-        .select(valued["field_name"], valued["key_id"], valued["bucket"], "value", "n", "before", "ranks")
-        .withColumn("upto", F.col("before") + F.sum("n").over(in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .withColumn("rank", F.explode("ranks"))
-        .filter(F.col("upto") >= F.col("rank.rank"))
-    )
-    found = reached.groupBy("field_name", "key_id").agg(*(F.min(F.when(F.col("rank.q") == i, F.col("value"))).alias(c) for i, c in enumerate(names)))
+    ranks = F.explode(F.array(*(F.struct(F.lit(i).alias("q"), rank_of(F.col("n_values"), share).alias("rank")) for i, share in enumerate(quantiles.values()))))
+    targets = profiles.select("field_name", "key_id", ranks.alias("r")).select("field_name", "key_id", "r.q", "r.rank")
+    values = rank_values(frequencies, ["field_name", "key_id"], targets, scratch)
+    found = values.groupBy("field_name", "key_id").agg(*(F.min(F.when(F.col("q") == i, F.col("rank_value"))).alias(c) for i, c in enumerate(names)))
     same = profiles["field_name"].eqNullSafe(found["field_name"]) & profiles["key_id"].eqNullSafe(found["key_id"])
     return profiles.join(found, same, "left").select(*(profiles[c] for c in profiles.columns), *(found[c] for c in names))
