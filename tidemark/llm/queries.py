@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.canon import ARCHETYPES, code_of, value_of
+from tidemark.llm.encodings import find_garbled, restore
 from tidemark.llm.grouped_splits import grouped_splits
 from tidemark.llm.mixing import Mix, mix_sources
 from tidemark.llm.packing import fill_report, pack
@@ -108,7 +109,16 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).report.filter("cap_tokens < target_tokens").select("source")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_percentiles, p4_estimates, p5_found, p5_splits, p8_found, p8_fill, p8_containers, p9_found, p9_shares, p9_plan)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_garbled(table(spark, sf_dir, "documents"), Scratch(spark, "p10")).documents.select("doc_id")
+
+
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return restore(documents, find_garbled(documents, Scratch(spark, "p10")))
+
+
+QUERIES = {f.__name__: f for f in (p10_found, p10_restored, p4_found, p4_percentiles, p4_estimates, p5_found, p5_splits, p8_found, p8_fill, p8_containers, p9_found, p9_shares, p9_plan)}
 
 _OWNED = """t AS (SELECT event_id, min(src_account_id) AS src_account_id, min(amount_minor) AS amount_minor FROM transactions GROUP BY event_id),
 a AS (SELECT account_id, min(owner_person_id) AS owner_person_id FROM accounts GROUP BY account_id),
