@@ -315,7 +315,7 @@ def find_garbled(
     doc_id: str = "doc_id",
     text: str = "text",
     rounds: int = 3,
-    margins: tuple[float, float] = (8.0, 25.0),
+    margins: tuple[float, float] = (4.0, 25.0),
     together: float = 25.0,
     false_share: float = 1e-3,
 ) -> Garbled:
