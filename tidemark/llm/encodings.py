@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import ConfigError
 from tidemark.functions.canon import col
-from tidemark.session import Scratch
+from tidemark.session import Scratch, arrow_batches
 
 # Encodings that UTF-8 or single-byte text is wrongly read in, and single-byte ones that it is written in.
 READ_AS = ("cp1252", "latin_1", "mac_roman", "cp850", "cp437", "cp1251", "koi8_r", "cp866", "cp1250", "iso8859_2")
@@ -31,6 +31,7 @@ SPAN = re.compile(r"[0-9A-Za-z]*[^\x00-\x7f](?:[0-9A-Za-z]|[^\x00-\x7f])*")
 # Markup that shows characters as they are: \verb, code commands and verbatim environments.
 SHOWN = re.compile(r"\\(?:verb|lstinline)\*?([^A-Za-z\s*{])[^\n]*?\1|\\(?:texttt|lstinline|code|url|path)\s*\{[^{}]*\}|\\begin\{(verbatim\*?|Verbatim|lstlisting|alltt)\}.*?\\end\{\2\}", re.S)
 LOST = "\ufffd"
+TEXTS_AT_ONCE, SPANS_AT_ONCE = 256, 1_000
 SLOTS3, SLOTS2, POINTS = 1 << 21, 1 << 18, 0x110000
 
 
@@ -351,16 +352,19 @@ def find_garbled(
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[1] for f in found], pa.bool_())], names=["doc_id", "spans", "lost"])
 
     kept = d.mapInArrow(extract, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, spans array<string>, lost boolean")
-    kept = scratch.table(kept, "spans")
+    with arrow_batches(spark, TEXTS_AT_ONCE):
+        kept = scratch.table(kept, "spans")
     vocabulary = scratch.table(kept.select(F.explode("spans").alias("span")).groupBy("span").agg(F.count(F.lit(1)).alias("n")), "vocabulary")
-    options = scratch.table(vocabulary.select("span").repartition("span").mapInArrow(_list_options, _OPTIONS), "options")
+    with arrow_batches(spark, SPANS_AT_ONCE):
+        options = scratch.table(vocabulary.select("span").repartition("span").mapInArrow(_list_options, _OPTIONS), "options")
     counts = vocabulary
     for turn in range(rounds):
         last = turn + 1 == rounds
         model = train(counts)
         shared = spark.sparkContext.broadcast((model.n3, model.n2, model.n1))  # of fixed size
         weighed = options.join(counts, "span").select("span", "n", "texts", "chains", "kinds")
-        scored = scratch.table(weighed.mapInArrow(_scorer(shared), _SCORED), f"scored{turn}")
+        with arrow_batches(spark, SPANS_AT_ONCE):
+            scored = scratch.table(weighed.mapInArrow(_scorer(shared), _SCORED), f"scored{turn}")
         limits = _validated(scored, margins, false_share) if last else margins
         suspects = scratch.table(scored.filter("margin0 > 2.5 OR margin1 > 2.5").select("span", *(F.coalesce(f"margin{k}", F.lit(-1e3)).alias(f"margin{k}") for k in (0, 1)), "chain0", "chain1"), f"suspects{turn}")
         hits = kept.select("doc_id", F.explode("spans").alias("span")).join(suspects, "span")
