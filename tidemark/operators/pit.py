@@ -81,7 +81,7 @@ def balance_at(cutoffs: DataFrame, transactions: DataFrame, accounts: DataFrame)
     order = F.struct("ts", "event_id", "is_credit")
     closing = own.groupBy("account_id", "e_day").agg(F.max_by("after", order).alias("closing"))
     asked = cutoffs.select("row_id", "account_id", "t", day_of("t").alias("t_day"))
-    marks = closing.select("account_id", F.col("e_day").alias("day"), "closing", F.lit(None).cast("bigint").alias("row_id")).unionByName(asked.select("account_id", F.col("t_day").alias("day"), F.lit(None).cast("bigint").alias("closing"), "row_id"))
+    marks = closing.select("account_id", F.col("e_day").alias("day"), "closing", F.lit(None).cast(cutoffs.schema["row_id"].dataType).alias("row_id")).unionByName(asked.select("account_id", F.col("t_day").alias("day"), F.lit(None).cast("bigint").alias("closing"), "row_id"))
     earlier = Window.partitionBy("account_id").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
     carried = marks.withColumn("carried", F.last("closing", ignorenulls=True).over(earlier)).filter("row_id IS NOT NULL").select("row_id", "carried")
     today = asked.join(own.select(F.col("account_id").alias("e_account"), "e_day", "ts", "event_id", "is_credit", "after"), (F.col("account_id") == F.col("e_account")) & (F.col("t_day") == F.col("e_day")) & (F.col("ts") <= F.col("t")))

@@ -49,3 +49,17 @@ def last_before(df: DataFrame, value: Column, name: str) -> DataFrame:
     within = in_order("account_id", "__day").rowsBetween(Window.unboundedPreceding, -1)
     both = marked.withColumn("__within", F.last("__value", ignorenulls=True).over(within)).join(carried, (F.col("account_id") == F.col("__account")) & (F.col("__day") == F.col("__of")))
     return both.select(*df.columns, F.coalesce("__within", "__carried").alias(name))
+
+
+def running_total(df: DataFrame, value: str, name: str) -> DataFrame:
+    """df of sides with the running sum of `value` along its account up to and including the row.
+
+    Two levels like last_before: within a day by a window, and over the days by their sums.
+    """
+    marked = df.withColumn("__day", day_of("ts"))
+    daily = marked.groupBy("account_id", "__day").agg(F.sum(value).alias("__sum"))
+    earlier = Window.partitionBy("account_id").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = daily.select(F.col("account_id").alias("__account"), F.col("__day").alias("__of"), F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__carried"))
+    within = in_order("account_id", "__day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = marked.withColumn("__within", F.sum(value).over(within)).join(carried, (F.col("account_id") == F.col("__account")) & (F.col("__day") == F.col("__of")))
+    return both.select(*df.columns, (F.col("__within") + F.col("__carried")).alias(name))
