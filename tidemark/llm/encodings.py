@@ -27,7 +27,9 @@ WRITTEN_IN = ("cp1252", "cp1250", "iso8859_2", "cp1251", "koi8_r", "cp866", "mac
 DROPPED = {"latin_1": frozenset(range(0x80, 0xA0)), "cp1252": frozenset((0x81, 0x8D, 0x8F, 0x90, 0x9D)), "cp1251": frozenset((0x98,))}
 DEPTH = 3  # how often a text may have gone through UTF-8 wrongly
 
-SPAN = re.compile(r"[0-9A-Za-z]*[^\x00-\x7f](?:[0-9A-Za-z]|[^\x00-\x7f])*")
+# A span from its first non-ASCII character on; what stands before is found backwards, so that ASCII text is only scanned.
+TAIL = re.compile(r"[^\x00-\x7f](?:[0-9A-Za-z]|[^\x00-\x7f])*")
+ALPHANUMERIC = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 # Markup that shows characters as they are: \verb, code commands and verbatim environments.
 SHOWN = re.compile(r"\\(?:verb|lstinline)\*?([^A-Za-z\s*{])[^\n]*?\1|\\(?:texttt|lstinline|code|url|path)\s*\{[^{}]*\}|\\begin\{(verbatim\*?|Verbatim|lstlisting|alltt)\}.*?\\end\{\2\}", re.S)
 LOST = "\ufffd"
@@ -128,11 +130,22 @@ def outside_shown(text: str) -> Iterator[tuple[int, int]]:
     yield at, len(text)
 
 
+def span_places(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Start and end of the spans in a part of a text."""
+    least = start
+    for m in TAIL.finditer(text, start, end):
+        i = m.start()
+        while i > least and text[i - 1] in ALPHANUMERIC:
+            i -= 1
+        least = m.end()
+        yield i, least
+
+
 def spans_of(text: str) -> tuple[list[str], bool]:
     """The distinct spans outside shown parts, and whether a replacement character is among them."""
     found: set[str] = set()
     for start, end in outside_shown(text):
-        found.update(SPAN.findall(text, start, end))
+        found.update(text[i:j] for i, j in span_places(text, start, end))
     return sorted(found), any(LOST in s for s in found)
 
 
@@ -426,8 +439,9 @@ def restore(documents: DataFrame, garbled: Garbled, *, doc_id: str = "doc_id", t
                 to = {p["span"]: p["reading"] for p in pairs or ()}
                 parts, at = [], 0
                 for start, end in outside_shown(whole):
-                    parts += [whole[at:start], SPAN.sub(lambda m, to=to: to.get(m.group(), m.group()), whole[start:end])]
-                    at = end
+                    for i, j in span_places(whole, start, end):
+                        parts += [whole[at:i], to.get(whole[i:j], whole[i:j])]
+                        at = j
                 done.append("".join([*parts, whole[at:]]))
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["text"], pa.array(done, pa.string())], names=["doc_id", "text", "restored"])
 
