@@ -368,8 +368,9 @@ def find_garbled(
     with arrow_batches(spark, TEXTS_AT_ONCE):
         kept = scratch.table(kept, "spans")
     vocabulary = scratch.table(kept.select(F.explode("spans").alias("span")).groupBy("span").agg(F.count(F.lit(1)).alias("n")), "vocabulary")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # named, so that few bytes are not gathered in few tasks
     with arrow_batches(spark, SPANS_AT_ONCE):
-        options = scratch.table(vocabulary.select("span").repartition("span").mapInArrow(_list_options, _OPTIONS), "options")
+        options = scratch.table(vocabulary.select("span").repartition(tasks, "span").mapInArrow(_list_options, _OPTIONS), "options")
     counts = vocabulary
     for turn in range(rounds):
         last = turn + 1 == rounds
