@@ -55,3 +55,8 @@ def with_keyed_uniform(df: DataFrame, key: int | Column, ids: Column, name: str
     k = _long(key) if isinstance(key, int) else key
     with wrapping(df.sparkSession):
         return df.withColumn(name, unit_uniform(splitmix64(splitmix64(ids.cast("bigint").bitwiseXOR(k)))))
+
+
+def hashed_uniform(name: str, *ids: Column) -> Column:
+    """A uniform number in (0, 1) from a name and any number of ids, by xxHash64: one small expression, also for many ids."""
+    return unit_uniform(F.xxhash64(_long(stable_key(name)), *(i.cast("bigint") for i in ids)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import ConfigError, InvariantViolation
 from tidemark.functions.ids import ACCOUNT_INTERNAL, kind_of
-from tidemark.functions.keyed import stable_key, with_keyed_uniform
+from tidemark.functions.keyed import hashed_uniform, stable_key, with_keyed_uniform
 from tidemark.functions.timebase import DAY, snapshot_cutoff
 from tidemark.operators.truth import union_points
 from tidemark.sources.digest import multiset_digest
@@ -97,14 +97,10 @@ def rendezvous_partition(accounts: DataFrame, cells: int, share_none: float, key
     """
     if cells < 1 or not 0 < share_none < 1:
         raise ConfigError("at least one cell, and a share between 0 and 1")
-    from tidemark.functions.keyed import _long, splitmix64, unit_uniform, wrapping
-
     eligible = 1 - share_none
     weights = [cells * (1 - eligible) / eligible] + [1.0] * cells
-    with wrapping(accounts.sparkSession):
-        ids = F.col("account_id").cast("bigint")
-        scores = [F.struct((F.lit(-w) / F.log(unit_uniform(splitmix64(splitmix64(ids.bitwiseXOR(_long(stable_key(f"{key}/{i}")))))))).alias("score"), F.lit(-i).alias("first")) for i, w in zip(range(-1, cells), weights, strict=True)]
-        return accounts.select("account_id", (-F.array_max(F.array(*scores))["first"]).alias("cell"))
+    scores = [F.struct((F.lit(-w) / F.log(hashed_uniform(key, F.col("account_id"), F.lit(i)))).alias("score"), F.lit(-i).alias("first")) for i, w in zip(range(-1, cells), weights, strict=True)]
+    return accounts.select("account_id", (-F.array_max(F.array(*scores))["first"]).alias("cell"))
 
 
 def reference_pool(eligible: DataFrame, everyone: DataFrame, fraction: float, key: str, method: str) -> DataFrame:
