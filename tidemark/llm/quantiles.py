@@ -28,14 +28,14 @@ def rank_error(k: int) -> float:
 def sketches(df: DataFrame, groups: Sequence[str], value: str, k: int = K) -> DataFrame:
     """(groups, sketch): one mergeable sketch per group. Each task sends one sketch per group, so hot groups are harmless.
 
-    NULL values are left out; a group of only NULL values has a NULL sketch; NULL is a group like any other.
+    NULL values are left out; a group of only NULL values has an empty sketch; NULL is a group like any other.
     """
     return df.groupBy(*map(col, groups)).agg(F.kll_sketch_agg_bigint(col(value).cast("bigint"), k).alias("sketch"))
 
 
 def merge_sketches(parts: DataFrame, groups: Sequence[str], k: int = K) -> DataFrame:
-    """(groups, sketch): sketches of separate partitions, days or batches, merged level by level."""
-    return parts.filter("sketch IS NOT NULL").groupBy(*map(col, groups)).agg(F.kll_merge_agg_bigint("sketch", k).alias("sketch"))
+    """(groups, sketch): sketches of separate partitions, days or batches, merged level by level; a group without values has none."""
+    return parts.filter(F.kll_sketch_get_n_bigint("sketch") > 0).groupBy(*map(col, groups)).agg(F.kll_merge_agg_bigint("sketch", k).alias("sketch"))
 
 
 def estimates(merged: DataFrame, groups: Sequence[str], shares: Mapping[str, tuple[int, int]]) -> DataFrame:
