@@ -33,3 +33,9 @@ def test_small_batches_give_the_same(spark, tmp_path):
     found = {(r["entity"], r["kind"]): (r["n"], r["total"]) for r in run(spark, tmp_path, max_bytes_per_batch=1).collect()}
     assert sum(n for n, _ in found.values()) == 40 and sum(t for _, t in found.values()) == sum(range(40))
     assert len({p.name for p in (tmp_path / "table").iterdir() if p.name.startswith("batch=")}) == 4
+
+
+def test_no_rows_and_no_files(spark, tmp_path):
+    spark.createDataFrame([], SHAPE).coalesce(1).write.parquet(str(tmp_path / "in"))
+    assert run(spark, tmp_path).count() == 0
+    assert read_entity_features(spark, f"file://{tmp_path}/nothing", 5).count() == 0

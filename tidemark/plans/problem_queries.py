@@ -46,9 +46,8 @@ def p2_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = Scratch(spark, "p2").table(p2_profiles(spark, sf_dir), "all")
-    everything = profiles.filter("field_name = 'dst_account_id'").agg(F.sum("n").alias("everything"))  # one row
-    heavy = F.col("key_id").isNotNull() & (100 * F.col("n") >= HEAVY_PERCENT * F.col("everything"))
-    return profiles.join(F.broadcast(everything)).filter(heavy).select("field_name", "key_id")
+    everything = profiles.filter("field_name = 'dst_account_id'").agg(F.sum("n")).first()[0] or 0
+    return profiles.filter(F.col("key_id").isNotNull() & (100 * F.col("n") >= F.lit(HEAVY_PERCENT * everything))).select("field_name", "key_id")
 
 
 def p3_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,9 +98,13 @@ def update_entity_features(
 
 
 def read_entity_features(spark: SparkSession, table: str, n_types: int) -> DataFrame:
-    """(entity, count_i, total_i, last_i …): the latest row of each entity."""
+    """(entity, count_i, total_i, last_i …): the latest row of each entity; empty before the first batch."""
+    names = feature_columns(n_types)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/batch=*")
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target):
+        return spark.createDataFrame([], "entity bigint, " + ", ".join(f"{c} bigint" for c in names))
     rows = spark.read.option("basePath", table).parquet(f"{table}/batch=*")
-    values = F.struct(*feature_columns(n_types))
+    values = F.struct(*names)
     return rows.groupBy("entity").agg(F.max_by(values, F.col("batch")).alias("v")).select("entity", "v.*")
 
 
