@@ -138,10 +138,10 @@ def mix_sources(
     plan = rows.join(f.select("source_no", "source"), "source_no").select("doc_id", "source", "repeat_no", "size", "shard", F.row_number().over(local).alias("position"))
     plan = scratch.table(plan, "plan")
     reached = plan.groupBy("source").agg(F.sum("size").alias("drawn_tokens"), F.count(F.lit(1)).alias("drawn_documents"), (F.max("repeat_no") + 1).alias("repeats"))
-    everything = reached.agg(F.sum("drawn_tokens").alias("everything"))  # one row
+    everything = plan.agg(F.sum("size")).first()[0] or 0
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    report = f.join(reached, "source", "left").join(F.broadcast(everything)).select(
+    report = f.join(reached, "source", "left").select(
         "source", "target_share", "max_repeats", "target_tokens", "available_tokens", "cap_tokens", zero("drawn_tokens"), zero("drawn_documents"), zero("repeats"),
-        F.when(F.col("everything") > 0, F.coalesce(F.col("drawn_tokens"), F.lit(0)) / F.col("everything")).otherwise(0.0).alias("actual_share"),
+        (F.coalesce(F.col("drawn_tokens"), F.lit(0)) / F.lit(max(1, everything))).alias("actual_share"),
     )
     return Mix(plan, report)
