@@ -50,6 +50,11 @@ def test_files(spark, tmp_path):
     assert spark.read.option("header", True).csv(path).count() == 5
     files.write_dataset({"accounts": w.accounts(spark)}, {"seed": 1}, folder)
     assert files.create_views(spark, folder) == ["accounts"] and spark.sql("SELECT count(*) FROM accounts").first()[0] == 5
+    import pyarrow as pa
+
+    assert files.from_arrow(spark, "atms", pa.table({"region": [1], "atm_id": [5]})).dtypes == [("atm_id", "bigint"), ("region", "smallint")]
+    with pytest.raises(TypeError):
+        files.from_arrow(spark, "atms", [1])
     (tmp_path / "f").write_bytes(b"abc")
     assert files.file_sha256(tmp_path / "f") == "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import InvariantViolation
 from tidemark.functions.timebase import day_of
-from tidemark.operators.sides import SETTLED, in_order, running_total, sides
+from tidemark.operators.sides import SETTLED, in_order, order_number, running_total, sides
 
 Tables = Mapping[str, DataFrame]
 
@@ -86,7 +86,7 @@ def balances(t: Tables, kinds: tuple[str, ...] = ("internal", "external")) -> Da
     within = in_order("account_id", "day")
     led = led.withColumn("prev", F.lag("after").over(within))
     first = F.col("prev").isNull()
-    closing = led.groupBy("account_id", "day").agg(F.max_by("after", F.struct("ts", "event_id", "is_credit")).alias("closing"))
+    closing = led.groupBy("account_id", "day").agg(F.max_by("after", order_number()).alias("closing"))
     before = closing.select(F.col("account_id").alias("c_account"), F.col("day").alias("c_day"), F.lag("closing").over(Window.partitionBy("account_id").orderBy("day")).alias("closing_before"))
     led = led.join(before, (F.col("account_id") == F.col("c_account")) & (F.col("day") == F.col("c_day")))
     prev = F.coalesce("prev", F.when(first, F.coalesce("closing_before", "initial_balance_minor")))
@@ -106,7 +106,7 @@ def balances(t: Tables, kinds: tuple[str, ...] = ("internal", "external")) -> Da
 def daily_drift(t: Tables, days: int, kinds: tuple[str, ...] = ("internal", "external")) -> DataFrame:
     """(day, drift): how far the recorded balances of all accounts together are from their initial total after each day."""
     led = _ledger(t, kinds).withColumn("day", day_of("ts"))
-    closing = led.groupBy("account_id", "day", "initial_balance_minor").agg(F.max_by("after", F.struct("ts", "event_id", "is_credit")).alias("closing"))
+    closing = led.groupBy("account_id", "day", "initial_balance_minor").agg(F.max_by("after", order_number()).alias("closing"))
     step = F.col("closing") - F.coalesce(F.lag("closing").over(Window.partitionBy("account_id").orderBy("day")), F.col("initial_balance_minor"))
     per_day = closing.withColumn("step", step).groupBy("day").agg(F.sum("step").alias("step"))
     spine = t["accounts"].sparkSession.range(days).select(F.col("id").alias("day"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import ConfigError
 from tidemark.functions.timebase import DAY, HOUR, day_of, is_night, snapshot_cutoff
-from tidemark.operators.sides import SETTLED, last_before, sides
+from tidemark.operators.sides import SETTLED, last_before, order_number, sides
 
 # Fixed value: a holding time is capped at this, and is this where there is no earlier credit.
 HOLD_CAP = 30 * DAY
@@ -21,21 +21,22 @@ def feature_names(windows: Sequence[int] = (7, 30)) -> list[str]:
     return [f"{f}_{w}d" for w in windows for f in WINDOWED] + ["account_age_days", "balance"]
 
 
-def rolling_distinct(pairs: DataFrame, windows: Sequence[int], what: str) -> DataFrame:
-    """(account_id, day, what_{w}d …): changes of the number of distinct keys seen in the w days before a day.
+def rolling_distinct(pairs: DataFrame, windows: Sequence[int], kinds: Sequence[str]) -> DataFrame:
+    """(account_id, day, {kind}_{w}d …): changes of the number of distinct keys of a kind seen in the w days before a day.
 
-    pairs is (account_id, key, day). A key's last day before counts for w days: it enters the window of day x+1 and
-    leaves that of day x+w+1 unless it comes again before. The running sum of the changes is the exact count.
+    pairs is (account_id, kind, key, day). A key's last day before counts for w days: it enters the window of day x+1
+    and leaves that of day x+w+1 unless it comes again before. The running sum of the changes is the exact count. All
+    kinds and windows go through one shuffle.
     """
     seen = pairs.filter("key IS NOT NULL").distinct()
-    again = F.lead("day").over(Window.partitionBy("account_id", "key").orderBy("day"))
-    spans = seen.withColumn("again", again)
+    again = F.lead("day").over(Window.partitionBy("account_id", "kind", "key").orderBy("day"))
     moves = []
     for i, w in enumerate(windows):
         leaves = F.least(F.col("again"), F.col("day") + w) + 1
-        moves += [F.struct((F.col("day") + 1).alias("day"), F.lit(i).alias("w"), F.lit(1).alias("change")), F.struct(F.coalesce(leaves, F.col("day") + w + 1).alias("day"), F.lit(i).alias("w"), F.lit(-1).alias("change"))]
-    long = spans.select("account_id", F.explode(F.array(*moves)).alias("m")).select("account_id", "m.*")
-    return long.groupBy("account_id", "day").agg(*(F.sum(F.when(F.col("w") == i, F.col("change")).otherwise(0)).alias(f"{what}_{w}d") for i, w in enumerate(windows)))
+        moves += [F.struct((F.col("day") + 1).alias("day"), F.lit(i).alias("w"), F.lit(1).alias("change")), F.struct(leaves.alias("day"), F.lit(i).alias("w"), F.lit(-1).alias("change"))]
+    long = seen.withColumn("again", again).select("account_id", "kind", F.explode(F.array(*moves)).alias("m")).select("account_id", "kind", "m.*")
+    sums = [F.sum(F.when((F.col("w") == i) & (F.col("kind") == n), F.col("change")).otherwise(0)).alias(f"{kind}_{w}d") for n, kind in enumerate(kinds) for i, w in enumerate(windows)]
+    return long.groupBy("account_id", "day").agg(*sums)
 
 
 def snapshot_features(transactions: DataFrame, logins: DataFrame, accounts: DataFrame, first_day: int, last_day: int, windows: Sequence[int] = (7, 30)) -> DataFrame:
@@ -54,9 +55,9 @@ def snapshot_features(transactions: DataFrame, logins: DataFrame, accounts: Data
     if first_day < 1 or last_day < first_day:
         raise ConfigError("snapshot days start with 1")
     internal = accounts.filter("account_kind = 'internal'").select("account_id", "opened_at", "initial_balance_minor")
-    own = sides(transactions.filter(F.col("ts") <= snapshot_cutoff(last_day)), ("txn_type", "channel")).join(internal.select("account_id"), "account_id", "left_semi")
+    both_sides = sides(transactions.filter(F.col("ts") <= snapshot_cutoff(last_day)), ("txn_type",)).join(internal.select("account_id"), "account_id", "left_semi")
     settled, credit = F.col("status") == SETTLED, F.col("is_credit")
-    own = last_before(own, F.when(settled & credit, F.col("ts")), "credit_ts")
+    own = last_before(both_sides, F.when(settled & credit, F.col("ts")), "credit_ts")
     amount, day = F.col("amount_minor"), day_of("ts")
     hold = F.least(F.coalesce(F.col("ts") - F.col("credit_ts"), F.lit(HOLD_CAP)), F.lit(HOLD_CAP))
     out = settled & ~credit
@@ -73,23 +74,18 @@ def snapshot_features(transactions: DataFrame, logins: DataFrame, accounts: Data
         total(out & (F.col("txn_type") == "ATM_WITHDRAWAL")).alias("atm"),
         F.count_if(settled & is_night("ts")).alias("night"),
         F.count_if(~settled & ~credit).alias("declined"),
-        F.max_by("after", F.struct("ts", "event_id", "is_credit")).alias("closing"),
+        F.max_by("after", order_number()).alias("closing"),
     )
-    transfers = own.filter(settled & (F.col("txn_type") == "TRANSFER")).select("account_id", F.col("counterparty_id").alias("key"), day.alias("day"), "is_credit")
+    transfers = both_sides.filter(settled & (F.col("txn_type") == "TRANSFER")).select("account_id", F.when(credit, 0).otherwise(1).alias("kind"), F.col("counterparty_id").alias("key"), day.alias("day"))
     entered = logins.filter("outcome = 'SUCCESS'").filter(F.col("ts") <= snapshot_cutoff(last_day)).join(internal.select("account_id"), "account_id", "left_semi")
-    changes = {
-        "in_degree": transfers.filter("is_credit").drop("is_credit"),
-        "out_degree": transfers.filter("NOT is_credit").drop("is_credit"),
-        "distinct_devices": entered.select("account_id", F.col("device_id").alias("key"), day.alias("day")),
-        "distinct_ips": entered.select("account_id", F.col("ip_id").alias("key"), day.alias("day")),
-    }
+    used = F.explode(F.array(F.struct(F.lit(2).alias("kind"), F.col("device_id").alias("key")), F.struct(F.lit(3).alias("kind"), F.col("ip_id").alias("key"))))
+    pairs = transfers.unionByName(entered.select("account_id", day.alias("day"), used.alias("u")).select("account_id", "u.*", "day"))
+    changes = rolling_distinct(pairs, windows, ("in_degree", "out_degree", "distinct_devices", "distinct_ips"))
     opening = F.greatest(F.lit(first_day).cast("bigint"), F.ceil((F.col("opened_at") + 1) / DAY))
     begins = F.lit(0).cast("bigint")
     spine = internal.select("account_id", "opened_at", "initial_balance_minor", opening.alias("shown_from"), F.explode(F.sequence(begins, F.lit(last_day).cast("bigint"))).alias("day"))
-    facts = daily.select("account_id", "day", *(c for c in daily.columns if c not in ("account_id", "day")))
-    for what, pairs in changes.items():
-        facts = facts.unionByName(rolling_distinct(pairs, windows, what), allowMissingColumns=True)
-    # All facts of one account and day in one row: a single shuffle for the daily rows and the four kinds of changes.
+    facts = daily.unionByName(changes, allowMissingColumns=True)
+    # All facts of one account and day in one row: a single shuffle for the daily rows and the changes.
     merged = facts.groupBy("account_id", "day").agg(*(F.sum(c).alias(c) if c not in ("largest", "closing") else F.max(c).alias(c) for c in facts.columns if c not in ("account_id", "day")))
     rows = spine.join(merged, ["account_id", "day"], "left")
     by_day = Window.partitionBy("account_id").orderBy("day")

@@ -15,7 +15,7 @@ from tidemark.functions.canon import col
 from tidemark.operators.copies import one_per_key
 from tidemark.session import Scratch
 
-_STATE = ["__unit", "__from", "__to", "__since", "__known"]
+_STATE = ["__entity", "__slice", "__from", "__to", "__since", "__known"]
 
 
 def versions(unit: list, begin: list, end: list, rank: list) -> tuple[list, list, list]:
@@ -53,16 +53,20 @@ def _asof_bucket(rank_columns: Sequence[str], payload: Sequence[str], out_schema
     def run(events: pa.Table, states: pa.Table) -> pa.Table:
         import duckdb
 
-        columns = states.select([*_STATE[:3], *rank_columns]).to_pydict()
+        columns = states.select([*_STATE[:4], *rank_columns]).to_pydict()
         # NULLs of the tie columns rank below all values.
         ranks = list(zip(*([(x is not None, x) if x is not None else (False,) for x in columns[c]] for c in rank_columns), strict=True))
-        unit, at, winner = versions(columns["__unit"], columns["__from"], columns["__to"], ranks)
-        v = pa.table({"unit": pa.array(unit, pa.int64()), "at": pa.array(at, pa.int64()), "winner": pa.array(winner, pa.int64())})
-        e = pa.table({"unit": events["__unit"], "ts": events["__ts"], "place": pa.array(range(events.num_rows), pa.int64())})
+        numbers: dict = {}
+        units = [numbers.setdefault(u, len(numbers)) for u in zip(columns["__entity"], columns["__slice"], strict=True)]
+        first = {u: place for place, u in reversed(list(enumerate(units)))}
+        unit, at, winner = versions(units, columns["__from"], columns["__to"], ranks)
+        of = states.select(["__entity", "__slice"]).take(pa.array([first[u] for u in unit], pa.int64()))
+        v = of.rename_columns(["entity", "slice"]).append_column("at", pa.array(at, pa.int64())).append_column("winner", pa.array(winner, pa.int64()))
+        e = events.select(["__entity", "__slice", "__ts"]).rename_columns(["entity", "slice", "ts"]).append_column("place", pa.array(range(events.num_rows), pa.int64()))
         with duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""}) as db:
             db.register("e", e)
             db.register("v", v)
-            found = db.sql("SELECT e.place, v.winner FROM e ASOF LEFT JOIN v ON e.unit = v.unit AND e.ts >= v.at").to_arrow_table().combine_chunks()
+            found = db.sql("SELECT e.place, v.winner FROM e ASOF LEFT JOIN v ON e.entity = v.entity AND e.slice = v.slice AND e.ts >= v.at").to_arrow_table().combine_chunks()
         hit = events.take(found["place"])
         label = states.take(found["winner"]) if states.num_rows else None
         arrays = []
@@ -117,17 +121,17 @@ def attributes_as_known(
     if rows_per_bucket < 1 or slice_seconds < 1:
         raise ConfigError("rows_per_bucket and slice_seconds must be positive")
     e = one_per_key(events.select(col(event_key).alias("__key"), col(event_entity).alias("__entity"), col(event_ts).cast("bigint").alias("__ts")), ["__key"], ["__entity", "__ts"])
-    unit = F.xxhash64("__entity", F.col("__slice"))  # only to bring together; equality is on the entity itself
     e = scratch.table(e.withColumn("__slice", F.floor(F.col("__ts") / slice_seconds)), "events")
     low, high, rows = e.agg(F.min("__ts"), F.max("__ts"), F.count(F.lit(1))).first()
     buckets = max(1, math.ceil(rows / rows_per_bucket))
 
     names = list(dict.fromkeys([*state_key, *tie, *payload]))
     s = states.select(col(entity).alias("__entity"), col(valid_from).cast("bigint").alias("__since"), col(valid_to).cast("bigint").alias("__to"), col(known_at).cast("bigint").alias("__known"), *(col(c).alias(f"s_{c}") for c in names))
+    if state_key:
+        keys = ["__entity", *(f"s_{c}" for c in state_key)]
+        s = one_per_key(s, keys, [c for c in s.columns if c not in keys])
     s = s.filter("__entity IS NOT NULL AND __known IS NOT NULL").withColumn("__from", F.greatest("__since", "__known"))
     s = s.filter(F.col("__since").isNotNull() & (F.col("__from") < F.col("__to")) & (F.col("__from") <= F.lit(high or 0)) & (F.col("__to") > F.lit(low or 0)))
-    if state_key:
-        s = s.dropDuplicates(["__entity", *(f"s_{c}" for c in state_key)])
     first = F.floor(F.greatest(F.col("__from"), F.lit(low or 0)) / slice_seconds)
     last = F.floor((F.least(F.col("__to") - 1, F.lit(high or 0))) / slice_seconds)
     s = s.withColumn("__slice", F.explode(F.sequence(first, last)))
@@ -142,9 +146,9 @@ def attributes_as_known(
         s = s.join(heavy, ["__entity", "__slice"], "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
 
     def bucket(df: DataFrame) -> DataFrame:
-        return df.withColumns({"__unit": unit, "__bucket": F.pmod(F.xxhash64("__entity", "__slice", "__salt"), F.lit(buckets)).cast("int")})
+        return df.withColumn("__bucket", F.pmod(F.xxhash64("__entity", "__slice", "__salt"), F.lit(buckets)).cast("int"))
 
-    left = bucket(e).select("__bucket", "__unit", "__key", "__entity", "__ts")
+    left = bucket(e).select("__bucket", "__slice", "__key", "__entity", "__ts")
     right = bucket(s).select("__bucket", *_STATE, *(f"s_{c}" for c in names))
     shape = e.select(col("__key").alias(event_key), col("__entity").alias(event_entity), col("__ts").alias(event_ts)).schema
     from pyspark.sql.pandas.types import to_arrow_schema

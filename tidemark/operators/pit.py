@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.errors import ConfigError, FutureAccessError
 from tidemark.functions.timebase import DAY, HOUR, day_of, is_night
 from tidemark.operators.grid import HOLD_CAP
-from tidemark.operators.sides import SETTLED, last_before, sides
+from tidemark.operators.sides import SETTLED, last_before, order_number, sides
 
 
 def check_cutoffs(cutoffs: DataFrame, accounts: DataFrame, sim_end: int) -> None:
@@ -78,7 +78,7 @@ def balance_at(cutoffs: DataFrame, transactions: DataFrame, accounts: DataFrame)
     Found in two steps, the last balance of each earlier day carried forward and the last one within t's own day.
     """
     own = sides(transactions).join(cutoffs.select("account_id").distinct(), "account_id", "left_semi").withColumn("e_day", day_of("ts"))
-    order = F.struct("ts", "event_id", "is_credit")
+    order = order_number()
     closing = own.groupBy("account_id", "e_day").agg(F.max_by("after", order).alias("closing"))
     asked = cutoffs.select("row_id", "account_id", "t", day_of("t").alias("t_day"))
     marks = closing.select("account_id", F.col("e_day").alias("day"), "closing", F.lit(None).cast(cutoffs.schema["row_id"].dataType).alias("row_id")).unionByName(asked.select("account_id", F.col("t_day").alias("day"), F.lit(None).cast("bigint").alias("closing"), "row_id"))

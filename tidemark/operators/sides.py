@@ -33,6 +33,12 @@ def in_order(*partition: str):
     return Window.partitionBy(*partition).orderBy("ts", "event_id", "is_credit")
 
 
+def order_number() -> Column:
+    """The place in the order (ts, event_id, is_credit) as one number, with which max_by stays in hash aggregation."""
+    event = F.col("event_id").cast("decimal(19,0)") * 2 + F.col("is_credit").cast("int")
+    return (F.col("ts").cast("decimal(18,0)") * F.expr("100000000000000000000BD") + event).cast("decimal(38,0)")
+
+
 def last_before(df: DataFrame, value: Column, name: str) -> DataFrame:
     """df of sides with the last non-NULL `value` of an account strictly earlier in (ts, event_id).
 
@@ -40,7 +46,7 @@ def last_before(df: DataFrame, value: Column, name: str) -> DataFrame:
     never holds more of an account than one of its days and one row for each of them.
     """
     marked = df.withColumns({"__day": day_of("ts"), "__value": value})
-    order = F.struct("ts", "event_id")
+    order = order_number()
     daily = marked.groupBy("account_id", "__day").agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), order)).alias("__last"))
     earlier = Window.partitionBy("account_id").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
     carried = daily.select(F.col("account_id").alias("__account"), F.col("__day").alias("__of"), F.last("__last", ignorenulls=True).over(earlier).alias("__carried"))

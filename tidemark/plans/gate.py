@@ -18,6 +18,7 @@ from tidemark.session import Scratch
 from tidemark.sources.files import read_table
 
 NEIGHBOUR = ("txn_count_30d", "in_degree_30d", "out_degree_30d", "account_age_days")
+GROUPS = {"business": ("small_business", "hf_merchant", "high_volume_business"), "irregular": ("traveler", "spending_surge")}
 ORDER = ("burstiness", "median_gap_h", "credit_to_debit_h")
 
 
@@ -78,6 +79,15 @@ def run_dataset(spark: SparkSession, folder: str, scratch: Scratch, horizon_s: i
     top = metrics.top_k(lr, max(1, round(0.01 * n)), "score", ["account_id", "day"]).filter("NOT y")
     confounders = top.join(owners_from(spark, folder), "account_id").groupBy("archetype").agg(F.count(F.lit(1)).alias("n")).collect()
     result["false_positives"] = {r["archetype"]: r["n"] for r in confounders}
+    # How far the score and the best feature separate within groups of archetypes alone.
+    owners = owners_from(spark, folder)
+    for name, archetypes in GROUPS.items():
+        mine = owners.filter(F.col("archetype").isin(*archetypes)).select("account_id")
+        inside = val.join(mine, "account_id", "left_semi")
+        points, hits = inside.agg(F.count(F.lit(1)), F.count_if("y")).first()
+        result[f"group {name}"] = {"points": points, "positives": hits}
+        if hits:
+            result[f"group {name}"] |= {"ap_lr": metrics.average_precision_by(lr.join(mine, "account_id", "left_semi"), []).first()["ap"], "best_ap": metrics.single_feature_ap(inside, names).agg(F.max("ap")).first()[0]}
     # What neighbours and order add, on an exact sample.
     marked = lr.withColumn("row_id", F.concat_ws("/", "account_id", "day"))
     picked = scratch.table(metrics.exact_sample(marked, sample, f"g3/{meta['seed']}", "row_id"), "picked")

@@ -11,7 +11,7 @@ from tidemark.operators import checks, describe, metrics, splits
 from tidemark.operators.grid import snapshot_features
 from tidemark.operators.pit import balance_at, neighbour_means, temporal_order, window_features
 from tidemark.operators.settle import settle
-from tidemark.operators.sides import SETTLED, last_before, running_total, sides
+from tidemark.operators.sides import SETTLED, last_before, order_number, running_total, sides
 from tidemark.operators.store import Cutoff, visible
 from tidemark.operators.truth import OracleLabels
 from tidemark.plans import tables as T
@@ -102,7 +102,7 @@ def known_labels(spark, d):
 @query(sql("t a s", f"SELECT a.account_id, coalesce(arg_max(s.after, (s.ts, s.event_id, s.is_credit)), any_value(a.initial_balance_minor)) AS balance FROM a LEFT JOIN s ON s.account_id = a.account_id AND s.ts <= {CUTOFF} WHERE a.account_kind = 'internal' AND a.opened_at <= {CUTOFF} GROUP BY a.account_id"))
 def asof_balance(spark, d):
     own = sides(T.transactions(spark, d).filter(visible(Cutoff(CUTOFF))))
-    last = own.groupBy("account_id").agg(F.max_by("after", F.struct("ts", "event_id", "is_credit")).alias("after"))
+    last = own.groupBy("account_id").agg(F.max_by("after", order_number()).alias("after"))
     a = T.accounts(spark, d).filter(f"account_kind = 'internal' AND opened_at <= {CUTOFF}").select("account_id", "initial_balance_minor")
     return a.join(last, "account_id", "left").select("account_id", F.coalesce("after", "initial_balance_minor").alias("balance"))
 

@@ -70,18 +70,23 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+        self._made: dict[str, list[str]] = {}
         atexit.register(self.close)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and return it as read back."""
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+        """Write df and return it as read back. A name that is used again gets another path, so earlier results stay."""
+        paths = self._made.setdefault(name, [])
+        paths.append(self.path(f"{name}-{len(paths)}"))
+        df.write.mode("overwrite").parquet(paths[-1])
+        return self.spark.read.schema(df.schema).parquet(paths[-1])
 
     def drop(self, name: str) -> None:
-        self._delete(self.path(name))
+        """Delete the table last written under the name."""
+        if self._made.get(name):
+            self._delete(self._made[name][-1])
 
     def close(self) -> None:
         """Delete all tables of the run; results that still read them are then no longer readable."""

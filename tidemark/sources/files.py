@@ -7,6 +7,7 @@ import json
 from collections.abc import Mapping, Sequence
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,13 @@ def read_table(spark: SparkSession, name: str, folder: str) -> DataFrame:
     return conform(name, _scan(spark, name, folder))
 
 
+def from_arrow(spark: SparkSession, name: str, table: pa.Table) -> DataFrame:
+    """An Arrow table as a conformed frame; anything else raises TypeError."""
+    if not isinstance(table, pa.Table):
+        raise TypeError(f"not an Arrow table: {type(table).__name__}")
+    return conform(name, spark.createDataFrame(table))
+
+
 def read_columns(spark: SparkSession, name: str, folder: str, columns: Sequence[str]) -> DataFrame:
     """Some columns of a registered table; only these are scanned. An unknown column raises."""
     unknown = [c for c in columns if c not in spec(name).schema.names]

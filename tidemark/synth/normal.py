@@ -92,6 +92,17 @@ def _events(df: DataFrame, stream: int, seconds: Column, amount: Column, kind: s
     )
 
 
+def trip(cfg: GeneratorConfig, draw: Draws, person: Column, day: Column) -> tuple[Column, Column]:
+    """Whether a person is away on a day, and the region of their trip; both follow from the person's id."""
+    mix, share = cfg["archetypes"], F.lit(0.0)
+    archetype = draw.choice(list(mix), [a["share"] for a in mix.values()], "archetype", person)
+    for name, v in mix.items():
+        share = F.when(archetype == name, F.lit(float(v["travel"]))).otherwise(share)
+    first = draw.integer(0, cfg.days - 1, "trip/from", person)
+    away = (draw.uniform("trip", person) < share) & day.between(first, first + draw.integer(2, 8, "trip/days", person))
+    return away, draw.integer(0, cfg["population"]["n_regions"] - 1, "trip/region", person).cast("smallint")
+
+
 def normal_transactions(spark: SparkSession, cfg: GeneratorConfig, pop: Population, draw: Draws) -> DataFrame:
     """All streams of all persons, without what a dormant spell takes out."""
     a, p = cfg["amounts"], cfg["population"]
@@ -100,6 +111,8 @@ def normal_transactions(spark: SparkSession, cfg: GeneratorConfig, pop: Populati
     base = TimeBase(date.fromisoformat(cfg["simulation"]["anchor"]), cfg.days)
     calendar = F.broadcast(spark.createDataFrame([(d, dom) for dom in range(1, 29) for d in base.monthly_days([dom])], "day bigint, dom int"))  # at most 128 days
     spine = pop.people.withColumn("day", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cfg.days - 1).cast("bigint"))))
+    away, there = trip(cfg, draw, pid, day)
+    spine = spine.withColumn("away", away).withColumn("region", F.when(F.col("away"), there).otherwise(F.col("region")))
 
     def monthly(name: str, people: DataFrame, *ids: Column) -> DataFrame:
         return people.withColumn("dom", draw.integer(1, 28, f"{name}/dom", pid, *ids).cast("int")).join(calendar, "dom")
@@ -135,7 +148,9 @@ def normal_transactions(spark: SparkSession, cfg: GeneratorConfig, pop: Populati
     cards = several(spine, F.when(surging, count("card_daily", 16, "card", 4.0)).otherwise(count("card_daily", 12, "card")))
     hour = F.when(u("card/night", pid, day, k) < F.col("p_night"), 5 * u("card/at", pid, day, k)).otherwise(8 + 14 * u("card/at", pid, day, k))
     favourite = u("card/favourite", pid, day, k) < 0.5
-    merchant = F.when(favourite, draw.integer(0, p["n_merchants"] - 1, "favourite", pid, draw.integer(0, 3, "which", pid, day, k))).otherwise(F.floor(F.pow(u("merchant", pid, day, k), 3) * p["n_merchants"])) * 7 + 10_007
+    local = F.floor(u("merchant/local", pid, day, k) * (p["n_merchants"] // p["n_regions"])) * p["n_regions"] + F.col("region")
+    usual = draw.integer(0, p["n_merchants"] - 1, "favourite", pid, draw.integer(0, 3, "which", pid, day, k))
+    merchant = F.when(F.col("away"), local).when(favourite, usual).otherwise(F.floor(F.pow(u("merchant", pid, day, k), 3) * p["n_merchants"])) * 7 + 10_007
     streams.append(_events(cards, 4, F.floor(hour * HOUR), draw.sample(a["card"], "card/amount", pid, day, k), "CARD_PAYMENT", "POS", mine, of("card_network", "network", pid, day, k), draw, k, merchant=merchant.cast("bigint")))
     atm = a["atm"]
     notes = F.least(F.lit(atm["most"]), F.greatest(F.lit(atm["step"]), F.round(atm["median"] * F.exp(draw.normal("atm/amount", pid, day, k) * atm["sigma"]) / atm["step"]) * atm["step"]))
@@ -186,13 +201,14 @@ def session_logins(digital: DataFrame, cfg: GeneratorConfig, draw: Draws, namesp
     personal = draw.uniform("device", e) < i["personal_device"]
     hour = F.floor(F.pmod(F.col("ts"), F.lit(DAY)) / HOUR)
     office = (F.pmod(F.col("day"), F.lit(7)) < 5) & hour.between(9, 16)
-    region = F.col("region").cast("bigint")
-    ip = F.when(personal & (draw.uniform("ip", e) < 0.4), packed(4, region)).when(~personal & office & (draw.uniform("ip", e) < 0.5), packed(3, region)).when(draw.uniform("ip/wifi", e) < 0.05, packed(2, region)).otherwise(packed(1, household))
+    away, there = trip(cfg, draw, pid, F.col("day"))
+    region = F.when(away, there).otherwise(F.col("region")).cast("bigint")
+    ip = F.when(away, F.when(draw.uniform("ip", e) < 0.6, packed(2, region)).otherwise(packed(4, region))).when(personal & (draw.uniform("ip", e) < 0.4), packed(4, region)).when(~personal & office & (draw.uniform("ip", e) < 0.5), packed(3, region)).when(draw.uniform("ip/wifi", e) < 0.05, packed(2, region)).otherwise(packed(1, household))
     return digital.withColumns(
         {
             "login_event_id": event_id(namespace, pid, F.col("counter")),
             "login_ts": F.greatest(F.col("ts") - draw.integer(*i["session_seconds"], "session", e), F.lit(0).cast("bigint")),
-            "device_id": F.when(personal, packed(1, pid)).otherwise(packed(2, household)),
+            "device_id": F.when(personal | away, packed(1, pid)).otherwise(packed(2, household)),
             "ip_id": ip,
         }
     )
