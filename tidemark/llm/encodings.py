@@ -297,7 +297,7 @@ def _scorer(model):
                 chains += c
                 kinds += k
                 rows += [i] * len(t)
-                for codec, table in keys.items():
+                for codec, table in () if 0 in k else keys.items():  # a whole reading through UTF-8 needs no filling
                     if not leads[codec].isdisjoint(spans[i]) and (filled := lm.fill(spans[i], table)) and filled not in t:
                         texts.append(filled)
                         chains.append(f"utf_8>{codec} with bytes dropped")
