@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemark.llm.encodings import NgramModel, candidates, find_garbled, restore, spans_of
+from tidemark.llm.encodings import NgramModel, a_word, candidates, find_garbled, foreign, restore, spans_of
 
 WORDS = {
     "de": "Die Wärmeleitfähigkeit übertrifft jede zulässige Störung außerhalb der Grenzschicht während der Abkühlung für größere Prüfkörper".split(),
@@ -110,3 +110,27 @@ def test_every_utf8_reading_is_undone(codec):
     bad = "".join(bytes([b]).decode(codec, errors="replace") for b in word.encode("utf-8"))
     if "\ufffd" not in bad:
         assert any(c[0] == word for c in candidates(bad))
+
+
+def test_one_word_between_single_byte_encodings(spark, scratch):
+    docs = corpus(random.Random(5))
+    words = {"cp1251": "fréquence", "cp850": "Störung", "mac_roman": "contrôle", "koi8_r": "méthode"}
+    for i, (codec, word) in enumerate(words.items()):
+        docs.append((5_000 + i, f"{docs[i][1]} {word.encode('cp1252').decode(codec)}", "xx"))
+    # Rare but right: a sign, an initial and a line of a tree on their own.
+    docs += [(5_100 + i, f"{docs[i][1]} {sign} x", "xx") for i, sign in enumerate(("°", "Ж", "├──"))]
+    _, g = found_in(spark, scratch, docs)
+    assert {r["doc_id"] for r in g.documents.collect()} == {5_000, 5_001, 5_002, 5_003}
+
+
+def test_what_does_not_belong_in_a_word():
+    assert all(foreign(s) for s in ("tempйrature", "Gr÷áe", "107ñ587", "mÈthode"))
+    assert not any(foreign(s) for s in ("température", "Größe", "107–587", "Éole", "теплообмен", "l’écart"))
+    assert a_word("mé") and not a_word("├──") and not a_word("Ж")
+
+
+def test_a_shared_slot_gains_nothing():
+    # Every slot is taken by something common: what was never seen is still not likely.
+    n3, n2, n1 = (t.astype(np.float32) for t in NgramModel.count(["für", "über"], [500, 400]))
+    full = NgramModel(np.full_like(n3, 1e6), np.full_like(n2, 1e6), n1)
+    assert full.scores(["f┬r"])[0] < full.scores(["für"])[0] - 10

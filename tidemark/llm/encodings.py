@@ -8,6 +8,7 @@ spans of clean documents, scores what they give against the span as it stands.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -34,6 +35,7 @@ ALPHANUMERIC = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqr
 SHOWN = re.compile(r"\\(?:verb|lstinline)\*?([^A-Za-z\s*{])[^\n]*?\1|\\(?:texttt|lstinline|code|url|path)\s*\{[^{}]*\}|\\begin\{(verbatim\*?|Verbatim|lstlisting|alltt)\}.*?\\end\{\2\}", re.S)
 LOST = "\ufffd"
 TEXTS_AT_ONCE, SPANS_AT_ONCE = 256, 1_000
+UNDOUBTED = 25.0  # a reading through UTF-8 that gains this much is not given up for one between single bytes
 FAR = -6.0  # a span that every chain makes less likely by more than this keeps its first margins
 SLOTS3, SLOTS2, POINTS = 1 << 21, 1 << 18, 0x110000
 
@@ -90,6 +92,34 @@ def _controls(text: str) -> bool:
     return any("\x7f" <= ch < "\xa0" for ch in text)
 
 
+def _script(ch: str) -> str:
+    """Latin, Cyrillic or Greek, empty for all else."""
+    o = ord(ch)
+    if not ch.isalpha():
+        return ""
+    return "Latin" if o < 0x250 or 0x1E00 <= o < 0x1F00 else "Greek" if 0x370 <= o < 0x400 else "Cyrillic" if 0x400 <= o < 0x530 else ""
+
+
+def foreign(span: str) -> bool:
+    """Whether a word holds what does not belong in one: letters of two scripts, a symbol between letters, a capital after
+    a small letter, or a letter between digits, the latter three above ASCII."""
+    if len({_script(ch) for ch in span} - {""}) > 1:
+        return True
+    for before, ch, after in zip(span, span[1:], span[2:] + " "):
+        if ch > "\x7f" and (
+            (before.islower() and ch.isupper())
+            or (before.isalpha() and after.isalpha() and unicodedata.category(ch) in ("Sm", "Sc", "Sk", "So", "Co"))
+            or (before.isdigit() and after.isdigit() and ch.isalpha())
+        ):
+            return True
+    return False
+
+
+def a_word(span: str) -> bool:
+    """At least two letters or digits: less is no evidence on its own, as a sign or an initial may just be rare."""
+    return sum(ch.isalnum() for ch in span) >= 2
+
+
 def candidates(span: str) -> list[tuple[str, str, int]]:
     """(text, chain, kind) of every chain that gives another text: kind 0 through UTF-8, kind 1 between single bytes.
 
@@ -199,14 +229,18 @@ class NgramModel:
         less = np.repeat(np.broadcast_to(np.asarray(own, dtype=np.float64), lengths.shape), lengths - 2)
         c2, c1, c0 = p[at - 2], p[at - 1], p[at]
 
-        def left(table, index):
-            return np.maximum(table[index.astype(np.int64)] - less, 0.0)
-
-        p1 = (left(self.n1, c0) + self.D1 / 65_536) / (self.total + self.D1)
-        p2 = (left(self.n2, _slots2(c1, c0)) + self.D2 * p1) / (left(self.n1, c1) + self.D2)
-        p3 = (left(self.n3, _slots3(c2, c1, c0)) + self.D3 * p2) / (left(self.n2, _slots2(c2, c1)) + self.D3)
         ends = np.cumsum(lengths - 2) - (lengths - 2)
-        return np.add.reduceat(np.log(np.minimum(p3, 1.0)), ends)
+        return np.add.reduceat(self._log_p(c2, c1, c0, less), ends)
+
+    def _log_p(self, c2: np.ndarray, c1: np.ndarray, c0: np.ndarray, less: np.ndarray | float = 0.0) -> np.ndarray:
+        """Log-probability of c0 after c2 and c1. No count exceeds those of its parts, so what shares a slot with something common gains nothing."""
+        a, b, c = (self.n1[x.astype(np.int64)] for x in (c2, c1, c0))
+        ab, bc = np.minimum(self.n2[_slots2(c2, c1).astype(np.int64)], np.minimum(a, b)), np.minimum(self.n2[_slots2(c1, c0).astype(np.int64)], np.minimum(b, c))
+        abc = np.minimum(self.n3[_slots3(c2, c1, c0).astype(np.int64)], np.minimum(ab, bc))
+        b, c, ab, bc, abc = (np.maximum(x - less, 0.0) for x in (b, c, ab, bc, abc))
+        p1 = (c + self.D1 / 65_536) / (self.total + self.D1)
+        p2 = (bc + self.D2 * p1) / (b + self.D2)
+        return np.log(np.minimum((abc + self.D3 * p2) / (ab + self.D3), 1.0))
 
     def lossy_keys(self, least: int = 5) -> dict[str, dict[str, list[str]]]:
         """Per encoding: how the UTF-8 bytes of known characters look in it when dropped bytes are gone."""
@@ -242,9 +276,7 @@ class NgramModel:
         """Log-probability of each text's last character after the two before it."""
         p = np.array([[ord(ch) for ch in ("\x02\x02" + t)[-3:]] for t in texts], dtype=np.uint64)
         c2, c1, c0 = p[:, 0], p[:, 1], p[:, 2]
-        p1 = (self.n1[c0.astype(np.int64)] + self.D1 / 65_536) / (self.total + self.D1)
-        p2 = (self.n2[_slots2(c1, c0).astype(np.int64)] + self.D2 * p1) / (self.n1[c1.astype(np.int64)] + self.D2)
-        return np.log(np.minimum((self.n3[_slots3(c2, c1, c0).astype(np.int64)] + self.D3 * p2) / (self.n2[_slots2(c2, c1).astype(np.int64)] + self.D3), 1.0))
+        return self._log_p(c2, c1, c0)
 
 
 def train(vocabulary: DataFrame) -> NgramModel:
@@ -271,7 +303,7 @@ def train(vocabulary: DataFrame) -> NgramModel:
 
 
 _OPTIONS = "span string, texts array<string>, chains array<string>, kinds array<int>"
-_SCORED = "span string, n bigint, margin0 double, text0 string, chain0 string, margin1 double, text1 string, chain1 string"
+_SCORED = "span string, n bigint, margin0 double, text0 string, chain0 string, margin1 double, text1 string, chain1 string, word boolean, odd boolean"
 
 
 def _list_options(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,16 +343,19 @@ def _scorer(model):
                     best[i][kind] = (float(gain), text, chain)
             types = (pa.float64(), pa.string(), pa.string())
             columns = [pa.array([x[kind][j] for x in best], types[j]) for kind in (0, 1) for j in range(3)]
-            yield pa.RecordBatch.from_arrays([b["span"], b["n"], *columns], names=["span", "n", "margin0", "text0", "chain0", "margin1", "text1", "chain1"])
+            likelier = [x[1][0] is not None and x[1][0] > 0 for x in best]
+            columns.append(pa.array([yes and a_word(s) for s, yes in zip(spans, likelier, strict=True)], pa.bool_()))
+            columns.append(pa.array([yes and foreign(s) and not foreign(x[1][1]) for s, x, yes in zip(spans, best, likelier, strict=True)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b["span"], b["n"], *columns], names=["span", "n", "margin0", "text0", "chain0", "margin1", "text1", "chain1", "word", "odd"])
 
     return run
 
 
 class Garbled:
-    """documents: (doc_id, evidence, chain, lost) of the affected; readings: (span, text, chain) to restore them by; margins: as validated."""
+    """documents: (doc_id, evidence, chain, lost) of the affected; readings: (span, text, chain) to restore them by; margins: as validated; by_chain: the higher margins of single chains."""
 
-    def __init__(self, documents: DataFrame, readings: DataFrame, margins: tuple[float, float]) -> None:
-        self.documents, self.readings, self.margins = documents, readings, margins
+    def __init__(self, documents: DataFrame, readings: DataFrame, margins: tuple[float, float], by_chain: dict[str, float]) -> None:
+        self.documents, self.readings, self.margins, self.by_chain = documents, readings, margins, by_chain
 
 
 def find_garbled(
@@ -330,7 +365,7 @@ def find_garbled(
     doc_id: str = "doc_id",
     text: str = "text",
     rounds: int = 3,
-    margins: tuple[float, float] = (4.0, 25.0),
+    margins: tuple[float, float] = (4.0, 4.0),
     together: float = 25.0,
     false_share: float = 1e-3,
 ) -> Garbled:
@@ -339,9 +374,13 @@ def find_garbled(
     A document is affected if, outside markup that shows characters as they are (\\verb, \\texttt, verbatim and the
     like), it has a replacement character, a span that one chain makes likelier by more than its kind's margin, or at
     least three spans that the same chain makes likelier by `together` in sum. The margins are in natural logarithms,
-    for chains through UTF-8 and for those between single-byte encodings. They are validated on the spans of documents
-    held to be clean: if more than false_share of their weight lies above a margin, it is raised until that is no more
-    so. Chains cover UTF-8 read as any of READ_AS up to three times over, UTF-8 read with bytes dropped on the way, and
+    for chains through UTF-8 and for those between single-byte encodings; between those, a span counts on its own only if
+    it is a word (a_word). The first is validated on the spans of documents held to be clean: if more than false_share of
+    their weight lies above the margin, it is raised until that is no more so. The second is validated for each chain, on
+    documents that no chain through UTF-8 and no sum above `together` gives away: if more than false_share of the
+    distinct spans that the chain can read, and more than three, lie above it, it is raised likewise for this chain.
+    Words that the reading rids of what does not belong in a word (foreign) are evidence themselves; they neither count
+    there nor need more than the margin given. Chains cover UTF-8 read as any of READ_AS up to three times over, UTF-8 read with bytes dropped on the way, and
     any of WRITTEN_IN read as another of READ_AS.
 
     Training starts from all documents, whose garbled part is small; each round trains on the documents that the one
@@ -387,13 +426,18 @@ def find_garbled(
             near = F.greatest(F.coalesce("margin0", F.lit(-1e3)), F.coalesce("margin1", F.lit(-1e3))) > FAR
             settled = scored.filter(~near)
             open_options = scratch.table(options.join(scored.filter(near).select("span"), "span", "left_semi"), "open_options")
-        limits = _validated(scored, margins, false_share) if last else margins
-        suspects = scratch.table(scored.filter("margin0 > 2.5 OR margin1 > 2.5").select("span", *(F.coalesce(f"margin{k}", F.lit(-1e3)).alias(f"margin{k}") for k in (0, 1)), "chain0", "chain1"), f"suspects{turn}")
-        hits = kept.select("doc_id", F.explode("spans").alias("span")).join(suspects, "span")
-        through_utf8 = F.col("margin0") >= F.least(F.col("margin1"), F.lit(limits[1]))
-        hits = hits.select("doc_id", F.when(through_utf8, F.col("chain0")).otherwise(F.col("chain1")).alias("chain"), F.when(through_utf8, F.col("margin0")).otherwise(F.col("margin1")).alias("margin"), (F.col("margin0") > limits[0]).alias("clear0"), (F.col("margin1") > limits[1]).alias("clear1"))
-        by_chain = hits.groupBy("doc_id", "chain").agg(F.sum("margin").alias("evidence"), F.count(F.lit(1)).alias("spans"), F.max(F.col("clear0") | F.col("clear1")).alias("clear"))
-        sure = by_chain.filter(F.col("clear") | ((F.col("spans") >= 3) & (F.col("evidence") > together)))
+        limit0 = _validated(scored, margins[0], false_share) if last else margins[0]
+        suspects = scratch.table(scored.filter("margin0 > 2.5 OR margin1 > 2.5").select("span", *(F.coalesce(f"margin{k}", F.lit(-1e3)).alias(f"margin{k}") for k in (0, 1)), "chain0", "chain1", "word", "odd"), f"suspects{turn}")
+        hits = scratch.table(kept.select("doc_id", F.explode("spans").alias("span")).join(suspects, "span"), f"hits{turn}")
+        by_chain = _validated_chains(hits, options, limit0, margins[1], together, false_share) if last else {}
+        limit1 = F.lit(margins[1])
+        for chain, limit in by_chain.items():
+            limit1 = F.when(F.col("chain1") == chain, F.lit(limit)).otherwise(limit1)
+        through_utf8 = F.col("margin0") >= F.least(F.col("margin1"), F.lit(UNDOUBTED))
+        clear1 = F.col("word") & (F.col("margin1") > F.when(F.col("odd"), F.lit(margins[1])).otherwise(limit1))
+        hits = hits.select("doc_id", F.when(through_utf8, F.col("chain0")).otherwise(F.col("chain1")).alias("chain"), F.when(through_utf8, F.col("margin0")).otherwise(F.col("margin1")).alias("margin"), (F.col("margin0") > limit0).alias("clear0"), clear1.alias("clear1"))
+        evidence = hits.groupBy("doc_id", "chain").agg(F.sum("margin").alias("evidence"), F.count(F.lit(1)).alias("spans"), F.max(F.col("clear0") | F.col("clear1")).alias("clear"))
+        sure = evidence.filter(F.col("clear") | ((F.col("spans") >= 3) & (F.col("evidence") > together)))
         lost = kept.filter("lost").select("doc_id", F.lit(None).cast("string").alias("chain"), F.lit(0.0).alias("evidence"), F.lit(True).alias("lost"))
         rows = sure.select("doc_id", "chain", "evidence", F.lit(False).alias("lost")).unionByName(lost)
         affected = scratch.table(rows.groupBy("doc_id").agg(F.sum("evidence").alias("evidence"), F.max_by("chain", "evidence").alias("chain"), F.max("lost").alias("lost")), f"affected{turn}")
@@ -401,25 +445,43 @@ def find_garbled(
             gone = kept.join(affected.select("doc_id"), "doc_id", "left_semi").select(F.explode("spans").alias("span")).groupBy("span").agg(F.count(F.lit(1)).alias("gone"))
             counts = scratch.table(vocabulary.join(gone, "span", "left").select("span", (F.col("n") - F.coalesce("gone", F.lit(0))).alias("n")), f"counts{turn}")
         shared.unpersist()
-    utf8 = F.coalesce(F.col("margin0"), F.lit(-1e3)) >= F.least(F.coalesce(F.col("margin1"), F.lit(-1e3)), F.lit(limits[1]))
+    utf8 = F.coalesce(F.col("margin0"), F.lit(-1e3)) >= F.least(F.coalesce(F.col("margin1"), F.lit(-1e3)), F.lit(UNDOUBTED))
     readings = scored.filter("margin0 > 1 OR margin1 > 2.5").select("span", F.when(utf8, F.col("text0")).otherwise(F.col("text1")).alias("text"), F.when(utf8, F.col("chain0")).otherwise(F.col("chain1")).alias("chain"))
-    return Garbled(affected, readings, limits)
-
-
-def _validated(scored: DataFrame, margins: tuple[float, float], false_share: float) -> tuple[float, float]:
-    """Margins that at most false_share of the weight of clean spans exceeds. At most 1 200 rows come to the driver."""
-    out = []
-    for kind, least in enumerate(margins):
-        clipped = F.greatest(F.least(F.coalesce(F.col(f"margin{kind}"), F.lit(-50.0)), F.lit(100.0)), F.lit(-50.0))
-        rows = sorted(scored.groupBy(F.floor(clipped * 4).alias("quarter")).agg(F.sum("n").alias("n")).collect(), key=lambda r: -r["quarter"])
-        whole, above, margin = sum(r["n"] for r in rows), 0, least
-        for r in rows:
-            above += r["n"]
-            if whole and above > false_share * whole:
-                margin = max(least, (r["quarter"] + 1) / 4)
-                break
-        out.append(margin)
-    return out[0], out[1]
+    return Garbled(affected, readings, (limit0, margins[1]), by_chain)
+
+
+def _raised(rows: list, allowed: float, least: float) -> float:
+    """The margin, at least `least`, that no more than `allowed` of the counts n by quarter lie above."""
+    above = 0
+    for r in sorted(rows, key=lambda r: -r["quarter"]):
+        above += r["n"]
+        if above > allowed:
+            return max(least, (r["quarter"] + 1) / 4)
+    return least
+
+
+def _quarter(margin: str):
+    return F.floor(F.greatest(F.least(F.coalesce(F.col(margin), F.lit(-50.0)), F.lit(100.0)), F.lit(-50.0)) * 4).alias("quarter")
+
+
+def _validated(scored: DataFrame, least: float, false_share: float) -> float:
+    """The margin through UTF-8 that at most false_share of the weight of clean spans exceeds. At most 600 rows come to the driver."""
+    rows = scored.groupBy(_quarter("margin0")).agg(F.sum("n").alias("n")).collect()
+    return _raised(rows, false_share * sum(r["n"] for r in rows), least)
+
+
+def _validated_chains(hits: DataFrame, options: DataFrame, limit0: float, least: float, together: float, false_share: float) -> dict[str, float]:
+    """The single-byte chains that need a margin above `least`. At most 400 rows for each chain come to the driver."""
+    plain = hits.filter(F.col("word") & ~F.col("odd") & (F.col("margin1") > least))
+    sums = hits.groupBy("doc_id", "chain1").agg(F.sum(F.greatest("margin1", F.lit(0.0))).alias("evidence"), F.max("margin0").alias("margin0"))
+    firm = sums.filter((F.col("evidence") > together) | (F.col("margin0") > limit0)).select("doc_id").distinct()
+    above = plain.join(firm, "doc_id", "left_anti").select("span", "chain1", "margin1").distinct().groupBy("chain1", _quarter("margin1")).agg(F.count(F.lit(1)).alias("n")).collect()
+    if not above:
+        return {}
+    read = options.select(F.explode(F.arrays_zip("chains", "kinds")).alias("o")).filter("o.kinds = 1").groupBy(F.col("o.chains").alias("chain")).agg(F.count(F.lit(1)).alias("n"))
+    spans = {r["chain"]: r["n"] for r in read.collect()}
+    found = {chain: _raised([r for r in above if r["chain1"] == chain], max(false_share * spans.get(chain, 0), 3), least) for chain in {r["chain1"] for r in above}}
+    return {chain: limit for chain, limit in found.items() if limit > least}
 
 
 def restore(documents: DataFrame, garbled: Garbled, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
