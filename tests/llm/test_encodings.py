@@ -134,3 +134,15 @@ def test_a_shared_slot_gains_nothing():
     n3, n2, n1 = (t.astype(np.float32) for t in NgramModel.count(["für", "über"], [500, 400]))
     full = NgramModel(np.full_like(n3, 1e6), np.full_like(n2, 1e6), n1)
     assert full.scores(["f┬r"])[0] < full.scores(["für"])[0] - 10
+
+
+def test_margins_follow_what_leaves_the_training(spark, scratch):
+    # The garbled words are common at first, but for two texts all that hold them are given away by a lost character.
+    docs = [(i, t, x) for i, t, x in corpus(random.Random(6)) if x != "ru"]
+    words = "Численное решение уточняет поведение".split()
+    bad = " ".join(w.encode("iso8859_5").decode("cp1252") for w in words)  # no chain leads back
+    docs += [(6_000 + i, " ".join(words), "ru") for i in range(4)]
+    docs += [(6_100 + i, f"{bad} an�lisis", "ru") for i in range(400)]
+    docs += [(6_900 + i, bad, "ru") for i in range(2)]
+    _, g = found_in(spark, scratch, docs)
+    assert {r["doc_id"] for r in g.documents.filter("NOT lost").collect()} == {6_900, 6_901}

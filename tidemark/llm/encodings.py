@@ -36,7 +36,6 @@ SHOWN = re.compile(r"\\(?:verb|lstinline)\*?([^A-Za-z\s*{])[^\n]*?\1|\\(?:texttt
 LOST = "\ufffd"
 TEXTS_AT_ONCE, SPANS_AT_ONCE = 256, 1_000
 UNDOUBTED = 25.0  # a reading through UTF-8 that gains this much is not given up for one between single bytes
-FAR = -6.0  # a span that every chain makes less likely by more than this keeps its first margins
 SLOTS3, SLOTS2, POINTS = 1 << 21, 1 << 18, 0x110000
 
 
@@ -384,9 +383,8 @@ def find_garbled(
     any of WRITTEN_IN read as another of READ_AS.
 
     Training starts from all documents, whose garbled part is small; each round trains on the documents that the one
-    before left clean, and each span is scored as if it had been trained on in one document less. Later rounds score
-    the spans that some chain did not make clearly less likely in the first: training on less of what is garbled moves
-    a margin by no more than the logarithm of how much rarer that became, so the others are settled.
+    before left clean, and each span is scored as if it had been trained on in one document less. Every round scores every
+    span anew, as a margin sums over all trigrams of a span and may rise far once garbled documents left the training.
 
     Scale: texts are read once and whole; only (document, spans) is kept, and all scoring is on distinct spans. Equal
     spans are counted map-side before the shuffle, so common ones are harmless; only suspicious spans are joined back
@@ -413,19 +411,14 @@ def find_garbled(
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # named, so that few bytes are not gathered in few tasks
     with arrow_batches(spark, SPANS_AT_ONCE):
         options = scratch.table(vocabulary.select("span").repartition(tasks, "span").mapInArrow(_list_options, _OPTIONS), "options")
-    counts, open_options, settled = vocabulary, options, None
+    counts = vocabulary
     for turn in range(rounds):
         last = turn + 1 == rounds
         model = train(counts)
         shared = spark.sparkContext.broadcast((model.n3, model.n2, model.n1))  # of fixed size
-        weighed = open_options.join(counts, "span").select("span", "n", "texts", "chains", "kinds")
-        again = weighed.mapInArrow(_scorer(shared), _SCORED)
+        weighed = options.join(counts, "span").select("span", "n", "texts", "chains", "kinds")
         with arrow_batches(spark, SPANS_AT_ONCE):
-            scored = scratch.table(again.unionByName(settled) if turn else again, f"scored{turn}")
-        if not turn and not last:
-            near = F.greatest(F.coalesce("margin0", F.lit(-1e3)), F.coalesce("margin1", F.lit(-1e3))) > FAR
-            settled = scored.filter(~near)
-            open_options = scratch.table(options.join(scored.filter(near).select("span"), "span", "left_semi"), "open_options")
+            scored = scratch.table(weighed.mapInArrow(_scorer(shared), _SCORED), f"scored{turn}")
         limit0 = _validated(scored, margins[0], false_share) if last else margins[0]
         suspects = scratch.table(scored.filter("margin0 > 2.5 OR margin1 > 2.5").select("span", *(F.coalesce(f"margin{k}", F.lit(-1e3)).alias(f"margin{k}") for k in (0, 1)), "chain0", "chain1", "word", "odd"), f"suspects{turn}")
         hits = scratch.table(kept.select("doc_id", F.explode("spans").alias("span")).join(suspects, "span"), f"hits{turn}")
