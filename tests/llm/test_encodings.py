@@ -146,3 +146,12 @@ def test_margins_follow_what_leaves_the_training(spark, scratch):
     docs += [(6_900 + i, bad, "ru") for i in range(2)]
     _, g = found_in(spark, scratch, docs)
     assert {r["doc_id"] for r in g.documents.filter("NOT lost").collect()} == {6_900, 6_901}
+
+
+def test_evidence_counts_for_every_chain_that_gives_the_text(spark, scratch):
+    assert any("cp1250>mac_roman" in c[1].split("|") and "cp1252>mac_roman" in c[1].split("|") for c in candidates("ogólny".encode("cp1250").decode("mac_roman")))
+    docs = [(i, f"{t} ogólny równania", x) for i, t, x in corpus(random.Random(7))]
+    # Two words with a letter that the encodings share, two with Polish letters only: three or more for cp1250 alone.
+    docs.append((7_000, "ogólny równania łączną część".encode("cp1250").decode("mac_roman"), "pl"))
+    _, g = found_in(spark, scratch, docs, margins=(500.0, 500.0))
+    assert [(r["doc_id"], r["chain"]) for r in g.documents.collect()] == [(7_000, "cp1250>mac_roman")]

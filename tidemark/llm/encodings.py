@@ -122,7 +122,8 @@ def a_word(span: str) -> bool:
 def candidates(span: str) -> list[tuple[str, str, int]]:
     """(text, chain, kind) of every chain that gives another text: kind 0 through UTF-8, kind 1 between single bytes.
 
-    A chain is written as it happened, e.g. utf_8>cp1252 is UTF-8 text read as cp1252.
+    A chain is written as it happened, e.g. utf_8>cp1252 is UTF-8 text read as cp1252. Single-byte chains that give the
+    same text stand together, with | between them.
     """
     out: dict[str, tuple[str, int]] = {}
     front = [(span, "")]
@@ -146,8 +147,8 @@ def candidates(span: str) -> list[tuple[str, str, int]]:
     for chain, takes, mapping in _translations():
         if high <= takes:
             back = span.translate(mapping)
-            if back != span and back not in out:
-                out[back] = (chain, 1)
+            if back != span and out.get(back, ("", 1))[1]:
+                out[back] = (f"{out[back][0]}|{chain}" if back in out else chain, 1)
     return [(text, chain, kind) for text, (chain, kind) in out.items() if not _controls(text)]
 
 
@@ -302,7 +303,7 @@ def train(vocabulary: DataFrame) -> NgramModel:
 
 
 _OPTIONS = "span string, texts array<string>, chains array<string>, kinds array<int>"
-_SCORED = "span string, n bigint, margin0 double, text0 string, chain0 string, margin1 double, text1 string, chain1 string, word boolean, odd boolean"
+_SCORED = "span string, n bigint, margin0 double, text0 string, chain0 string, margin1 double, text1 string, chain1 string, word boolean, odd boolean, credits0 array<struct<chain string, margin double>>, credits1 array<struct<chain string, margin double>>"
 
 
 def _list_options(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,16 +337,21 @@ def _scorer(model):
                         rows.append(i)
             gains = lm.scores(texts) - base[rows] if texts else []
             best: list[list] = [[(None, None, None)] * 2 for _ in spans]
+            credits: list[list[dict]] = [[{}, {}] for _ in spans]
             for gain, text, chain, kind, i in zip(gains, texts, chains, kinds, rows, strict=True):
                 now = best[i][kind]
                 if now[0] is None or (gain, text) > (now[0], now[1]):
-                    best[i][kind] = (float(gain), text, chain)
+                    best[i][kind] = (float(gain), text, chain.partition("|")[0])
+                for one in chain.split("|") if gain > 0 else ():
+                    credits[i][kind][one] = max(float(gain), credits[i][kind].get(one, 0.0))
             types = (pa.float64(), pa.string(), pa.string())
             columns = [pa.array([x[kind][j] for x in best], types[j]) for kind in (0, 1) for j in range(3)]
             likelier = [x[1][0] is not None and x[1][0] > 0 for x in best]
             columns.append(pa.array([yes and a_word(s) for s, yes in zip(spans, likelier, strict=True)], pa.bool_()))
             columns.append(pa.array([yes and foreign(s) and not foreign(x[1][1]) for s, x, yes in zip(spans, best, likelier, strict=True)], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([b["span"], b["n"], *columns], names=["span", "n", "margin0", "text0", "chain0", "margin1", "text1", "chain1", "word", "odd"])
+            pairs = pa.list_(pa.struct([("chain", pa.string()), ("margin", pa.float64())]))
+            columns += [pa.array([[{"chain": c, "margin": g} for c, g in x[kind].items()] for x in credits], pairs) for kind in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b["span"], b["n"], *columns], names=["span", "n", "margin0", "text0", "chain0", "margin1", "text1", "chain1", "word", "odd", "credits0", "credits1"])
 
     return run
 
@@ -372,7 +378,8 @@ def find_garbled(
 
     A document is affected if, outside markup that shows characters as they are (\\verb, \\texttt, verbatim and the
     like), it has a replacement character, a span that one chain makes likelier by more than its kind's margin, or at
-    least three spans that the same chain makes likelier by `together` in sum. The margins are in natural logarithms,
+    least three spans that the same chain makes likelier by `together` in sum; a span counts for every chain that makes it
+    likelier, by however little. The margins are in natural logarithms,
     for chains through UTF-8 and for those between single-byte encodings; between those, a span counts on its own only if
     it is a word (a_word). The first is validated on the spans of documents held to be clean: if more than false_share of
     their weight lies above the margin, it is raised until that is no more so. The second is validated for each chain, on
@@ -420,7 +427,7 @@ def find_garbled(
         with arrow_batches(spark, SPANS_AT_ONCE):
             scored = scratch.table(weighed.mapInArrow(_scorer(shared), _SCORED), f"scored{turn}")
         limit0 = _validated(scored, margins[0], false_share) if last else margins[0]
-        suspects = scratch.table(scored.filter("margin0 > 2.5 OR margin1 > 2.5").select("span", *(F.coalesce(f"margin{k}", F.lit(-1e3)).alias(f"margin{k}") for k in (0, 1)), "chain0", "chain1", "word", "odd"), f"suspects{turn}")
+        suspects = scratch.table(scored.filter("margin0 > 0 OR margin1 > 0").select("span", *(F.coalesce(f"margin{k}", F.lit(-1e3)).alias(f"margin{k}") for k in (0, 1)), "chain0", "chain1", "word", "odd", "credits0", "credits1"), f"suspects{turn}")
         hits = scratch.table(kept.select("doc_id", F.explode("spans").alias("span")).join(suspects, "span"), f"hits{turn}")
         by_chain = _validated_chains(hits, options, limit0, margins[1], together, false_share) if last else {}
         limit1 = F.lit(margins[1])
@@ -428,12 +435,12 @@ def find_garbled(
             limit1 = F.when(F.col("chain1") == chain, F.lit(limit)).otherwise(limit1)
         through_utf8 = F.col("margin0") >= F.least(F.col("margin1"), F.lit(UNDOUBTED))
         clear1 = F.col("word") & (F.col("margin1") > F.when(F.col("odd"), F.lit(margins[1])).otherwise(limit1))
-        hits = hits.select("doc_id", F.when(through_utf8, F.col("chain0")).otherwise(F.col("chain1")).alias("chain"), F.when(through_utf8, F.col("margin0")).otherwise(F.col("margin1")).alias("margin"), (F.col("margin0") > limit0).alias("clear0"), clear1.alias("clear1"))
-        evidence = hits.groupBy("doc_id", "chain").agg(F.sum("margin").alias("evidence"), F.count(F.lit(1)).alias("spans"), F.max(F.col("clear0") | F.col("clear1")).alias("clear"))
+        hits = hits.select("doc_id", F.explode(F.when(through_utf8, F.col("credits0")).otherwise(F.col("credits1"))).alias("credit"), ((F.col("margin0") > limit0) | clear1).alias("clear"))
+        evidence = hits.groupBy("doc_id", F.col("credit.chain").alias("chain")).agg(F.sum("credit.margin").alias("evidence"), F.count(F.lit(1)).alias("spans"), F.max("clear").alias("clear"))
         sure = evidence.filter(F.col("clear") | ((F.col("spans") >= 3) & (F.col("evidence") > together)))
         lost = kept.filter("lost").select("doc_id", F.lit(None).cast("string").alias("chain"), F.lit(0.0).alias("evidence"), F.lit(True).alias("lost"))
         rows = sure.select("doc_id", "chain", "evidence", F.lit(False).alias("lost")).unionByName(lost)
-        affected = scratch.table(rows.groupBy("doc_id").agg(F.sum("evidence").alias("evidence"), F.max_by("chain", "evidence").alias("chain"), F.max("lost").alias("lost")), f"affected{turn}")
+        affected = scratch.table(rows.groupBy("doc_id").agg(F.max("evidence").alias("evidence"), F.max(F.struct("evidence", "chain"))["chain"].alias("chain"), F.max("lost").alias("lost")), f"affected{turn}")
         if not last:
             gone = kept.join(affected.select("doc_id"), "doc_id", "left_semi").select(F.explode("spans").alias("span")).groupBy("span").agg(F.count(F.lit(1)).alias("gone"))
             counts = scratch.table(vocabulary.join(gone, "span", "left").select("span", (F.col("n") - F.coalesce("gone", F.lit(0))).alias("n")), f"counts{turn}")
@@ -471,7 +478,7 @@ def _validated_chains(hits: DataFrame, options: DataFrame, limit0: float, least:
     above = plain.join(firm, "doc_id", "left_anti").select("span", "chain1", "margin1").distinct().groupBy("chain1", _quarter("margin1")).agg(F.count(F.lit(1)).alias("n")).collect()
     if not above:
         return {}
-    read = options.select(F.explode(F.arrays_zip("chains", "kinds")).alias("o")).filter("o.kinds = 1").groupBy(F.col("o.chains").alias("chain")).agg(F.count(F.lit(1)).alias("n"))
+    read = options.select(F.explode(F.arrays_zip("chains", "kinds")).alias("o")).filter("o.kinds = 1").select(F.explode(F.split("o.chains", "[|]")).alias("chain")).groupBy("chain").agg(F.count(F.lit(1)).alias("n"))
     spans = {r["chain"]: r["n"] for r in read.collect()}
     found = {chain: _raised([r for r in above if r["chain1"] == chain], max(false_share * spans.get(chain, 0), 3), least) for chain in {r["chain1"] for r in above}}
     return {chain: limit for chain, limit in found.items() if limit > least}
