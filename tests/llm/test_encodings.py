@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tidemark.llm.encodings import NgramModel, a_word, candidates, find_garbled, foreign, restore, spans_of
+from tidemark.llm.encodings import NgramModel, _scorer, a_word, candidates, find_garbled, foreign, restore, spans_of
 
 WORDS = {
     "de": "Die Wärmeleitfähigkeit übertrifft jede zulässige Störung außerhalb der Grenzschicht während der Abkühlung für größere Prüfkörper".split(),
@@ -155,3 +156,15 @@ def test_evidence_counts_for_every_chain_that_gives_the_text(spark, scratch):
     docs.append((7_000, "ogólny równania łączną część".encode("cp1250").decode("mac_roman"), "pl"))
     _, g = found_in(spark, scratch, docs, margins=(500.0, 500.0))
     assert [(r["doc_id"], r["chain"]) for r in g.documents.collect()] == [(7_000, "cp1250>mac_roman")]
+
+
+@pytest.mark.parametrize("whole, reading", [("Gr\u0489\u0488e", "Größe"), ("größe", "größe")])
+def test_dropped_bytes_are_filled_in_beside_a_whole_reading(whole, reading):
+    class Shared:
+        value = tuple(t.astype(np.float32) for t in NgramModel.count(["Größe", "größe", "für"], [50, 200, 40]))
+
+    span = "".join(c for c in "Größe".encode().decode("latin-1") if not "\x80" <= c < "\xa0")
+    columns = [pa.array([span]), pa.array([1]), pa.array([[whole]]), pa.array([["utf_8>cp850"]]), pa.array([[0]], pa.list_(pa.int32()))]
+    batch = pa.RecordBatch.from_arrays(columns, names=["span", "n", "texts", "chains", "kinds"])
+    (out,) = _scorer(Shared)([batch])
+    assert out["text0"].to_pylist() == [reading]
