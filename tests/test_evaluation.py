@@ -131,3 +131,21 @@ def test_report(spark, tmp_path):
     describe.write_report(tmp_path / "r.md", {"Roles": describe.shares_of_total(w.labels(spark), "role_label")}, "Report")
     text = (tmp_path / "r.md").read_text()
     assert "## Roles" in text and "| RELAY | 4 | 1 |" in text
+
+
+def test_registered_bootstrap_takes_all_resamples(monkeypatch):
+    from types import SimpleNamespace
+
+    from tidemark.plans import reference_queries
+
+    taken = []
+
+    def note(*args, resamples=1_000, **more):
+        taken.append(resamples)
+        return {"delta": 0.0, "low": 0.0, "high": 0.0}
+
+    monkeypatch.setattr(reference_queries, "scored_accounts", lambda *a: None)
+    monkeypatch.setattr(metrics, "exact_sample", lambda *a: None)
+    monkeypatch.setattr(metrics, "cluster_bootstrap", note)
+    reference_queries.cluster_bootstrap(SimpleNamespace(createDataFrame=lambda *a: None), "")
+    assert taken == [1_000]

@@ -611,7 +611,7 @@ def tree_probe(spark, d):
 def cluster_bootstrap(spark, d):
     """Confidence interval of the difference between two scores' AP, on a sample of the size that the operator takes."""
     rows = metrics.exact_sample(scored_accounts(spark, d), 200_000, "bootstrap", "account_id")
-    found = metrics.cluster_bootstrap(rows, "account_id", "y", "n", "total", resamples=200)
+    found = metrics.cluster_bootstrap(rows, "account_id", "y", "n", "total")
     return spark.createDataFrame([(found["delta"], found["low"], found["high"])], "delta double, low double, high double")
 
 
