@@ -168,3 +168,11 @@ def test_dropped_bytes_are_filled_in_beside_a_whole_reading(whole, reading):
     batch = pa.RecordBatch.from_arrays(columns, names=["span", "n", "texts", "chains", "kinds"])
     (out,) = _scorer(Shared)([batch])
     assert out["text0"].to_pylist() == [reading]
+
+
+def test_one_rare_word_between_single_byte_encodings(spark, scratch):
+    docs = corpus(random.Random(5))
+    # Words that no text has, so that they are likelier by less than 25.
+    docs += [(8_000 + i, f"{docs[i][1]} {w}", "xx") for i, w in enumerate(("йnergie", "W÷rter", "Prьfung"))]
+    _, g = found_in(spark, scratch, docs)
+    assert {r["doc_id"] for r in g.documents.collect()} == {8_000, 8_001, 8_002}
