@@ -71,6 +71,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
         self._made: dict[str, list[str]] = {}
+        self._tables = 0
         atexit.register(self.close)
 
     def path(self, name: str) -> str:
@@ -79,7 +80,8 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and return it as read back. A name that is used again gets another path, so earlier results stay."""
         paths = self._made.setdefault(name, [])
-        paths.append(self.path(f"{name}-{len(paths)}"))
+        paths.append(self.path(f"{name}-{self._tables}"))
+        self._tables += 1
         df.write.mode("overwrite").parquet(paths[-1])
         return self.spark.read.schema(df.schema).parquet(paths[-1])
 
@@ -88,6 +90,12 @@ class Scratch:
         if self._made.get(name):
             self._delete(self._made[name][-1])
 
+    def drop_before(self, name: str) -> None:
+        """Delete the tables written under the name but the last."""
+        for path in self._made.get(name, [])[:-1]:
+            self._delete(path)
+        self._made[name] = self._made.get(name, [])[-1:]
+
     def close(self) -> None:
         """Delete all tables of the run; results that still read them are then no longer readable."""
         self._delete(self.root)
