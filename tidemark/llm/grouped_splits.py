@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+import heapq
+import math
 from collections.abc import Mapping, Sequence
 from fractions import Fraction
 
@@ -58,51 +59,18 @@ def components(members: DataFrame, group: str, entity: Sequence[str], scratch: S
     return rows.select("group_id").distinct().join(edges.select(F.col("u").alias("group_id"), F.col("v").alias("least")), "group_id", "left").select("group_id", F.coalesce("least", "group_id").alias("component"))
 
 
-class _Flow:
-    """Min-cost flow by successive shortest paths; an arc may have a convex cost, given as the cost of its next unit."""
-
-    def __init__(self) -> None:
-        self.arcs: list[list] = []  # [to, capacity, flow, cost(flow) -> cost of the next unit]
-        self.out: dict = defaultdict(list)
-
-    def add(self, u, v, capacity: int, cost) -> int:
-        self.arcs += [[v, capacity, 0, cost], [u, 0, 0, None]]
-        self.out[u].append(len(self.arcs) - 2)
-        self.out[v].append(len(self.arcs) - 1)
-        return len(self.arcs) - 2
-
-    def _usable(self, a: int):
-        """Cost of one more unit along arc a, None if there is no room; odd arcs take a unit back."""
-        if a % 2:
-            forth = self.arcs[a - 1]
-            return None if forth[2] == 0 else -forth[3](forth[2] - 1)
-        to = self.arcs[a]
-        return None if to[2] >= to[1] else to[3](to[2])
-
-    def send(self, source, sink, units: int) -> None:
-        for _ in range(units):
-            dist, via, queue, waiting = {source: 0}, {}, [source], {source}
-            while queue:  # label correcting, as costs may be negative; arcs keep the graph free of negative cycles
-                u = queue.pop(0)
-                waiting.discard(u)
-                for a in self.out[u]:
-                    cost = self._usable(a)
-                    v = self.arcs[a][0]
-                    if cost is not None and (v not in dist or dist[u] + cost < dist[v]):
-                        dist[v], via[v] = dist[u] + cost, a
-                        if v not in waiting:
-                            waiting.add(v)
-                            queue.append(v)
-            if sink not in dist:
-                raise ConfigError("the flow has no room")
-            v = sink
-            while v != source:
-                a = via[v]
-                if a % 2:
-                    self.arcs[a - 1][2] -= 1
-                else:
-                    self.arcs[a][2] += 1
-                v = self.arcs[a ^ 1][0]
+def linked_pairs(splits: DataFrame, group: str, chunk: int = 1_000) -> DataFrame:
+    """({group}_a, {group}_b), a < b: all pairs of groups that splits (group, component, split) holds together.
+
+    The rows are as many as there are pairs. The groups of a component are dealt into chunks of about `chunk`, and each
+    group meets one chunk in a task, so that the pairs of one large component come from many tasks.
+    """
+    s = splits.select(col(group).alias("g"), "component", "split")
+    many = s.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    s = s.join(many, "component")
+    left = s.select(F.col("g").alias(f"{group}_a"), "component", "split", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    right = s.select(F.col("g").alias(f"{group}_b"), "component", "split", F.pmod(F.xxhash64("g"), F.col("chunks")).cast("int").alias("chunk"))
+    return left.join(right, ["component", "split", "chunk"]).filter(col(f"{group}_a") < col(f"{group}_b")).select(f"{group}_a", f"{group}_b")
 
 
 def _on_simplex(wanted: Sequence[Fraction], total: int) -> list[Fraction]:
@@ -116,48 +84,169 @@ def _on_simplex(wanted: Sequence[Fraction], total: int) -> list[Fraction]:
         open_ = [k for k in open_ if k not in low]
 
 
+class _Arc:
+    """An arc whose cost is the distance from `part` steps of `step` units, straight between whole steps: three segments."""
+
+    __slots__ = ("flow", "middle", "most", "high", "low", "rise")
+
+    def __init__(self, part: Fraction, step: int, rise: int, most: int) -> None:
+        whole = part.numerator // part.denominator
+        self.low, self.high, self.most, self.rise = whole * step, (whole + 1) * step, most, rise
+        self.middle = rise - int(2 * rise * (part - whole))  # rise is a multiple of the denominators
+        self.flow = 0
+
+    def forth(self) -> tuple[int, int] | None:
+        """Cost of one more unit, and how many more have that cost."""
+        f = self.flow
+        if f >= self.most:
+            return None
+        if f < self.low:
+            return -self.rise, min(self.low, self.most) - f
+        if f < self.high:
+            return self.middle, min(self.high, self.most) - f
+        return self.rise, self.most - f
+
+    def back(self) -> tuple[int, int] | None:
+        """Cost of one unit less, and how many have that cost."""
+        f = self.flow
+        if f <= 0:
+            return None
+        if f <= self.low:
+            return self.rise, f
+        if f <= self.high:
+            return -self.middle, f - self.low
+        return -self.rise, f - self.high
+
+
+def weight(size: int, widest: int) -> int:
+    """Of one group of a component of this size, against the largest."""
+    return widest // size
+
+
+def flow_over(bundles: Sequence[tuple[int, int]], shares: Sequence[Fraction], goals: Sequence[Fraction]) -> list[list[int]]:
+    """The min-cost flow of groups from all bundles (size, count) over all splits to the sink, in groups.
+
+    source -> bundle carries size * count groups; bundle -> split costs how far the number of its components is from
+    the bundle's proportional part (by shares), straight between whole components, where a component of a large size
+    costs no more than one of a small size (weight), so that large ones make good for each other first; split -> sink
+    costs how far the split is from its goal, and weighs more than any detour through bundles. Successive shortest
+    paths: what is below both a bundle's part and the goals is the cheapest there is and never in the way, so its whole
+    components are sent at once; then each path takes as much as its tightest segment. Between splits a path may take
+    groups of a bundle back, so that a path is found among the splits alone, with the best bundle of each step on a heap.
+    """
+    total, n, widest = sum(s * c for s, c in bundles), len(goals), max(s for s, _ in bundles)
+    unit = math.lcm(*((count * share).denominator for _, count in bundles for share in shares), *(g.denominator for g in goals))
+    arcs = [[_Arc(count * share, size, unit * weight(size, widest), size * count if share else 0) for share in shares] for size, count in bundles]
+    sinks = [_Arc(g, 1, 8 * n * unit * weight(1, widest), total) for g in goals]
+    for (size, count), row in zip(bundles, arcs, strict=True):
+        for a, share, g in zip(row, shares, goals, strict=True):
+            a.flow = int(count * min(share, g / total)) * size
+    left = []
+    for k, sink in enumerate(sinks):
+        sink.flow = sum(row[k].flow for row in arcs)
+    for (size, count), row in zip(bundles, arcs, strict=True):
+        left.append(size * count - sum(a.flow for a in row))
+    enter: list[list] = [[] for _ in range(n)]
+    swap: list[list[list]] = [[[] for _ in range(n)] for _ in range(n)]
+
+    def step(b: int, j: int, k: int) -> tuple[int, int] | None:
+        """Cost and room of moving groups of bundle b from split j to split k; j = -1 is the source."""
+        to = arcs[b][k].forth()
+        if j < 0:
+            return None if to is None or not left[b] else (to[0], min(to[1], left[b]))
+        gone = arcs[b][j].back()
+        return None if to is None or gone is None else (to[0] + gone[0], min(to[1], gone[1]))
+
+    def offer(b: int) -> None:
+        for k in range(n):
+            if found := step(b, -1, k):
+                heapq.heappush(enter[k], (found[0], b))
+            for j in range(n):
+                if j != k and (found := step(b, j, k)):
+                    heapq.heappush(swap[j][k], (found[0], b))
+
+    def best(heap: list, j: int, k: int) -> tuple[int, int, int] | None:
+        """The cheapest step that still costs what it did when it was offered."""
+        while heap:
+            cost, b = heap[0]
+            found = step(b, j, k)
+            if found and found[0] == cost:
+                return cost, b, found[1]
+            heapq.heappop(heap)
+        return None
+
+    for b in range(len(bundles)):
+        offer(b)
+    waiting = sum(left)
+    while waiting:
+        reach: list = [None] * n
+        for k in range(n):
+            if found := best(enter[k], -1, k):
+                reach[k] = (found[0], [(found[1], -1, k, found[2])])
+        moves = [(j, k, found) for j in range(n) for k in range(n) if j != k and (found := best(swap[j][k], j, k))]
+        for _ in range(n - 1):
+            for j, k, (cost, b, room) in moves:
+                if reach[j] and all(j2 != k and k2 != k for _, j2, k2, _ in reach[j][1]) and (reach[k] is None or reach[j][0] + cost < reach[k][0]):
+                    reach[k] = (reach[j][0] + cost, [*reach[j][1], (b, j, k, room)])
+        ends = [(reach[k][0] + out[0], k, out[1]) for k in range(n) if reach[k] and (out := sinks[k].forth())]
+        if not ends:
+            raise ConfigError("the flow has no room")
+        _, k, room = min(ends)
+        path = reach[k][1]
+        units = min(room, *(r for *_, r in path))
+        touched = set()
+        for b, j, to, _ in path:
+            arcs[b][to].flow += units
+            if j < 0:
+                left[b] -= units
+            else:
+                arcs[b][j].flow -= units
+            touched.add(b)
+        sinks[k].flow += units
+        waiting -= units
+        for b in touched:
+            offer(b)
+    return [[a.flow for a in row] for row in arcs]
+
+
 def allocate(bundles: Sequence[tuple[int, str, int]], shares: Sequence[Fraction]) -> list[list[int]]:
     """How many components of each bundle (size, profile, count) go to each split; whole numbers that add up to count.
 
-    Sizes are placed from the largest down. What a size should give each split is what the split still lacks of its
-    quota less its proportional part of all smaller sizes, so that smaller components make good for what larger ones
-    had to leave. Each bundle's part of that is rounded down at once; the components left over, fewer than there are
-    splits in each bundle, are placed by min-cost flow: bundle to split costs the deviation of the bundle from its own
-    part, split to sink the square of the split's deviation from its quota, which is convex.
+    One min-cost flow over all bundles and splits (flow_over), then rounding: the few bundles whose flow is no whole
+    number of components have their remaining components placed, largest first, where most is lacking; with them and
+    all of their size or larger fixed, the flow is solved again for the smaller ones towards what the splits still
+    lack, so that smaller components make good for what larger ones had to leave.
     """
-    total = sum(size * n for size, _, n in bundles)
-    room = [s * total for s in shares]
-    parts = [[0] * len(shares) for _ in bundles]
-    by_size: dict[int, list[int]] = defaultdict(list)
-    for i, (size, _, _) in enumerate(bundles):
-        by_size[size].append(i)
-    smaller = total
-    for size in sorted(by_size, reverse=True):
-        count = sum(bundles[i][2] for i in by_size[size])
-        smaller -= size * count
-        goal = _on_simplex([(room[k] - s * smaller) / size for k, s in enumerate(shares)], count)
-        goal = [g if s else Fraction(0) for g, s in zip(goal, shares, strict=True)]
-        flow, units, arcs = _Flow(), 0, {}
-        for i in by_size[size]:
-            own = [bundles[i][2] * g / count for g in goal]
-            parts[i] = [int(x) for x in own]
-            left = bundles[i][2] - sum(parts[i])
+    parts: list[list[int]] = [[0] * len(shares) for _ in bundles]
+    quota = [s * sum(size * n for size, _, n in bundles) for s in shares]
+    open_ = [i for i, (size, _, n) in enumerate(bundles) if size * n]
+    while open_:
+        total = sum(bundles[i][0] * bundles[i][2] for i in open_)
+        wanted = [k for k, s in enumerate(shares) if s]
+        near = _on_simplex([quota[k] for k in wanted], total)
+        goals = [Fraction(0)] * len(shares)
+        for k, g in zip(wanted, near, strict=True):
+            goals[k] = g
+        flows = dict(zip(open_, flow_over([(bundles[i][0], bundles[i][2]) for i in open_], shares, goals), strict=True))
+        broken = [i for i in open_ if any(f % bundles[i][0] for f in flows[i])]
+        least = min((bundles[i][0] for i in broken), default=0)
+        done = [i for i in open_ if bundles[i][0] >= least]
+        for i in done:
+            parts[i] = [f // bundles[i][0] for f in flows[i]]
+        # What the splits lack once the bundles that came out whole have their flow.
+        lack = [q - sum(flows[i][k] for i in open_ if i not in set(broken)) - sum(bundles[i][0] * parts[i][k] for i in broken) for k, q in enumerate(quota)]
+        for i in sorted(broken, key=lambda i: (-bundles[i][0], i)):
+            size, rest = bundles[i][0], [f % bundles[i][0] for f in flows[i]]
+            for _ in range(bundles[i][2] - sum(parts[i])):
+                k = max(wanted, key=lambda k: (lack[k], rest[k], -k))
+                parts[i][k] += 1
+                lack[k] -= size
+                rest[k] -= size
+        for i in done:
             for k in range(len(shares)):
-                room[k] -= size * parts[i][k]
-            if not left:
-                continue
-            units += left
-            flow.add("source", ("b", i), left, lambda f: 0)
-            for k, s in enumerate(shares):
-                part = own[k] - parts[i][k]
-                # A quarter of the weight, so that quotas come first where the two conflict.
-                arcs[i, k] = flow.add(("b", i), ("s", k), left if s else 0, lambda f, part=part: (2 * f + 1 - 2 * part) * size * size / 4)
-        for k in range(len(shares)):
-            flow.add(("s", k), "sink", units, lambda f, k=k: size * size * (2 * f + 1) - 2 * size * room[k])
-        flow.send("source", "sink", units)
-        for (i, k), a in arcs.items():
-            parts[i][k] += flow.arcs[a][2]
-            room[k] -= size * flow.arcs[a][2]
+                quota[k] -= bundles[i][0] * parts[i][k]
+        gone = set(done)
+        open_ = [i for i in open_ if i not in gone]
     return parts
 
 
@@ -170,7 +259,7 @@ def grouped_splits(
     *,
     labels: DataFrame | None = None,
     seed: int = 0,
-    max_bundles: int = 5_000,
+    max_bundles: int = 100_000,
 ) -> DataFrame:
     """(group, component, split): every group once, groups with an entity in common in the same split.
 
@@ -179,9 +268,9 @@ def grouped_splits(
     profile (how many groups of each label), bundles get whole numbers of components for each split (allocate), and
     within a bundle components are taken in the order of a seeded hash.
 
-    Bound of what comes to the driver: the bundles, not the components. If there are more than max_bundles profiles, the
-    profile is only the commonest label; sizes that differ number at most sqrt(2 * groups), so bundles are then at
-    most that times the number of labels.
+    What comes to the driver are the bundles, not the components: at most max_bundles, and more raise ConfigError, as
+    any coarser bundling would give other splits. A bundle is a size with a profile, so there are few where components
+    are small or labels few.
 
     Defined cases: repeated rows change nothing; NULL group ids are left out; groups with a NULL label, or with none,
     form a label of their own; an empty table gives an empty result; a component larger than every quota still goes to one split.
@@ -195,14 +284,12 @@ def grouped_splits(
         one = labels.select(col(labels.columns[0]).alias("group_id"), col(labels.columns[1]).cast("string").alias("label")).groupBy("group_id").agg(F.min("label").alias("label"))
         named = whole.join(one, "group_id", "left").withColumn("label", F.coalesce("label", F.lit("")))
     counted = named.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"))
-    profiled = counted.groupBy("component").agg(
-        F.sum("n").alias("size"),
-        F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "label", F.col("n").cast("string")))), ",").alias("full"),
-        F.max(F.struct("n", "label"))["label"].alias("commonest"),
-    )
-    profiled = scratch.table(profiled, "profiled")
-    profile = "full" if profiled.select("size", "full").distinct().count() <= max_bundles else "commonest"
-    bundles = sorted((r["size"], r[profile], r["n"]) for r in profiled.groupBy("size", profile).agg(F.count(F.lit(1)).alias("n")).collect())
+    profile = F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", F.col("n").cast("string"), "label"))), ",")  # one entry per label
+    profiled = scratch.table(counted.groupBy("component").agg(F.sum("n").alias("size"), profile.alias("profile")), "profiled")
+    found = profiled.groupBy("size", "profile").agg(F.count(F.lit(1)).alias("n")).limit(max_bundles + 1).collect()
+    if len(found) > max_bundles:
+        raise ConfigError(f"more than {max_bundles} bundles of size and label profile; name fewer labels or raise max_bundles")
+    bundles = sorted((r["size"], r["profile"], r["n"]) for r in found)
     spark = members.sparkSession
     limits = []
     for (size, label, _), parts in zip(bundles, allocate(bundles, shares), strict=True):
@@ -213,6 +300,6 @@ def grouped_splits(
             first += n
     table = scratch.table(spark.createDataFrame(limits, "l_size bigint, l_profile string, after bigint, upto bigint, split string"), "limits")
     order = F.xxhash64(F.lit(seed), "component")
-    ranked = rank_in_groups(profiled.select("component", "size", F.col(profile).alias("profile")), ["size", "profile"], F.shiftrightunsigned(order, 52), [order, F.col("component")])
+    ranked = rank_in_groups(profiled, ["size", "profile"], F.shiftrightunsigned(order, 52), [order, F.col("component")])
     placed = ranked.join(table, (F.col("size") == F.col("l_size")) & (F.col("profile") == F.col("l_profile")) & (F.col("rank") > F.col("after")) & (F.col("rank") <= F.col("upto")))
     return whole.join(placed.select("component", "split"), "component").select(F.col("group_id").alias(group), "component", "split")

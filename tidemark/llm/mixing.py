@@ -12,12 +12,18 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import ConfigError
 from tidemark.functions.canon import col
+from tidemark.operators.ranking import rank_in_groups, sum_before
 from tidemark.session import Scratch
 
 
+MOST_BLOCKS = 1_000_000_000  # that the generator can draw from at once
+
+
 def node_draw(counts: np.ndarray, shards_left: int, shards: int, seed: int, low: int, high: int) -> np.ndarray:
     """How many blocks of each source the left half of a node takes: multivariate hypergeometric, fixed by the node."""
     total = int(counts.sum())
+    if total >= MOST_BLOCKS:
+        raise ConfigError(f"{total} blocks are too many to draw from; block_tokens must be larger")
     take = (total * shards_left * 2 + shards) // (2 * shards)
     rng = np.random.Generator(np.random.Philox(key=[seed & (2**64 - 1), (low << 32) | high]))
     return rng.multivariate_hypergeometric(counts, take, method="marginals")
@@ -82,9 +88,10 @@ def mix_sources(
     available_tokens, cap_tokens, drawn_tokens, drawn_documents, repeats, actual_share); target_tokens is
     target_share * run_tokens as a double.
 
-    Scale: documents are shuffled once as (id, source, size); a hot source is spread by its blocks. What is ordered in
-    one task is a source's blocks (its tokens / block_tokens rows), never its documents. At most max_sources targets
-    come to the driver, with two numbers each.
+    Scale: documents are shuffled once as (id, source, size); a hot source is spread by its blocks, and the orders of
+    its blocks and their running totals are found by buckets of a hash, so no source is sorted in one task. At most
+    max_sources targets come to the driver, with two numbers each. A run has fewer than MOST_BLOCKS blocks, or
+    ConfigError is raised: with blocks of the default size that is 10^15 tokens.
 
     Defined cases: a source without documents draws nothing; sources that are no target are not drawn; NULL sources
     are no target; a NULL or empty text has size 0 and is drawn with its block; the same document id counts once, with
@@ -106,7 +113,7 @@ def mix_sources(
     facts = []
     for r in sorted(wanted, key=lambda r: r["source"]):
         own, goal = have.get(r["source"], 0), r["target_share"] * total
-        draw = min(round(goal), r["max_repeats"] * own)
+        draw = min(math.ceil(goal), r["max_repeats"] * own)
         facts.append((r["source"], names.index(r["source"]), r["target_share"], r["max_repeats"], goal, own, r["max_repeats"] * own, draw, max(1, math.ceil(own / block_tokens)), math.ceil(draw / own) if own else 0))
     spark = documents.sparkSession
     shape = "source string, source_no int, target_share double, max_repeats int, target_tokens double, available_tokens bigint, cap_tokens bigint, quota bigint, n_blocks bigint, epochs bigint"
@@ -115,11 +122,14 @@ def mix_sources(
     marked = scratch.table(marked.repartition("source_no", "block"), "marked")
     blocks = marked.groupBy("source_no", "block").agg(F.sum("size").alias("tokens"))
     turns = blocks.join(f.select("source_no", "quota", "epochs"), "source_no").filter("epochs > 0").withColumn("repeat_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("epochs") - 1)))
-    order = Window.partitionBy("source_no").orderBy("repeat_no", F.xxhash64(F.lit(seed + 1), "repeat_no", "block"), "block")
-    before = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    drawn = turns.withColumn("before", before).filter("before < quota").withColumn("room", F.col("quota") - F.col("before"))
-    shuffled = Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(seed + 2), "repeat_no", "block"), "repeat_no", "block")
-    drawn = scratch.table(drawn.select("source_no", "block", "repeat_no", "tokens", "room", (F.row_number().over(shuffled) - 1).cast("bigint").alias("place")), "drawn")
+    turns = scratch.table(turns, "turns")
+    # Whole repeats one after the other, blocks in the order of a hash; a bucket is a repeat and the hash's first bits.
+    order = F.xxhash64(F.lit(seed + 1), "repeat_no", "block")
+    summed = sum_before(turns, ["source_no"], F.shiftleft("repeat_no", 12) + F.shiftrightunsigned(order, 52), [order, F.col("block")], "tokens", "before")
+    drawn = scratch.table(summed.filter("before < quota").select("source_no", "block", "repeat_no", "tokens", (F.col("quota") - F.col("before")).alias("room")), "taken")
+    shuffled = F.xxhash64(F.lit(seed + 2), "repeat_no", "block")
+    drawn = rank_in_groups(drawn, ["source_no"], F.shiftrightunsigned(shuffled, 52), [shuffled, F.col("repeat_no"), F.col("block")])
+    drawn = scratch.table(drawn.withColumn("place", F.col("rank") - 1).drop("rank"), "drawn")
     per_source = {r["source_no"]: (r["n"], r["tokens"]) for r in drawn.groupBy("source_no").agg(F.count(F.lit(1)).alias("n"), F.sum(F.least("tokens", "room")).alias("tokens")).collect()}
     counts = [per_source.get(i, (0, 0))[0] for i in range(len(names))]
     shards = max(1, min(sum(counts), math.ceil(sum(x[1] for x in per_source.values()) / shard_tokens)))
