@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidemark.llm.encodings import NgramModel, _scorer, a_word, candidates, find_garbled, foreign, restore, spans_of
+from tidemark.llm.encodings import READ_AS, WRITTEN_IN, NgramModel, _scorer, a_word, byte_table, candidates, find_garbled, foreign, restore, spans_of
 
 WORDS = {
     "de": "Die Wärmeleitfähigkeit übertrifft jede zulässige Störung außerhalb der Grenzschicht während der Abkühlung für größere Prüfkörper".split(),
@@ -176,3 +176,69 @@ def test_one_rare_word_between_single_byte_encodings(spark, scratch):
     docs += [(8_000 + i, f"{docs[i][1]} {w}", "xx") for i, w in enumerate(("йnergie", "W÷rter", "Prьfung"))]
     _, g = found_in(spark, scratch, docs)
     assert {r["doc_id"] for r in g.documents.collect()} == {8_000, 8_001, 8_002}
+
+
+LETTERS = {"cp1251": "длинное", "koi8_r": "длинное", "cp866": "длинное", "iso8859_5": "длинное", "cp1253": "μέθοδος", "iso8859_7": "μέθοδος", "cp1254": "değişim", "cp1250": "łączną", "iso8859_2": "łączną", "cp1257": "žemė"}
+
+
+@pytest.mark.parametrize("written", WRITTEN_IN)
+def test_every_chain_between_single_bytes_is_undone(written):
+    """Wherever reading wrongly keeps all characters, the reading is among the candidates."""
+    word, undone = LETTERS.get(written, "größère"), 0
+    for read in READ_AS:
+        bad = "".join(byte_table(read)[b] for b in word.encode(written))
+        if bad != word and not any("\x7f" <= ch < "\xa0" for ch in bad):
+            assert word in {text for text, _, _ in candidates(bad)}, (written, read, bad)
+            undone += 1
+    assert undone >= 6
+
+
+@pytest.mark.parametrize("read", READ_AS)
+def test_every_wrong_reading_of_utf8_is_undone(read):
+    for word in ("système", "größe", "łączną", "длинное", "μέθοδος"):
+        bad = "".join(byte_table(read)[b] for b in word.encode("utf-8"))
+        assert word in {text for text, _, _ in candidates(bad)}
+
+
+def test_latin9_readings_are_told_from_others(spark, scratch):
+    docs = corpus(random.Random(8))
+    words = "système contrôle frontière méthode fréquence"
+    docs += [(i, f"{t} {words}", x) for i, t, x in corpus(random.Random(9), 60)]
+    docs = [(n, t, x) for n, (_, t, x) in enumerate(docs)]
+    docs.append((9_000, " ".join(words.split() * 4).encode().decode("iso8859_15"), "fr"))
+    df, g = found_in(spark, scratch, docs)
+    assert [r["restored"].split()[:5] for r in restore(df, g).collect()] == [words.split()]
+
+
+def test_verbatim_environments_are_text_that_was_decoded(spark, scratch):
+    docs = corpus(random.Random(10))
+    tree = "\\begin{verbatim}\nrun\n├── mesh.dat\n└── flow.log\n\\end{verbatim}"
+    docs += [(9_100 + i, f"{t} {tree}", x) for i, t, x in corpus(random.Random(11), 40)]
+    docs.append((9_200, f"Only ASCII around. {tree}".encode().decode("latin_1"), "en"))
+    docs.append((9_201, f"Only ASCII around. {tree}\n\\begin{{verbatim}}\nÃ©\n\\end{{verbatim}}", "en"))
+    df, g = found_in(spark, scratch, docs)
+    assert {r["doc_id"]: r["restored"] for r in restore(df, g).collect()} == {9_200: f"Only ASCII around. {tree}"}
+
+
+def test_shown_parts_are_scored_and_reported_apart(spark, scratch):
+    docs = corpus(random.Random(3))
+    docs.append((9_300, f"{docs[0][1]} \\verb+Ã¼ber+ Text", "de"))
+    _, g = found_in(spark, scratch, docs)
+    assert g.documents.count() == 0
+    assert [(r["doc_id"], r["span"], r["text"]) for r in g.shown.collect()] == [(9_300, "Ã¼ber", "über")]
+
+
+def test_filling_is_exact():
+    """Against all readings of short spans."""
+    model = NgramModel(*(t.astype(np.float32) for t in NgramModel.count(["größe", "Größe", "für", "über", "Übung", "öß"], [50, 20, 40, 30, 10, 9])))
+    keys = model.lossy_keys()["latin_1"]
+
+    def readings(span):
+        if not span:
+            return [""]
+        return [ch + rest for n, ch in [(1, span[0])] + [(n, ch) for n in (1, 2, 3, 4) if n <= len(span) for ch in keys.get(span[:n], ())] for rest in readings(span[n:])]
+
+    for word in ("größe", "Übung", "öß", "für über".replace(" ", "")):
+        span = "".join(c for c in word.encode().decode("latin-1") if not "\x80" <= c < "\xa0")
+        best = max((float(sum(model.step(("\x02\x02" + r + "\x03")[i : i + 3]) for i in range(len(r) + 1))), r) for r in set(readings(span)) if r != span)
+        assert model.fill(span, keys) == best[1]

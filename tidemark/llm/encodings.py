@@ -22,10 +22,10 @@ from tidemark.functions.canon import col
 from tidemark.session import Scratch, arrow_batches
 
 # Encodings that UTF-8 or single-byte text is wrongly read in, and single-byte ones that it is written in.
-READ_AS = ("cp1252", "latin_1", "mac_roman", "cp850", "cp437", "cp1251", "koi8_r", "cp866", "cp1250", "iso8859_2")
-WRITTEN_IN = ("cp1252", "cp1250", "iso8859_2", "cp1251", "koi8_r", "cp866", "mac_roman", "cp850", "iso8859_5")
+READ_AS = ("cp1252", "latin_1", "mac_roman", "cp850", "cp437", "cp1251", "koi8_r", "cp866", "cp1250", "iso8859_2", "iso8859_15", "cp1253", "cp1254", "cp1257", "iso8859_7", "iso8859_9")
+WRITTEN_IN = ("cp1252", "cp1250", "iso8859_2", "cp1251", "koi8_r", "cp866", "mac_roman", "cp850", "iso8859_5", "iso8859_15", "cp1253", "cp1254", "cp1257", "iso8859_7")
 # Bytes that a decoder may have dropped, being controls or undefined in the encoding.
-DROPPED = {"latin_1": frozenset(range(0x80, 0xA0)), "cp1252": frozenset((0x81, 0x8D, 0x8F, 0x90, 0x9D)), "cp1251": frozenset((0x98,))}
+DROPPED = {"latin_1": frozenset(range(0x80, 0xA0)), "iso8859_15": frozenset(range(0x80, 0xA0)), "cp1252": frozenset((0x81, 0x8D, 0x8F, 0x90, 0x9D)), "cp1251": frozenset((0x98,))}
 DEPTH = 3  # how often a text may have gone through UTF-8 wrongly
 
 # A span from its first non-ASCII character on; what stands before is found backwards, so that ASCII text is only scanned.
@@ -71,8 +71,8 @@ def encoded(text: str, codec: str) -> bytes | None:
         return None
 
 
-def _translations() -> list:
-    """(chain, characters that it takes, mapping) of each wrong reading of one single-byte encoding as another."""
+def _translations() -> tuple[list, dict[str, int]]:
+    """(chain, mapping) of each wrong reading of one single-byte encoding as another, and per character the bits of the chains that take it."""
     if "translations" in _TABLES:
         return _TABLES["translations"]
     out, seen = [], set()
@@ -82,9 +82,13 @@ def _translations() -> list:
             mapping = {ord(ch): table[b] for ch, b in encoder(read).items() if b >= 0x80}
             if read != written and (key := tuple(sorted(mapping.items()))) not in seen:
                 seen.add(key)
-                out.append((f"{written}>{read}", frozenset(map(chr, mapping)), mapping))
-    _TABLES["translations"] = out
-    return out
+                out.append((f"{written}>{read}", mapping))
+    takes: dict[str, int] = defaultdict(int)
+    for i, (_, mapping) in enumerate(out):
+        for point in mapping:
+            takes[chr(point)] |= 1 << i
+    _TABLES["translations"] = out, dict(takes)
+    return _TABLES["translations"]
 
 
 def _controls(text: str) -> bool:
@@ -143,22 +147,33 @@ def candidates(span: str) -> list[tuple[str, str, int]]:
                     out[back] = (longer, 0)
                     found.append((back, longer))
         front = [x for x in found if not x[0].isascii()]
-    high = frozenset(ch for ch in span if ch > "\x7f")
-    for chain, takes, mapping in _translations():
-        if high <= takes:
-            back = span.translate(mapping)
-            if back != span and out.get(back, ("", 1))[1]:
-                out[back] = (f"{out[back][0]}|{chain}" if back in out else chain, 1)
+    chains, takes = _translations()
+    able = (1 << len(chains)) - 1
+    for ch in set(span):
+        if ch > "\x7f":
+            able &= takes.get(ch, 0)
+    while able:
+        chain, mapping = chains[(able & -able).bit_length() - 1]
+        able &= able - 1
+        back = span.translate(mapping)
+        if back != span and out.get(back, ("", 1))[1]:
+            out[back] = (f"{out[back][0]}|{chain}" if back in out else chain, 1)
     return [(text, chain, kind) for text, (chain, kind) in out.items() if not _controls(text)]
 
 
-def outside_shown(text: str) -> Iterator[tuple[int, int]]:
-    """Start and end of the parts of a text that are not shown as they are."""
+def parts(text: str) -> Iterator[tuple[int, int, int]]:
+    """Start, end and kind of the parts of a text: 0 plain, 1 a verbatim environment, 2 other markup that shows characters as they are."""
     at = 0
     for m in SHOWN.finditer(text) if "\\" in text else ():
-        yield at, m.start()
+        yield at, m.start(), 0
+        yield m.start(), m.end(), 1 if m.group(2) else 2
         at = m.end()
-    yield at, len(text)
+    yield at, len(text), 0
+
+
+def outside_shown(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of the parts of a text that are not shown as they are."""
+    return ((start, end) for start, end, kind in parts(text) if not kind)
 
 
 def span_places(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
@@ -172,12 +187,18 @@ def span_places(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
         yield i, least
 
 
+def spans_by_part(text: str) -> tuple[list[list[str]], bool]:
+    """The distinct spans of each kind of part, and whether a replacement character is among the plain ones."""
+    found: tuple[set[str], set[str], set[str]] = (set(), set(), set())
+    for start, end, kind in parts(text):
+        found[kind].update(text[i:j] for i, j in span_places(text, start, end))
+    return [sorted(f) for f in found], any(LOST in s for s in found[0])
+
+
 def spans_of(text: str) -> tuple[list[str], bool]:
     """The distinct spans outside shown parts, and whether a replacement character is among them."""
-    found: set[str] = set()
-    for start, end in outside_shown(text):
-        found.update(text[i:j] for i, j in span_places(text, start, end))
-    return sorted(found), any(LOST in s for s in found)
+    found, lost = spans_by_part(text)
+    return found[0], lost
 
 
 def _slots3(a, b, c):
@@ -205,6 +226,7 @@ class NgramModel:
     def __init__(self, n3: np.ndarray, n2: np.ndarray, n1: np.ndarray) -> None:
         self.n3, self.n2, self.n1 = n3, n2, n1
         self.total = float(n1.sum() - n1[2])
+        self._steps: dict[str, float] = {}
 
     @staticmethod
     def count(spans: Sequence[str], weights: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,26 +279,33 @@ class NgramModel:
             out[codec] = dict(keys)
         return out
 
-    def fill(self, span: str, keys: dict[str, list[str]], width: int = 12) -> str | None:
-        """The likeliest reading of a span in which bytes were dropped, by a beam over what each place can stand for."""
-        beams: dict[int, list[tuple[float, str]]] = {0: [(0.0, "")]}
-        for i in range(len(span)):
-            states = sorted(beams.pop(i, []), reverse=True)[:width]
-            options = [(1, span[i])] + [(n, ch) for n in (1, 2, 3, 4) for ch in keys.get(span[i : i + n], ()) if i + n <= len(span)]
-            if not states:
-                continue
-            tries = [(score, done, n, ch) for score, done in states for n, ch in options]
-            gains = self._next([done + ch for _, done, _, ch in tries])
-            for (score, done, n, ch), gain in zip(tries, gains, strict=True):
-                beams.setdefault(i + n, []).append((score + gain, done + ch))
-        ends = [(score, done) for score, done in beams.get(len(span), []) if done != span and not _controls(done)]
+    def fill(self, span: str, keys: dict[str, list[str]]) -> str | None:
+        """The likeliest reading of a span in which bytes were dropped: at each place one character stays or one to four
+        stand for another. Exact, as a character's probability depends on the two before it, which are the state."""
+        layers: list[dict[tuple[str, bool], tuple[float, str]]] = [{} for _ in range(len(span) + 1)]
+        layers[0]["\x02\x02", False] = (0.0, "")
+        for i, layer in enumerate(layers[:-1]):
+            options = [] if "\x7f" <= span[i] < "\xa0" else [(1, span[i], False)]
+            options += [(n, ch, True) for n in (1, 2, 3, 4) if i + n <= len(span) for ch in keys.get(span[i : i + n], ())]
+            for (two, changed), (score, done) in layer.items():
+                for n, ch, other in options:
+                    state = (two[1] + ch, changed or other)
+                    reached = (score + self.step(two + ch), done + ch)
+                    if state not in layers[i + n] or reached > layers[i + n][state]:
+                        layers[i + n][state] = reached
+        ends = [(score + self.step(two + "\x03"), done) for (two, changed), (score, done) in layers[-1].items() if changed and done != span]
         return max(ends)[1] if ends else None
 
-    def _next(self, texts: Sequence[str]) -> np.ndarray:
-        """Log-probability of each text's last character after the two before it."""
-        p = np.array([[ord(ch) for ch in ("\x02\x02" + t)[-3:]] for t in texts], dtype=np.uint64)
-        c2, c1, c0 = p[:, 0], p[:, 1], p[:, 2]
-        return self._log_p(c2, c1, c0)
+    def step(self, three: str) -> float:
+        """Log-probability of the last of three characters after the other two, remembered."""
+        found = self._steps.get(three)
+        if found is None:
+            p = np.array([[ord(ch)] for ch in three], dtype=np.uint64)
+            found = float(self._log_p(p[0], p[1], p[2])[0])
+            if len(self._steps) > 1_000_000:
+                self._steps.clear()
+            self._steps[three] = found
+        return found
 
 
 def train(vocabulary: DataFrame) -> NgramModel:
@@ -357,10 +386,12 @@ def _scorer(model):
 
 
 class Garbled:
-    """documents: (doc_id, evidence, chain, lost) of the affected; readings: (span, text, chain) to restore them by; margins: as validated; by_chain: the higher margins of single chains."""
+    """documents: (doc_id, evidence, chain, chains, lost) of the affected; readings: (doc_id, part, span, text) to restore
+    them by; shown: (doc_id, span, text, chain, margin) of what looks garbled, but is shown on purpose; margins: as
+    validated; by_chain: the higher margins of single chains."""
 
-    def __init__(self, documents: DataFrame, readings: DataFrame, margins: tuple[float, float], by_chain: dict[str, float]) -> None:
-        self.documents, self.readings, self.margins, self.by_chain = documents, readings, margins, by_chain
+    def __init__(self, documents: DataFrame, readings: DataFrame, shown: DataFrame, margins: tuple[float, float], by_chain: dict[str, float]) -> None:
+        self.documents, self.readings, self.shown, self.margins, self.by_chain = documents, readings, shown, margins, by_chain
 
 
 def find_garbled(
@@ -389,6 +420,10 @@ def find_garbled(
     there nor need more than the margin given. Chains cover UTF-8 read as any of READ_AS up to three times over, UTF-8 read with bytes dropped on the way, and
     any of WRITTEN_IN read as another of READ_AS.
 
+    Shown parts are scored as well. A verbatim environment is part of the text as it was decoded: if all of a document's
+    spans in such environments, two at least, read better by one chain, by `together` in sum, the document is affected;
+    a garbled example among others is not enough. What looks garbled in other shown parts is reported in `shown` only.
+
     Training starts from all documents, whose garbled part is small; each round trains on the documents that the one
     before left clean, and each span is scored as if it had been trained on in one document less. Every round scores every
     span anew, as a margin sums over all trigrams of a span and may rise far once garbled documents left the training.
@@ -408,13 +443,17 @@ def find_garbled(
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [spans_of(t) for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[1] for f in found], pa.bool_())], names=["doc_id", "spans", "lost"])
+            found = [spans_by_part(t) for t in b["text"].to_pylist()]
+            columns = [pa.array([f[0][kind] for f in found], pa.list_(pa.string())) for kind in (0, 1, 2)]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *columns, pa.array([f[1] for f in found], pa.bool_())], names=["doc_id", "spans", "blocks", "inline", "lost"])
 
-    kept = d.mapInArrow(extract, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, spans array<string>, lost boolean")
+    kept = d.mapInArrow(extract, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, spans array<string>, blocks array<string>, inline array<string>, lost boolean")
     with arrow_batches(spark, TEXTS_AT_ONCE):
         kept = scratch.table(kept, "spans")
-    vocabulary = scratch.table(kept.select(F.explode("spans").alias("span")).groupBy("span").agg(F.count(F.lit(1)).alias("n")), "vocabulary")
+    # The model is trained on plain text and environments; examples shown in between are only scored.
+    trained = kept.select(F.explode(F.array_union("spans", "blocks")).alias("span"), F.lit(1).alias("n"))
+    words = trained.unionByName(kept.select(F.explode("inline").alias("span"), F.lit(0).alias("n")))
+    vocabulary = scratch.table(words.groupBy("span").agg(F.sum("n").alias("n")), "vocabulary")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # named, so that few bytes are not gathered in few tasks
     with arrow_batches(spark, SPANS_AT_ONCE):
         options = scratch.table(vocabulary.select("span").repartition(tasks, "span").mapInArrow(_list_options, _OPTIONS), "options")
@@ -427,27 +466,40 @@ def find_garbled(
         with arrow_batches(spark, SPANS_AT_ONCE):
             scored = scratch.table(weighed.mapInArrow(_scorer(shared), _SCORED), f"scored{turn}")
         limit0 = _validated(scored, margins[0], false_share) if last else margins[0]
-        suspects = scratch.table(scored.filter("margin0 > 0 OR margin1 > 0").select("span", *(F.coalesce(f"margin{k}", F.lit(-1e3)).alias(f"margin{k}") for k in (0, 1)), "chain0", "chain1", "word", "odd", "credits0", "credits1"), f"suspects{turn}")
-        hits = scratch.table(kept.select("doc_id", F.explode("spans").alias("span")).join(suspects, "span"), f"hits{turn}")
-        by_chain = _validated_chains(hits, options, limit0, margins[1], together, false_share) if last else {}
+        suspects = scratch.table(scored.filter("margin0 > 0 OR margin1 > 0").select("span", *(F.coalesce(f"margin{k}", F.lit(-1e3)).alias(f"margin{k}") for k in (0, 1)), "text0", "text1", "chain0", "chain1", "word", "odd", "credits0", "credits1"), f"suspects{turn}")
+        place = F.explode(F.concat(*(F.transform(c, _of_part(part)) for part, c in enumerate(("spans", "blocks", "inline")))))
+        places = kept.select("doc_id", F.size("blocks").alias("n_blocks"), place.alias("p")).select("doc_id", "n_blocks", "p.*")
+        hits = scratch.table(places.join(suspects, "span"), f"hits{turn}")
+        by_chain = _validated_chains(hits.filter("part = 0"), options, limit0, margins[1], together, false_share) if last else {}
         limit1 = F.lit(margins[1])
         for chain, limit in by_chain.items():
             limit1 = F.when(F.col("chain1") == chain, F.lit(limit)).otherwise(limit1)
         through_utf8 = F.col("margin0") >= F.least(F.col("margin1"), F.lit(UNDOUBTED))
         clear1 = F.col("word") & (F.col("margin1") > F.when(F.col("odd"), F.lit(margins[1])).otherwise(limit1))
-        hits = hits.select("doc_id", F.explode(F.when(through_utf8, F.col("credits0")).otherwise(F.col("credits1"))).alias("credit"), ((F.col("margin0") > limit0) | clear1).alias("clear"))
-        evidence = hits.groupBy("doc_id", F.col("credit.chain").alias("chain")).agg(F.sum("credit.margin").alias("evidence"), F.count(F.lit(1)).alias("spans"), F.max("clear").alias("clear"))
-        sure = evidence.filter(F.col("clear") | ((F.col("spans") >= 3) & (F.col("evidence") > together)))
+        clear0 = F.col("margin0") > limit0
+        hits = hits.select("doc_id", "part", "n_blocks", "span", F.when(through_utf8, F.col("text0")).otherwise(F.col("text1")).alias("text"), F.when(through_utf8, F.col("chain0")).otherwise(F.col("chain1")).alias("chain"), F.when(through_utf8, F.col("credits0")).otherwise(F.col("credits1")).alias("credits"), (clear0 | clear1).alias("clear"))
+        credited = hits.select("doc_id", "part", "n_blocks", F.explode("credits").alias("credit"), "clear")
+        evidence = credited.groupBy("doc_id", "part", F.col("credit.chain").alias("chain")).agg(F.sum("credit.margin").alias("evidence"), F.count(F.lit(1)).alias("spans"), F.max("clear").alias("clear"), F.max("n_blocks").alias("n_blocks"))
+        plain = (F.col("part") == 0) & (F.col("clear") | ((F.col("spans") >= 3) & (F.col("evidence") > together)))
+        block = (F.col("part") == 1) & (F.col("spans") >= 2) & (F.col("spans") == F.col("n_blocks")) & (F.col("evidence") > together)
+        sure = evidence.filter(plain | block)
         lost = kept.filter("lost").select("doc_id", F.lit(None).cast("string").alias("chain"), F.lit(0.0).alias("evidence"), F.lit(True).alias("lost"))
         rows = sure.select("doc_id", "chain", "evidence", F.lit(False).alias("lost")).unionByName(lost)
-        affected = scratch.table(rows.groupBy("doc_id").agg(F.max("evidence").alias("evidence"), F.max(F.struct("evidence", "chain"))["chain"].alias("chain"), F.max("lost").alias("lost")), f"affected{turn}")
+        affected = scratch.table(rows.groupBy("doc_id").agg(F.max("evidence").alias("evidence"), F.max(F.struct("evidence", "chain"))["chain"].alias("chain"), F.collect_set("chain").alias("chains"), F.max("lost").alias("lost")), f"affected{turn}")
         if not last:
-            gone = kept.join(affected.select("doc_id"), "doc_id", "left_semi").select(F.explode("spans").alias("span")).groupBy("span").agg(F.count(F.lit(1)).alias("gone"))
+            gone = kept.join(affected.select("doc_id"), "doc_id", "left_semi").select(F.explode(F.array_union("spans", "blocks")).alias("span")).groupBy("span").agg(F.count(F.lit(1)).alias("gone"))
             counts = scratch.table(vocabulary.join(gone, "span", "left").select("span", (F.col("n") - F.coalesce("gone", F.lit(0))).alias("n")), f"counts{turn}")
         shared.unpersist()
-    utf8 = F.coalesce(F.col("margin0"), F.lit(-1e3)) >= F.least(F.coalesce(F.col("margin1"), F.lit(-1e3)), F.lit(UNDOUBTED))
-    readings = scored.filter("margin0 > 1 OR margin1 > 2.5").select("span", F.when(utf8, F.col("text0")).otherwise(F.col("text1")).alias("text"), F.when(utf8, F.col("chain0")).otherwise(F.col("chain1")).alias("chain"))
-    return Garbled(affected, readings, (limit0, margins[1]), by_chain)
+    shown = hits.filter("part = 2 AND clear").select("doc_id", "span", "text", "chain", F.array_max("credits.margin").alias("margin"))
+    # A span is read anew where it is clear by itself, or where a chain that the document is affected by makes it likelier.
+    known = hits.filter("part < 2").join(affected.select("doc_id", "chains"), "doc_id")
+    same = F.arrays_overlap("credits.chain", "chains")
+    readings = known.filter(same | (F.col("clear") & (F.col("part") == 0))).select("doc_id", "part", "span", "text")
+    return Garbled(affected, readings, shown, (limit0, margins[1]), by_chain)
+
+
+def _of_part(part: int):
+    return lambda span: F.struct(F.lit(part).alias("part"), span.alias("span"))
 
 
 def _raised(rows: list, allowed: float, least: float) -> float:
@@ -487,33 +539,27 @@ def _validated_chains(hits: DataFrame, options: DataFrame, limit0: float, least:
 def restore(documents: DataFrame, garbled: Garbled, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, restored): the affected documents with their spans as they were written.
 
-    Spans that no chain makes likelier stay as they are, and so do shown parts and replacement characters, whose
-    originals are lost.
+    Spans that no chain makes likelier stay as they are, and so do shown parts other than verbatim environments, and
+    replacement characters, whose originals are lost.
     """
     ids = garbled.documents.select(F.col("doc_id").alias("__id"))
     d = documents.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
     d = d.join(ids, d["doc_id"] == ids["__id"], "left_semi").dropDuplicates(["doc_id"])
-
-    def own(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([spans_of(t)[0] for t in b["text"].to_pylist()], pa.list_(pa.string()))], names=["doc_id", "spans"])
-
     id_type = d.schema["doc_id"].dataType.simpleString()
-    spans = d.mapInArrow(own, f"doc_id {id_type}, spans array<string>").select("doc_id", F.explode("spans").alias("span"))
-    changes = spans.join(garbled.readings, "span").groupBy("doc_id").agg(F.collect_list(F.struct("span", F.col("text").alias("reading"))).alias("changes"))
+    changes = garbled.readings.groupBy("doc_id").agg(F.collect_list(F.struct("part", "span", F.col("text").alias("reading"))).alias("changes"))
     both = d.join(changes, "doc_id", "left").select("doc_id", "text", "changes")
 
     def rewrite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             done = []
-            for whole, pairs in zip(b["text"].to_pylist(), b["changes"].to_pylist(), strict=True):
-                to = {p["span"]: p["reading"] for p in pairs or ()}
-                parts, at = [], 0
-                for start, end in outside_shown(whole):
+            for whole, changes in zip(b["text"].to_pylist(), b["changes"].to_pylist(), strict=True):
+                to = {(c["part"], c["span"]): c["reading"] for c in changes or ()}
+                out, at = [], 0
+                for start, end, kind in parts(whole):
                     for i, j in span_places(whole, start, end):
-                        parts += [whole[at:i], to.get(whole[i:j], whole[i:j])]
+                        out += [whole[at:i], to.get((kind, whole[i:j]), whole[i:j])]
                         at = j
-                done.append("".join([*parts, whole[at:]]))
+                done.append("".join([*out, whole[at:]]))
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["text"], pa.array(done, pa.string())], names=["doc_id", "text", "restored"])
 
     return both.mapInArrow(rewrite, f"doc_id {id_type}, text string, restored string")
