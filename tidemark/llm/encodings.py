@@ -7,6 +7,8 @@ spans of clean documents, scores what they give against the span as it stands.
 
 from __future__ import annotations
 
+import codecs
+import math
 import re
 import unicodedata
 from collections import defaultdict
@@ -37,6 +39,7 @@ LOST = "\ufffd"
 TEXTS_AT_ONCE, SPANS_AT_ONCE = 256, 1_000
 UNDOUBTED = 25.0  # a reading through UTF-8 that gains this much is not given up for one between single bytes
 SLOTS3, SLOTS2, POINTS = 1 << 21, 1 << 18, 0x110000
+SIZE3, SIZE2, MASK = 2_097_143, 262_139, (1 << 64) - 1  # primes below the numbers of slots
 
 
 _TABLES: dict = {}  # filled in each worker as needed
@@ -55,39 +58,59 @@ def byte_table(codec: str) -> str:
     return _TABLES[codec]
 
 
-def encoder(codec: str) -> dict[str, int]:
-    """Character to byte. Control characters 0x80-0x9f pass as their bytes, as lenient decoders leave them in."""
+def encoder(codec: str) -> dict[int, int]:
+    """Code point to byte. Control characters 0x80-0x9f pass as their bytes, as lenient decoders leave them in."""
     if ("encoder", codec) not in _TABLES:
-        found = {chr(b): b for b in range(0x80, 0xA0)}
-        _TABLES["encoder", codec] = found | {ch: b for b, ch in enumerate(byte_table(codec))}
+        found = {b: b for b in range(0x80, 0xA0)}
+        _TABLES["encoder", codec] = found | {ord(ch): b for b, ch in enumerate(byte_table(codec))}
     return _TABLES["encoder", codec]
 
 
-def encoded(text: str, codec: str) -> bytes | None:
-    table = encoder(codec)
-    try:
-        return bytes([table[ch] for ch in text])
-    except KeyError:
-        return None
+def _bits(sets: Sequence[Iterable[int]]) -> dict[str, int]:
+    """Per character the bits of the sets that have its code point."""
+    out: dict[str, int] = defaultdict(int)
+    for i, points in enumerate(sets):
+        for point in points:
+            out[chr(point)] |= 1 << i
+    return dict(out)
 
 
-def _translations() -> tuple[list, dict[str, int]]:
-    """(chain, mapping) of each wrong reading of one single-byte encoding as another, and per character the bits of the chains that take it."""
+def _able(text: str, bits: dict[str, int], n: int) -> Iterator[int]:
+    """Numbers of the sets that have all of a text's non-ASCII characters."""
+    able = (1 << n) - 1
+    for ch in set(text):
+        if ch > "\x7f":
+            able &= bits.get(ch, 0)
+    while able:
+        yield (able & -able).bit_length() - 1
+        able &= able - 1
+
+
+def decoded_as_utf8(text: str) -> Iterator[tuple[str, str]]:
+    """(codec, reading) of each encoding in which the text's bytes are UTF-8."""
+    if "readers" not in _TABLES:
+        _TABLES["readers"] = _bits([encoder(c) for c in READ_AS])
+    for i in _able(text, _TABLES["readers"], len(READ_AS)):
+        try:
+            yield READ_AS[i], codecs.charmap_encode(text, "strict", encoder(READ_AS[i]))[0].decode("utf-8")
+        except UnicodeDecodeError:
+            continue
+
+
+def _translations() -> tuple[list[str], dict[str, list]]:
+    """The chains of a wrong reading of one single-byte encoding as another, and per character what each makes of it, None if it does not take it."""
     if "translations" in _TABLES:
         return _TABLES["translations"]
-    out, seen = [], set()
+    found = {}
     for read in READ_AS:
         for written in WRITTEN_IN:
             table = byte_table(written)
-            mapping = {ord(ch): table[b] for ch, b in encoder(read).items() if b >= 0x80}
-            if read != written and (key := tuple(sorted(mapping.items()))) not in seen:
-                seen.add(key)
-                out.append((f"{written}>{read}", mapping))
-    takes: dict[str, int] = defaultdict(int)
-    for i, (_, mapping) in enumerate(out):
-        for point in mapping:
-            takes[chr(point)] |= 1 << i
-    _TABLES["translations"] = out, dict(takes)
+            mapping = {chr(point): table[b] for point, b in encoder(read).items() if b >= 0x80}
+            if read != written:
+                found.setdefault(tuple(sorted(mapping.items())), (f"{written}>{read}", mapping))
+    chains = list(found.values())
+    characters = {ch for _, mapping in chains for ch in mapping}
+    _TABLES["translations"] = [chain for chain, _ in chains], {ch: [mapping.get(ch) for _, mapping in chains] for ch in characters}
     return _TABLES["translations"]
 
 
@@ -134,30 +157,24 @@ def candidates(span: str) -> list[tuple[str, str, int]]:
     for _ in range(DEPTH):
         found = []
         for text, chain in front:
-            for codec in READ_AS:
-                raw = encoded(text, codec)
-                if raw is None:
-                    continue
-                try:
-                    back = raw.decode("utf-8")
-                except UnicodeDecodeError:
-                    continue
+            for codec, back in decoded_as_utf8(text):
                 if back != text and back not in out and back != span:
                     longer = f"utf_8>{codec} {chain}".strip()
                     out[back] = (longer, 0)
                     found.append((back, longer))
         front = [x for x in found if not x[0].isascii()]
     chains, takes = _translations()
-    able = (1 << len(chains)) - 1
-    for ch in set(span):
-        if ch > "\x7f":
-            able &= takes.get(ch, 0)
-    while able:
-        chain, mapping = chains[(able & -able).bit_length() - 1]
-        able &= able - 1
-        back = span.translate(mapping)
-        if back != span and out.get(back, ("", 1))[1]:
-            out[back] = (f"{out[back][0]}|{chain}" if back in out else chain, 1)
+    high = sorted({ch for ch in span if ch > "\x7f"})
+    columns = [takes.get(ch) for ch in high]
+    if None not in columns:
+        images: dict[tuple, list[int]] = {}
+        for i, image in enumerate(zip(*columns)):
+            if None not in image:
+                images.setdefault(image, []).append(i)
+        for image, numbers in images.items():
+            back = span.translate(dict(zip(map(ord, high), image)))
+            if back != span and back not in out:
+                out[back] = ("|".join(chains[i] for i in numbers), 1)
     return [(text, chain, kind) for text, (chain, kind) in out.items() if not _controls(text)]
 
 
@@ -202,11 +219,11 @@ def spans_of(text: str) -> tuple[list[str], bool]:
 
 
 def _slots3(a, b, c):
-    return ((a * np.uint64(0x9E3779B1) + b * np.uint64(0x85EBCA6B)) * np.uint64(0x27D4EB2F) + c * np.uint64(0xC2B2AE35)) % np.uint64(2_097_143)
+    return ((a * np.uint64(0x9E3779B1) + b * np.uint64(0x85EBCA6B)) * np.uint64(0x27D4EB2F) + c * np.uint64(0xC2B2AE35)) % np.uint64(SIZE3)
 
 
 def _slots2(b, c):
-    return (b * np.uint64(0x9E3779B1) + c * np.uint64(0x85EBCA6B)) % np.uint64(262_139)
+    return (b * np.uint64(0x9E3779B1) + c * np.uint64(0x85EBCA6B)) % np.uint64(SIZE2)
 
 
 def _points(spans: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -297,11 +314,17 @@ class NgramModel:
         return max(ends)[1] if ends else None
 
     def step(self, three: str) -> float:
-        """Log-probability of the last of three characters after the other two, remembered."""
+        """Log-probability of the last of three characters after the other two, remembered; _log_p of one."""
         found = self._steps.get(three)
         if found is None:
-            p = np.array([[ord(ch)] for ch in three], dtype=np.uint64)
-            found = float(self._log_p(p[0], p[1], p[2])[0])
+            x, y, z = map(ord, three)
+            a, b, c = float(self.n1[x]), float(self.n1[y]), float(self.n1[z])
+            ab = min(float(self.n2[(x * 0x9E3779B1 + y * 0x85EBCA6B) % SIZE2]), a, b)
+            bc = min(float(self.n2[(y * 0x9E3779B1 + z * 0x85EBCA6B) % SIZE2]), b, c)
+            abc = min(float(self.n3[(((x * 0x9E3779B1 + y * 0x85EBCA6B) * 0x27D4EB2F + z * 0xC2B2AE35) & MASK) % SIZE3]), ab, bc)
+            p1 = (c + self.D1 / 65_536) / (self.total + self.D1)
+            p2 = (bc + self.D2 * p1) / (b + self.D2)
+            found = math.log(min((abc + self.D3 * p2) / (ab + self.D3), 1.0))
             if len(self._steps) > 1_000_000:
                 self._steps.clear()
             self._steps[three] = found
@@ -349,6 +372,7 @@ def _scorer(model):
         lm = NgramModel(*model.value)
         keys = lm.lossy_keys()
         leads = {codec: frozenset(k[0] for k in table) for codec, table in keys.items()}
+        own9 = frozenset(byte_table("iso8859_15")) - frozenset(byte_table("latin_1"))
         for b in batches:
             spans, n = b["span"].to_pylist(), b["n"].to_numpy(zero_copy_only=False)
             base = lm.scores(spans, np.minimum(n, 1))
@@ -359,6 +383,8 @@ def _scorer(model):
                 kinds += k
                 rows += [i] * len(t)
                 for codec, table in keys.items():
+                    if codec == "iso8859_15" and own9.isdisjoint(spans[i]):
+                        continue  # for others it is as latin_1
                     if not leads[codec].isdisjoint(spans[i]) and (filled := lm.fill(spans[i], table)) and filled not in t:
                         texts.append(filled)
                         chains.append(f"utf_8>{codec} with bytes dropped")
