@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tests.conftest import rows
+from tests.conftest import most_rows_of_a_task, rows
 from tidemark.errors import ConfigError
 from tidemark.operators.sessions import sessions
 
@@ -55,3 +55,15 @@ def test_ties_nulls_and_empty(spark, scratch):
     assert sessions(df.limit(0), ["a", "d"], "ts", 20, scratch).count() == 0
     with pytest.raises(ConfigError):
         sessions(df, ["a"], "ts", 0, scratch)
+
+
+def test_a_key_with_a_third_of_all_rows_does_not_fill_a_task(spark, scratch):
+    """20,000 rows, a third of them of a NULL key within few seconds, which are one row per second and task when sent."""
+    rng = random.Random(2)
+    data = [(i, None if i % 3 == 0 else i, 1, rng.randrange(50) if i % 3 == 0 else rng.randrange(10_000), "x", 1) for i in range(20_000)]
+    df = spark.createDataFrame(data, SHAPE).repartition(4)
+    df.write.mode("overwrite").parquet(scratch.path("hot"))
+    df = spark.read.parquet(scratch.path("hot"))
+    found = []
+    assert most_rows_of_a_task(spark, lambda: found.extend(sessions(df, ["a", "d"], "ts", 20, scratch).collect())) < 5_000
+    assert max(r["n_events"] for r in found) == 6_667

@@ -21,10 +21,10 @@ def sessions(events: DataFrame, keys: Sequence[str], ts: str, gap: int, scratch:
     yet the start of a session, pointers are joined with the table of pointers itself, each round doubling their reach,
     until all point to a start; then events are aggregated by the start they point to.
 
-    Scale: events are cut into time slices of slices_per_gap gaps, each with the last two gaps before it as context,
-    and pointers are found per key and slice, so no key is gathered in one task; within a slice equal moments are
-    one row, which bounds it by its length in seconds. Rounds run over the few moments whose pointer is no start.
-    Each round is written to the shared folder.
+    Scale: events of one key and moment are counted before they are sent, so that a key, NULL among them, has at most
+    one row for each second. Moments are cut into time slices of slices_per_gap gaps, each with the last two gaps before
+    it as context, and pointers are found per key and slice: a task holds no more of a key than a slice has seconds.
+    Rounds run over the few moments whose pointer is no start. Each round is written to the shared folder.
 
     Defined cases: rows with NULL ts belong to no session and are left out; NULL keys are keys like any other; events
     at the same moment are in the same session; with event_key, rows with the same event_key count once; an empty table
@@ -40,8 +40,8 @@ def sessions(events: DataFrame, keys: Sequence[str], ts: str, gap: int, scratch:
         rows = one_per_key(rows, ["event_key"], [*k, "ts"])
     own = F.floor(F.col("ts") / width)
     also = F.when(F.col("ts") >= (own + 1) * width - 2 * gap, F.array(own, own + 1)).otherwise(F.array(own))
-    cut = rows.select(*k, "ts", F.explode(also).alias("slice")).repartition(*map(F.col, k), F.col("slice"))
-    moments = cut.groupBy(*k, "slice", "ts").agg(F.count(F.lit(1)).alias("n"))
+    # Equal moments become one row in each task before any row is sent, then one in all.
+    moments = rows.groupBy(*k, "ts").agg(F.count(F.lit(1)).alias("n")).withColumn("slice", F.explode(also))
     by_ts = Window.partitionBy(*k, "slice").orderBy("ts")
     within = by_ts.rangeBetween(-gap, Window.currentRow)
     starts = F.coalesce(F.col("ts") - F.lag("ts").over(by_ts) > gap, F.lit(True))

@@ -11,7 +11,7 @@ from tidemark.operators.known import attributes_as_known
 from tidemark.operators.rolling import trailing_totals
 from tidemark.operators.sessions import sessions
 from tidemark.session import Scratch
-from tidemark.streaming.entity_features import read_entity_features, update_entity_features
+from tidemark.streaming.entity_features import batch_bytes, by_type, read_entity_cells, read_entity_features, update_entity_features
 
 DAY = 86_400
 HORIZON_DAYS = 90
@@ -39,13 +39,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.filter(raised).select("src_account_id", F.col("day").alias("day_no"))
 
 
-def p2_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p2_profiles(spark: SparkSession, sf_dir: str, quantiles=QUANTILES) -> DataFrame:
     frequencies = value_frequencies(table(spark, sf_dir, "transactions"), ["dst_account_id", "merchant_id"], "amount_minor", key="event_id")
-    return key_profiles(frequencies, Scratch(spark, "p2"), QUANTILES)
+    return key_profiles(frequencies, Scratch(spark, "p2"), quantiles)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profiles = Scratch(spark, "p2").table(p2_profiles(spark, sf_dir), "all")
+    """From the keys' weights; percentiles, which nothing here reads, are not asked for."""
+    profiles = Scratch(spark, "p2").table(p2_profiles(spark, sf_dir, None), "all")
     everything = profiles.filter("field_name = 'dst_account_id'").agg(F.sum("n")).first()[0] or 0
     return profiles.filter(F.col("key_id").isNotNull() & (100 * F.col("n") >= F.lit(HEAVY_PERCENT * everything))).select("field_name", "key_id")
 
@@ -58,8 +59,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_sessions(spark, sf_dir).filter("n_events >= 5").select("account_id", "device_id", "start_ts", "end_ts")
 
 
-def p6_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One wide row per source account: number, total and time since the last transaction for each type."""
+def _p6_table(spark: SparkSession, sf_dir: str) -> str:
+    """The feature table brought up to date with all transactions, in a few batches; returns its path."""
     scratch, source = Scratch(spark, "p6"), f"{sf_dir}/transactions.parquet"
     update_entity_features(
         spark,
@@ -73,19 +74,23 @@ def p6_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         ts="ts",
         amount="amount_minor",
         key="event_id",
+        max_bytes_per_batch=batch_bytes(spark, source),
     )
-    rows = read_entity_features(spark, scratch.path("features"), len(TXN_TYPES))
+    return scratch.path("features")
+
+
+def p6_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One wide row per source account: number, total and time since the last transaction for each type."""
+    rows = read_entity_features(spark, _p6_table(spark, sf_dir), len(TXN_TYPES))
     named = [F.col("entity").alias("src_account_id")]
-    for i, t in enumerate(TXN_TYPES):
+    for i, t in enumerate((*TXN_TYPES, "OTHER")):
         named += [F.col(f"count_{i}").alias(f"n_{t.lower()}"), F.col(f"total_{i}").alias(f"total_{t.lower()}"), (HORIZON - F.col(f"last_{i}")).alias(f"since_{t.lower()}")]
     return rows.select(*named)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = p6_features(spark, sf_dir)
-    names = [t.lower() for t in TXN_TYPES]
-    cells = F.array(*(F.struct(F.lit(t).alias("txn_type"), F.col(f"n_{a}").alias("n"), F.col(f"since_{a}").alias("since")) for t, a in zip(TXN_TYPES, names, strict=True)))
-    quiet = wide.select("src_account_id", F.explode(cells).alias("c")).filter(f"c.n >= 4 AND c.since >= {30 * DAY}").select("src_account_id", "c.txn_type")
+    cells = by_type(read_entity_cells(spark, _p6_table(spark, sf_dir)), TXN_TYPES, HORIZON)
+    quiet = cells.filter(f"n >= 4 AND since_last >= {30 * DAY}").select(F.col("entity").alias("src_account_id"), F.col("kind").alias("txn_type"))
     return quiet.join(internal_accounts(spark, sf_dir).withColumnRenamed("account_id", "src_account_id"), "src_account_id", "left_semi")
 
 
@@ -136,7 +141,7 @@ k AS (SELECT t.event_id, t.src_account_id, t.ts, l.risk_label, l.scenario_id, l.
 _FEATURES = ", ".join(
     f"count(*) FILTER (txn_type = '{t}') AS n_{t.lower()}, CAST(coalesce(sum(amount_minor) FILTER (txn_type = '{t}'), 0) AS BIGINT) AS total_{t.lower()}, 7776000 - max(ts) FILTER (txn_type = '{t}') AS since_{t.lower()}"
     for t in TXN_TYPES
-)
+) + ", 0 AS n_other, 0 AS total_other, CAST(NULL AS BIGINT) AS since_other"
 
 SQL = {
     "p1_trailing": f"WITH {_TXN}, {_TRAILING} SELECT src_account_id, day, total_7d, count_7d, total_30d, count_30d, total_7d / 7 AS avg_day_7d, CASE WHEN count_7d > 0 THEN total_7d / count_7d END AS avg_event_7d, total_30d / 30 AS avg_day_30d, CASE WHEN count_30d > 0 THEN total_30d / count_30d END AS avg_event_30d FROM w",

@@ -40,9 +40,19 @@ def stream_path(spark: SparkSession, path: str) -> str:
     return f"{path[:-1]}[{path[-1]}]" if status.isFile() else path
 
 
+MERGED = 8  # folders of one level that are merged into one of the next
+
+
 def feature_columns(n_types: int) -> list[str]:
-    """count_i, total_i, last_i for each type number i."""
-    return [f"{what}_{i}" for i in range(n_types) for what in ("count", "total", "last")]
+    """count_i, total_i, last_i for each type number i; the last number is for all other types."""
+    return [f"{what}_{i}" for i in range(n_types + 1) for what in ("count", "total", "last")]
+
+
+def batch_bytes(spark: SparkSession, source: str, batches: int = 4, least: int = 16 << 20, most: int = 1 << 30) -> int:
+    """A batch size for a first call over `source`: a share of its bytes between `least` and `most`."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    size = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+    return max(least, min(most, -(-size // batches)))
 
 
 def update_entity_features(
@@ -62,54 +72,100 @@ def update_entity_features(
 ) -> None:
     """Bring the feature table up to date with all files in `source` that no earlier call has seen.
 
-    `kind` is a column expression that gives a row's type number, 0 … n_types-1. The stream drops rows whose key was
-    seen before (state: all keys), keeps per entity the counters, totals and latest times of all types (state: one row
-    per entity), and after each micro-batch upserts the full feature rows of the entities that changed: the rows of
-    batch b are in `table`/batch=b, and the row of an entity with the greatest b holds (read_entity_features). A batch
-    that is run again overwrites its own folder, so failures leave no double counts. State is in RocksDB with its
-    changelog in `checkpoint`; both paths must be shared by all executors.
-
-    Scale: rows of a batch are counted map-side before they are sent by entity, so a hot entity is one row per task.
-    `max_bytes_per_batch` bounds a batch.
-
-    Defined cases: rows with NULL entity are left out; a type outside the list, NULL type or NULL amount counts in no
-    type, or with amount 0; rows with NULL key are copies only if equal in all that is used here; a NULL ts counts, but
-    is never the latest.
+    `kind` is a column expression that gives a row's type number, 0 … n_types-1; all others count in one more type,
+    n_types, so that the counts of an entity add up to its events. The stream drops rows whose key was seen before
+    (state: all keys), keeps the counter, total and latest time of each entity and type (state: one row for each), and
+    after each micro-batch upserts the cells that changed: those of batch b are in `table`/batch=b, and of an
+    entity and type the row with the greatest batch holds (read_entity_cells, read_entity_features). When MERGED
+    folders of a level are there, they are merged into one of the next level, so a read meets about
+    MERGED * log(batches) folders, and a cell is written again once for each level. A batch that is run again
+    overwrites its own folder, and a folder may be read beside the one that it was merged into, as cells are whole
+    values and not increments: failures leave no double counts. State is in RocksDB with its changelog in `checkpoint`;
+    both paths must be shared by all executors.
+
+    Scale: rows of a batch are counted map-side before they are sent by entity and type, so a hot entity is a row per
+    type and task, and the number of types changes no plan. `max_bytes_per_batch` bounds a batch.
+
+    Defined cases: rows with NULL entity are left out; a NULL amount counts as 0; rows with NULL key are copies only if
+    equal in all that is used here; a NULL ts counts, but is never the latest.
     """
     e = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(max_bytes_per_batch)).parquet(stream_path(spark, source))
-    e = e.select(col(key).alias("key"), col(entity).alias("entity"), kind.alias("kind"), col(ts).cast("bigint").alias("ts"), F.coalesce(col(amount), F.lit(0)).cast("bigint").alias("amount"))
-    e = e.filter("entity IS NOT NULL").withColumn("tag", content_tag(["key"], ["entity", "kind", "ts", "amount"])).dropDuplicates(["key", "tag"])
-    aggregates = []
-    for i in range(n_types):
-        own = F.col("kind") == i
-        aggregates += [
-            F.count(F.when(own, F.lit(1))).alias(f"count_{i}"),
-            F.coalesce(F.sum(F.when(own, F.col("amount"))), F.lit(0)).alias(f"total_{i}"),
-            F.max(F.when(own, F.col("ts"))).alias(f"last_{i}"),
-        ]
-    rows = e.groupBy("entity").agg(*aggregates)
+    e = e.select(col(key).alias("key"), col(entity).alias("entity"), kind.cast("int").alias("kind"), col(ts).cast("bigint").alias("ts"), F.coalesce(col(amount), F.lit(0)).cast("bigint").alias("amount"))
+    e = e.filter("entity IS NOT NULL").withColumn("kind", F.when(F.col("kind").between(0, n_types - 1), F.col("kind")).otherwise(n_types))
+    e = e.withColumn("tag", content_tag(["key"], ["entity", "kind", "ts", "amount"])).dropDuplicates(["key", "tag"])
+    cells = e.groupBy("entity", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total"), F.max("ts").alias("last_ts"))
 
     def upsert(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        _merge(batch.sparkSession, table)
 
     with _state_store(spark):
-        query = rows.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(upsert).start()
+        query = cells.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(upsert).start()
         query.awaitTermination()
 
 
+def _folders(spark: SparkSession, table: str) -> list[tuple[int, int, str]]:
+    """(level, last batch, path) of the folders that are complete."""
+    found = []
+    for pattern in (f"{table}/batch=*/_SUCCESS", f"{table}/level=*/batch=*/_SUCCESS"):
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+        for status in target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target) or []:
+            path = str(status.getPath().getParent().toString())
+            level = int(path.rpartition("/level=")[2].partition("/")[0]) if "/level=" in path else 0
+            found.append((level, int(path.rpartition("=")[2]), path))
+    return sorted(found)
+
+
+def _read(spark: SparkSession, paths: Sequence[tuple[int, int, str]]) -> DataFrame:
+    """The latest cell of each entity and type. A merged folder keeps each cell's own batch in `of_batch`."""
+    rows = None
+    for level, number, path in paths:
+        one = spark.read.parquet(path)
+        one = one if level else one.withColumn("of_batch", F.lit(number).cast("bigint"))
+        rows = one if rows is None else rows.unionByName(one)
+    latest = F.max_by(F.struct("n", "total", "last_ts", "of_batch"), "of_batch")
+    return rows.groupBy("entity", "kind").agg(latest.alias("v")).select("entity", "kind", "v.*")
+
+
+def _merge(spark: SparkSession, table: str) -> None:
+    """Merge full levels from the lowest up, and delete what was merged."""
+    level = 0
+    while True:
+        mine = [f for f in _folders(spark, table) if f[0] == level]
+        if len(mine) < MERGED:
+            return
+        _read(spark, mine).write.mode("overwrite").parquet(f"{table}/level={level + 1}/batch={mine[-1][1]}")
+        jvm = spark.sparkContext._jvm
+        for _, _, path in mine:
+            gone = jvm.org.apache.hadoop.fs.Path(path)
+            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+        level += 1
+
+
+def read_entity_cells(spark: SparkSession, table: str) -> DataFrame:
+    """(entity, kind, n, total, last_ts): the latest cell of each entity and type number; empty before the first batch."""
+    folders = _folders(spark, table)
+    if not folders:
+        return spark.createDataFrame([], "entity bigint, kind int, n bigint, total bigint, last_ts bigint")
+    return _read(spark, folders).drop("of_batch")
+
+
 def read_entity_features(spark: SparkSession, table: str, n_types: int) -> DataFrame:
-    """(entity, count_i, total_i, last_i …): the latest row of each entity; empty before the first batch."""
-    names = feature_columns(n_types)
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/batch=*")
-    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target):
-        return spark.createDataFrame([], "entity bigint, " + ", ".join(f"{c} bigint" for c in names))
-    rows = spark.read.option("basePath", table).parquet(f"{table}/batch=*")
-    values = F.struct(*names)
-    return rows.groupBy("entity").agg(F.max_by(values, F.col("batch")).alias("v")).select("entity", "v.*")
-
-
-def by_type(features: DataFrame, types: Sequence[str], end_ts: int) -> DataFrame:
-    """(entity, kind, n, total, last_ts, since_last): one row per entity and type that it has rows of."""
-    cells = F.array(*(F.struct(F.lit(t).alias("kind"), F.col(f"count_{i}").alias("n"), F.col(f"total_{i}").alias("total"), F.col(f"last_{i}").alias("last_ts")) for i, t in enumerate(types)))
-    long = features.select("entity", F.explode(cells).alias("c")).select("entity", "c.*").filter("n > 0")
-    return long.withColumn("since_last", F.lit(end_ts) - F.col("last_ts"))
+    """(entity, count_i, total_i, last_i …): one row per entity, for hundreds of types as well.
+
+    An entity's cells, at most n_types + 1, are gathered as a map and read out of it, so that no aggregate has a column
+    for each type.
+    """
+    cells = read_entity_cells(spark, table)
+    rows = cells.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("kind", F.struct("n", "total", "last_ts").alias("v")))).alias("cells"))
+    out = []
+    for i in range(n_types + 1):
+        cell = F.try_element_at("cells", F.lit(i))
+        out += [F.coalesce(cell["n"], F.lit(0)).alias(f"count_{i}"), F.coalesce(cell["total"], F.lit(0)).alias(f"total_{i}"), cell["last_ts"].alias(f"last_{i}")]
+    return rows.select("entity", *out)
+
+
+def by_type(cells: DataFrame, types: Sequence[str], end_ts: int) -> DataFrame:
+    """(entity, kind, n, total, last_ts, since_last): read_entity_cells of the named types, with their names."""
+    named = cells.filter(F.col("kind") < len(types)).withColumn("kind", F.element_at(F.array(*map(F.lit, types)), F.col("kind") + 1))
+    return named.withColumn("since_last", F.lit(end_ts) - F.col("last_ts")).select("entity", "kind", "n", "total", "last_ts", "since_last")
