@@ -53,7 +53,7 @@ def _sections(spark: SparkSession, folder: str) -> dict:
     owners, days = owners_from(spark, folder), meta["sim_end"] // DAY
     scratch = Scratch(spark, "sections")
     return {
-        "Activity": describe.activity(t["transactions"], owners, days).orderBy("archetype"),
+        "Activity": describe.activity(t["transactions"], owners, days, scratch).orderBy("archetype"),
         "Status": describe.counts(t["transactions"], "status").orderBy("status"),
         "Types and channels": describe.counts(t["transactions"], "txn_type", "channel").orderBy(F.desc("n")),
         "Amounts": describe.nearest_quantiles(t["transactions"], [], "amount_minor", {"q10": 0.1, "q50": 0.5, "q90": 0.9, "q99": 0.99}, scratch),
@@ -65,7 +65,7 @@ def _sections(spark: SparkSession, folder: str) -> dict:
 
 
 def _sanity(spark: SparkSession, a: argparse.Namespace) -> int:
-    print(json.dumps({k: [r.asDict() for r in df.limit(200).collect()] for k, df in _sections(spark, a.dir).items()}, indent=1, default=str))
+    print(json.dumps({k: [r.asDict() for r in df.collect()] for k, df in _sections(spark, a.dir).items()}, indent=1, default=str))
     return 0
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,3 +60,22 @@ def with_keyed_uniform(df: DataFrame, key: int | Column, ids: Column, name: str
 def hashed_uniform(name: str, *ids: Column) -> Column:
     """A uniform number in (0, 1) from a name and any number of ids, by xxHash64: one small expression, also for many ids."""
     return unit_uniform(F.xxhash64(_long(stable_key(name)), *(i.cast("bigint") for i in ids)))
+
+
+def with_keyed_uniforms(df: DataFrame, keys: Sequence[int], ids: Column, name: str = "u") -> DataFrame:
+    """df with an array of the uniform numbers that with_keyed_uniform gives for each key. Each step runs over the array,
+    so that the expression has as many parts for a thousand keys as for one."""
+
+    def mixed(z: Column) -> Column:
+        z = F.transform(z, lambda x: x + _long(GAMMA))
+        for shift, factor in ((30, MULTIPLY_1), (27, MULTIPLY_2)):
+            z = _step(z, shift, factor)
+        return F.transform(z, lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, 31)))
+
+    with wrapping(df.sparkSession):
+        start = F.transform(F.array(*map(_long, keys)), lambda k: k.bitwiseXOR(ids.cast("bigint")))
+        return df.withColumn(name, F.transform(mixed(mixed(start)), unit_uniform))
+
+
+def _step(z: Column, shift: int, factor: int) -> Column:
+    return F.transform(z, lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, shift)) * _long(factor))

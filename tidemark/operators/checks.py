@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import InvariantViolation
 from tidemark.functions.timebase import day_of
-from tidemark.operators.sides import SETTLED, in_order, order_number, running_total, sides
+from tidemark.operators.sides import SETTLED, along, order_number, sides
 
 Tables = Mapping[str, DataFrame]
 
@@ -81,15 +81,8 @@ def _ledger(t: Tables, kinds: tuple[str, ...]) -> DataFrame:
 
 def balances(t: Tables, kinds: tuple[str, ...] = ("internal", "external")) -> DataFrame:
     """Arithmetic of each side, the chain from one event to the next, a recomputation from the initial balance, and overdraft limits."""
-    led = running_total(_ledger(t, kinds), "delta", "total")
-    led = led.withColumn("day", day_of("ts"))
-    within = in_order("account_id", "day")
-    led = led.withColumn("prev", F.lag("after").over(within))
-    first = F.col("prev").isNull()
-    closing = led.groupBy("account_id", "day").agg(F.max_by("after", order_number()).alias("closing"))
-    before = closing.select(F.col("account_id").alias("c_account"), F.col("day").alias("c_day"), F.lag("closing").over(Window.partitionBy("account_id").orderBy("day")).alias("closing_before"))
-    led = led.join(before, (F.col("account_id") == F.col("c_account")) & (F.col("day") == F.col("c_day")))
-    prev = F.coalesce("prev", F.when(first, F.coalesce("closing_before", "initial_balance_minor")))
+    led = along(_ledger(t, kinds), sums={"total": "delta"}, lasts={"prev": F.col("after")})
+    prev = F.coalesce("prev", "initial_balance_minor")
     c = F.col
     return _problems(
         led,

@@ -33,19 +33,29 @@ def nearest_quantiles(df: DataFrame, groups: Sequence[str], value: str, shares:
     return found if groups else found.drop("all")
 
 
-def activity(transactions: DataFrame, owners: DataFrame, days: int) -> DataFrame:
+def medians(df: DataFrame, group: str, value: str, scratch: Scratch) -> DataFrame:
+    """(group, median): the mean of the two values in the middle, by counting equal values first, so no group is gathered."""
+    freq = scratch.table(df.select(group, F.col(value).alias("value")).filter("value IS NOT NULL").groupBy(group, "value").agg(F.count(F.lit(1)).alias("n")), "median_freq")
+    n = freq.groupBy(group).agg(F.sum("n").alias("n"))
+    ranks = F.explode(F.array(*(F.struct(F.lit(i).alias("q"), F.floor((F.col("n") + 1 + i) / 2).alias("rank")) for i in (0, 1))))
+    return rank_values(freq, [group], n.select(group, ranks.alias("r")).select(group, "r.*"), scratch).groupBy(group).agg((F.sum("rank_value") / 2).alias("median"))
+
+
+def activity(transactions: DataFrame, owners: DataFrame, days: int, scratch: Scratch) -> DataFrame:
     """Per archetype: accounts, outgoing events per account and 30 days, median and shares of outgoing amounts, and counterparties per account.
 
-    Counterparties are counted after equal pairs became one row; medians of amounts are over (archetype, amount) counts.
+    Counterparties are counted after equal pairs became one row; the medians of accounts are over their counts, of
+    which few differ.
     """
     out = transactions.join(owners, F.col("src_account_id") == F.col("account_id")).select("archetype", "account_id", "dst_account_id", "amount_minor", "status", "channel", "ts")
     into = transactions.join(owners, F.col("dst_account_id") == F.col("account_id")).select("archetype", "account_id", "src_account_id")
     size = owners.groupBy("archetype").agg(F.count(F.lit(1)).alias("accounts"))
-    shape = out.groupBy("archetype").agg(F.count(F.lit(1)).alias("n_out"), F.median("amount_minor").alias("median_out_amount_minor"), share(F.col("status") == "DECLINED").alias("declined_share_out"), share(F.col("channel").isin("APP", "WEB")).alias("digital_share_out"), share(is_night("ts")).alias("night_share_out"))
+    shape = out.groupBy("archetype").agg(F.count(F.lit(1)).alias("n_out"), share(F.col("status") == "DECLINED").alias("declined_share_out"), share(F.col("channel").isin("APP", "WEB")).alias("digital_share_out"), share(is_night("ts")).alias("night_share_out"))
     pairs_out = out.select("archetype", "account_id", "dst_account_id").distinct().groupBy("archetype", "account_id").agg(F.count(F.lit(1)).alias("n"))
     pairs_in = into.distinct().groupBy("archetype", "account_id").agg(F.count(F.lit(1)).alias("n"))
     n_in = into.groupBy("archetype", "account_id").agg(F.count(F.lit(1)).alias("n"))
-    result = size.join(shape, "archetype", "left")
+    amounts = medians(out, "archetype", "amount_minor", scratch).withColumnRenamed("median", "median_out_amount_minor")
+    result = size.join(shape, "archetype", "left").join(amounts, "archetype", "left")
     result = result.join(n_in.groupBy("archetype").agg(F.median("n").alias("median_in_events_per_acct")), "archetype", "left")
     result = result.join(pairs_out.groupBy("archetype").agg(F.median("n").alias("median_distinct_out_cp")), "archetype", "left")
     result = result.join(pairs_in.groupBy("archetype").agg(F.median("n").alias("median_distinct_in_cp"), F.max("n").alias("max_distinct_in_cp")), "archetype", "left")
@@ -91,14 +101,16 @@ def shares_of_total(df: DataFrame, key: str) -> DataFrame:
 
 
 def markdown(df: DataFrame, title: str, limit: int = 200) -> str:
-    """A section with a table of at most `limit` rows, for reports."""
-    rows = df.limit(limit).collect()
+    """A section with a table, for reports. Where there are more than `limit` rows, the first are shown and the last line says so."""
+    rows = df.limit(limit + 1).collect()
+    more, rows = len(rows) > limit, rows[:limit]
 
     def cell(x) -> str:
         return "" if x is None else f"{x:.4g}" if isinstance(x, float) else str(x).replace("|", "\\|")
 
     lines = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in rows), ""])
+    lines += ["| " + " | ".join(map(cell, r)) + " |" for r in rows]
+    return "\n".join([*lines, *(["", f"Only the first {limit} rows are shown."] if more else []), ""])
 
 
 def write_report(path: str | Path, sections: Mapping[str, DataFrame], heading: str) -> None:

@@ -17,6 +17,9 @@ HOLD_CAP = 30 * DAY
 WINDOWED = ("total_amount", "total_amount_in", "total_amount_out", "txn_count", "in_degree", "out_degree", "avg_holding_time", "max_amount", "net_flow_ratio", "atm_share", "night_share", "declined_count", "distinct_devices", "distinct_ips")
 
 
+DISTINCT = ("in_degree", "out_degree", "distinct_devices", "distinct_ips")
+
+
 def feature_names(windows: Sequence[int] = (7, 30)) -> list[str]:
     return [f"{f}_{w}d" for w in windows for f in WINDOWED] + ["account_age_days", "balance"]
 
@@ -39,9 +42,23 @@ def rolling_distinct(pairs: DataFrame, windows: Sequence[int], kinds: Sequence[s
     return long.groupBy("account_id", "day").agg(*sums)
 
 
-def snapshot_features(transactions: DataFrame, logins: DataFrame, accounts: DataFrame, first_day: int, last_day: int, windows: Sequence[int] = (7, 30)) -> DataFrame:
+def snapshot_features(
+    transactions: DataFrame,
+    logins: DataFrame,
+    accounts: DataFrame,
+    first_day: int,
+    last_day: int,
+    windows: Sequence[int] = (7, 30),
+    *,
+    days: Sequence[int] | None = None,
+    internal_only: bool = True,
+    only: Sequence[str] | None = None,
+) -> DataFrame:
     """(account_id, day, features) for each internal account and snapshot day first_day … last_day that it was open by.
 
+    With `days` only these of them are given, with internal_only=False external accounts as well, and with `only` just
+    the named features: what the others need is then not computed.
+
     A snapshot of day d sees whole days before d only; its window of w days is d-w … d-1. Money features use settled
     transactions; in- and out-degree distinct counterparties of settled transfers; declined_count the account's own
     transactions that did not settle; devices and IPs those of successful logins. avg_holding_time is the amount-weighted
@@ -52,12 +69,19 @@ def snapshot_features(transactions: DataFrame, logins: DataFrame, accounts: Data
     one row per account and day in one aggregation, and all windows run over one sorted table of days. Equal keys of an
     account are counted once per day. Inputs have one row per key.
     """
-    if first_day < 1 or last_day < first_day:
-        raise ConfigError("snapshot days start with 1")
-    internal = accounts.filter("account_kind = 'internal'").select("account_id", "opened_at", "initial_balance_minor")
+    if first_day < 1 or last_day < first_day or any(not first_day <= d <= last_day for d in days or ()):
+        raise ConfigError("snapshot days start with 1 and lie between the first and the last")
+    wanted = list(only) if only is not None else feature_names(windows)
+    if unknown := set(wanted) - set(feature_names(windows)):
+        raise ConfigError(f"unknown features {sorted(unknown)}")
+    bases = {f.rpartition("_")[0] if f[-1] == "d" else f for f in wanted}
+    internal = (accounts.filter("account_kind = 'internal'") if internal_only else accounts).select("account_id", "opened_at", "initial_balance_minor")
     both_sides = sides(transactions.filter(F.col("ts") <= snapshot_cutoff(last_day)), ("txn_type",)).join(internal.select("account_id"), "account_id", "left_semi")
     settled, credit = F.col("status") == SETTLED, F.col("is_credit")
-    own = last_before(both_sides, F.when(settled & credit, F.col("ts")), "credit_ts")
+    if "avg_holding_time" in bases:
+        own = last_before(both_sides, F.when(settled & credit, F.col("ts")), "credit_ts")
+    else:
+        own = both_sides.withColumn("credit_ts", F.lit(None).cast("bigint"))
     amount, day = F.col("amount_minor"), day_of("ts")
     hold = F.least(F.coalesce(F.col("ts") - F.col("credit_ts"), F.lit(HOLD_CAP)), F.lit(HOLD_CAP))
     out = settled & ~credit
@@ -80,11 +104,17 @@ def snapshot_features(transactions: DataFrame, logins: DataFrame, accounts: Data
     entered = logins.filter("outcome = 'SUCCESS'").filter(F.col("ts") <= snapshot_cutoff(last_day)).join(internal.select("account_id"), "account_id", "left_semi")
     used = F.explode(F.array(F.struct(F.lit(2).alias("kind"), F.col("device_id").alias("key")), F.struct(F.lit(3).alias("kind"), F.col("ip_id").alias("key"))))
     pairs = transfers.unionByName(entered.select("account_id", day.alias("day"), used.alias("u")).select("account_id", "u.*", "day"))
-    changes = rolling_distinct(pairs, windows, ("in_degree", "out_degree", "distinct_devices", "distinct_ips"))
+    if bases & {"in_degree", "out_degree"} and not bases & {"distinct_devices", "distinct_ips"}:
+        pairs = transfers
+    changes = rolling_distinct(pairs, windows, DISTINCT)
     opening = F.greatest(F.lit(first_day).cast("bigint"), F.ceil((F.col("opened_at") + 1) / DAY))
     begins = F.lit(0).cast("bigint")
     spine = internal.select("account_id", "opened_at", "initial_balance_minor", opening.alias("shown_from"), F.explode(F.sequence(begins, F.lit(last_day).cast("bigint"))).alias("day"))
     facts = daily.unionByName(changes, allowMissingColumns=True)
+    if not bases & set(DISTINCT):
+        facts = daily.select("*", *(F.lit(None).cast("bigint").alias(c) for c in changes.columns if c not in ("account_id", "day")))
+    elif bases <= {*DISTINCT, "account_age_days"}:
+        facts = changes.select("*", *(F.lit(None).cast(daily.schema[c].dataType).alias(c) for c in daily.columns if c not in ("account_id", "day")))
     # All facts of one account and day in one row: a single shuffle for the daily rows and the changes.
     merged = facts.groupBy("account_id", "day").agg(*(F.sum(c).alias(c) if c not in ("largest", "closing") else F.max(c).alias(c) for c in facts.columns if c not in ("account_id", "day")))
     rows = spine.join(merged, ["account_id", "day"], "left")
@@ -118,7 +148,10 @@ def snapshot_features(transactions: DataFrame, logins: DataFrame, accounts: Data
     closing = F.last("closing", ignorenulls=True).over(by_day.rowsBetween(Window.unboundedPreceding, -1))
     age = (snapshot_cutoff(F.col("day")) - F.col("opened_at")) / DAY
     result = rows.select("account_id", "day", "shown_from", *columns, age.alias("account_age_days"), F.coalesce(closing, "initial_balance_minor").alias("balance"))
-    return result.filter("day >= shown_from").drop("shown_from")
+    result = result.filter("day >= shown_from")
+    if days is not None:
+        result = result.filter(F.col("day").isin(*days))
+    return result.select("account_id", "day", *wanted)
 
 
 def _running(change: str, by_day) -> Column:

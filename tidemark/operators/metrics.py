@@ -7,16 +7,25 @@ from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.errors import ConfigError
 from tidemark.functions.canon import col
 from tidemark.functions.keyed import stable_key, with_keyed_uniform
-from tidemark.operators.frequencies import value_bucket
 from tidemark.operators.truth import OracleTargets, require_oracle
 
 
+def score_bucket(score: Column, per_doubling: int = 1 << 16) -> Column:
+    """A bucket number that never falls as the score rises, as fine near 0 as far from it: the exponent and the first 16
+    bits of what follows, so that scores that are all small are told apart like any others. NULL for NULL and NaN."""
+    size = F.abs(score)
+    # The least double is above 2^-1075, so numbers of sizes are positive and those of opposite sign mirror each other.
+    number = F.floor((F.log2(size) + 1_076.0) * per_doubling) + 1
+    number = F.when(size == 0, 0).when(size == float("inf"), 2_200 * per_doubling).otherwise(number)
+    return F.when(~F.isnan(score), F.signum(score) * number).cast("bigint")
+
+
 def average_precision_by(df: DataFrame, groups: Sequence[str], y: str = "y", score: str = "score") -> DataFrame:
     """(groups, positives, ap): Σ (R_n - R_{n-1}) P_n over the distinct scores from the highest down; groups without a positive have NULL.
 
@@ -25,7 +34,7 @@ def average_precision_by(df: DataFrame, groups: Sequence[str], y: str = "y", sco
     """
     g = list(groups)
     rows = df.select(*map(col, g), col(y).cast("boolean").alias("y"), (col(score).cast("double") + 0.0).alias("score"))
-    by_score = rows.groupBy(*map(col, g), "score").agg(F.count(F.lit(1)).alias("n"), F.count_if("y").alias("pos")).withColumn("bucket", value_bucket(F.col("score")))
+    by_score = rows.groupBy(*map(col, g), "score").agg(F.count(F.lit(1)).alias("n"), F.count_if("y").alias("pos")).withColumn("bucket", score_bucket(F.col("score")))
     sums = by_score.groupBy(*map(col, g), "bucket").agg(F.sum("n").alias("bn"), F.sum("pos").alias("bpos"))
     down = Window.partitionBy(*map(col, g)).orderBy(F.desc("bucket")) if g else Window.orderBy(F.desc("bucket"))
     above = down.rowsBetween(Window.unboundedPreceding, -1)

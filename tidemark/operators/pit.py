@@ -38,38 +38,52 @@ def in_windows(cutoffs: DataFrame, events: DataFrame, window_days: int) -> DataF
 
 
 def window_features(cutoffs: DataFrame, transactions: DataFrame, logins: DataFrame, windows: Sequence[int] = (7, 30)) -> DataFrame:
-    """(row_id, features): the windowed features of the grid over (t - w days, t] for each cutoff (row_id, account_id, t)."""
+    """(row_id, features): the windowed features of the grid over (t - w days, t] for each cutoff (row_id, account_id, t).
+
+    Each cutoff meets the events of its widest window once; what lies in a narrower one is told by the time. Events
+    become one row per cutoff and counterparty (device, IP) with the latest time, which gives the distinct ones of
+    every window, and then one row per cutoff.
+    """
     wanted = cutoffs.select("account_id").distinct()
     own = sides(transactions, ("txn_type",)).join(wanted, "account_id", "left_semi")
     settled, credit, amount = F.col("status") == SETTLED, F.col("is_credit"), F.col("amount_minor")
     own = last_before(own, F.when(settled & credit, F.col("ts")), "credit_ts")
-    result = cutoffs.select("row_id")
+    hold = F.least(F.coalesce(F.col("ts") - F.col("credit_ts"), F.lit(HOLD_CAP)), F.lit(HOLD_CAP))
+    out = settled & ~credit
+    money = {
+        "a_in": (settled & credit, amount), "a_out": (out, amount), "n": (settled, F.lit(1)), "held": (out, amount.cast("double") * hold), "atm": (out & (F.col("txn_type") == "ATM_WITHDRAWAL"), amount),
+        "night": (settled & is_night("ts"), F.lit(1)), "declined": (~settled & ~credit, F.lit(1)),
+    }
+    key = F.when(settled & (F.col("txn_type") == "TRANSFER"), F.col("counterparty_id"))
+    inside = {w: F.col("ts") > F.col("t") - w * DAY for w in windows}
+    first = [F.sum(F.when(cond & inside[w], what).otherwise(0)).alias(f"{name}_{w}") for name, (cond, what) in money.items() for w in windows]
+    first += [F.max(F.when(settled & inside[w], amount)).alias(f"largest_{w}") for w in windows]
+    met = in_windows(cutoffs, own, max(windows)).groupBy("row_id", credit, key.alias("key")).agg(*first, F.max(F.col("ts") - F.col("t")).alias("latest"))
+
+    def distinct(w: int, cond):
+        return F.count_if(F.col("key").isNotNull() & cond & (F.col("latest") > -w * DAY))
+
+    second = [F.sum(f"{name}_{w}").alias(f"{name}_{w}") for name in money for w in windows] + [F.max(f"largest_{w}").alias(f"largest_{w}") for w in windows]
+    second += [distinct(w, credit).alias(f"in_{w}") for w in windows] + [distinct(w, ~credit).alias(f"out_{w}") for w in windows]
+    totals = met.groupBy("row_id").agg(*second)
+    entered = in_windows(cutoffs, logins.filter("outcome = 'SUCCESS'").select("account_id", "ts", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("device_id").alias("key")), F.struct(F.lit(1).alias("kind"), F.col("ip_id").alias("key")))).alias("u")), max(windows))
+    used = entered.groupBy("row_id", "u.kind", "u.key").agg(F.max(F.col("ts") - F.col("t")).alias("latest"))
+    used = used.groupBy("row_id").agg(*(distinct(w, F.col("kind") == k).alias(f"{name}_{w}") for k, name in enumerate(("devices", "ips")) for w in windows))
+    result = cutoffs.select("row_id").join(totals, "row_id", "left").join(used, "row_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    columns = []
     for w in windows:
-        hold = F.least(F.coalesce(F.col("ts") - F.col("credit_ts"), F.lit(HOLD_CAP)), F.lit(HOLD_CAP))
-        out = settled & ~credit
-        transfer = settled & (F.col("txn_type") == "TRANSFER")
-
-        def total(cond, what=amount):
-            return F.sum(F.when(cond, what).otherwise(0))
-
-        money = in_windows(cutoffs, own, w).groupBy("row_id").agg(
-            total(settled & credit).alias("a_in"), total(out).alias("a_out"), F.count_if(settled).alias("n"), F.max(F.when(settled, amount)).alias("largest"),
-            total(out, amount.cast("double") * hold).alias("held"), total(out & (F.col("txn_type") == "ATM_WITHDRAWAL")).alias("atm"), F.count_if(settled & is_night("ts")).alias("night"),
-            F.count_if(~settled & ~credit).alias("declined"), F.countDistinct(F.when(transfer & credit, F.col("counterparty_id"))).alias("in_degree"),
-            F.countDistinct(F.when(transfer & ~credit, F.col("counterparty_id"))).alias("out_degree"),
-        )
-        used = in_windows(cutoffs, logins.filter("outcome = 'SUCCESS'").select("account_id", "ts", "device_id", "ip_id"), w).groupBy("row_id").agg(F.countDistinct("device_id").alias("devices"), F.countDistinct("ip_id").alias("ips"))
-        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-        both = zero("a_in") + zero("a_out")
-        result = result.join(money, "row_id", "left").join(used, "row_id", "left").select(
-            *result.columns, both.alias(f"total_amount_{w}d"), zero("a_in").alias(f"total_amount_in_{w}d"), zero("a_out").alias(f"total_amount_out_{w}d"), zero("n").alias(f"txn_count_{w}d"),
-            zero("in_degree").alias(f"in_degree_{w}d"), zero("out_degree").alias(f"out_degree_{w}d"),
-            F.when(F.col("a_out") > 0, F.col("held") / F.col("a_out") / HOUR).otherwise(F.lit(HOLD_CAP / HOUR)).alias(f"avg_holding_time_{w}d"), zero("largest").alias(f"max_amount_{w}d"),
-            F.when(both > 0, F.abs(zero("a_in") - zero("a_out")) / both).otherwise(F.lit(1.0)).alias(f"net_flow_ratio_{w}d"),
-            F.when(F.col("a_out") > 0, F.col("atm") / F.col("a_out")).otherwise(F.lit(0.0)).alias(f"atm_share_{w}d"), F.when(F.col("n") > 0, F.col("night") / F.col("n")).otherwise(F.lit(0.0)).alias(f"night_share_{w}d"),
-            zero("declined").alias(f"declined_count_{w}d"), zero("devices").alias(f"distinct_devices_{w}d"), zero("ips").alias(f"distinct_ips_{w}d"),
-        )
-    return result
+        a_in, a_out, n = F.col(f"a_in_{w}"), F.col(f"a_out_{w}"), F.col(f"n_{w}")
+        both = zero(f"a_in_{w}") + zero(f"a_out_{w}")
+        columns += [
+            both.alias(f"total_amount_{w}d"), zero(f"a_in_{w}").alias(f"total_amount_in_{w}d"), zero(f"a_out_{w}").alias(f"total_amount_out_{w}d"), zero(f"n_{w}").alias(f"txn_count_{w}d"),
+            zero(f"in_{w}").alias(f"in_degree_{w}d"), zero(f"out_{w}").alias(f"out_degree_{w}d"),
+            F.when(a_out > 0, F.col(f"held_{w}") / a_out / HOUR).otherwise(F.lit(HOLD_CAP / HOUR)).alias(f"avg_holding_time_{w}d"), zero(f"largest_{w}").alias(f"max_amount_{w}d"),
+            F.when(both > 0, F.abs(F.coalesce(a_in, F.lit(0)) - F.coalesce(a_out, F.lit(0))) / both).otherwise(F.lit(1.0)).alias(f"net_flow_ratio_{w}d"),
+            F.when(a_out > 0, F.col(f"atm_{w}") / a_out).otherwise(F.lit(0.0)).alias(f"atm_share_{w}d"), F.when(n > 0, F.col(f"night_{w}") / n).otherwise(F.lit(0.0)).alias(f"night_share_{w}d"),
+            zero(f"declined_{w}").alias(f"declined_count_{w}d"), zero(f"devices_{w}").alias(f"distinct_devices_{w}d"), zero(f"ips_{w}").alias(f"distinct_ips_{w}d"),
+        ]
+    return result.select("row_id", *columns)
 
 
 def balance_at(cutoffs: DataFrame, transactions: DataFrame, accounts: DataFrame) -> DataFrame:

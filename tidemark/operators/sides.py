@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.timebase import day_of
-
 SETTLED = "SETTLED"
 
 
@@ -39,33 +39,42 @@ def order_number() -> Column:
     return (F.col("ts").cast("decimal(18,0)") * F.expr("100000000000000000000BD") + event).cast("decimal(38,0)")
 
 
-def last_before(df: DataFrame, value: Column, name: str) -> DataFrame:
-    """df of sides with the last non-NULL `value` of an account strictly earlier in (ts, event_id).
+SLICE = 3_600  # seconds of an account that are kept together
+
+
+def along(df: DataFrame, sums: Mapping[str, str] | None = None, lasts: Mapping[str, Column] | None = None, slice_seconds: int = SLICE) -> DataFrame:
+    """df of sides with, for each name in sums, the running sum of a column along its account up to and including the row,
+    and for each in lasts the last non-NULL value of an expression strictly earlier in (ts, event_id).
 
-    Two levels: within the account's day by a window, and over the account's days by the last value of each, so a task
-    never holds more of an account than one of its days and one row for each of them.
+    Two levels: within a slice of the account's time by a window, and over the account's slices by one row for each. So
+    a task never holds more of an account than one of its slices, and one row for each of them. NULLs add nothing to a sum.
     """
-    marked = df.withColumns({"__day": day_of("ts"), "__value": value})
+    sums, lasts = dict(sums or {}), dict(lasts or {})
+    marked = df.withColumns({"__slice": F.floor(F.col("ts") / slice_seconds)} | {f"__last{i}": value for i, value in enumerate(lasts.values())})
     order = order_number()
-    daily = marked.groupBy("account_id", "__day").agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), order)).alias("__last"))
-    earlier = Window.partitionBy("account_id").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
-    carried = daily.select(F.col("account_id").alias("__account"), F.col("__day").alias("__of"), F.last("__last", ignorenulls=True).over(earlier).alias("__carried"))
+    per = [F.sum(value).alias(f"__sum{i}") for i, value in enumerate(sums.values())]
+    per += [F.max_by(f"__last{i}", F.when(F.col(f"__last{i}").isNotNull(), order)).alias(f"__last{i}") for i in range(len(lasts))]
+    earlier = Window.partitionBy("account_id").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = [F.coalesce(F.sum(f"__sum{i}").over(earlier), F.lit(0)).alias(f"__carried_sum{i}") for i in range(len(sums))]
+    carried += [F.last(f"__last{i}", ignorenulls=True).over(earlier).alias(f"__carried_last{i}") for i in range(len(lasts))]
+    before = marked.groupBy("account_id", "__slice").agg(*per).select(F.col("account_id").alias("__account"), F.col("__slice").alias("__of"), *carried)
     # A RANGE frame of the order less itself would be needed for equal keys; both sides of a transaction to itself are
     # excluded by the integrity checks, so rows do.
-    within = in_order("account_id", "__day").rowsBetween(Window.unboundedPreceding, -1)
-    both = marked.withColumn("__within", F.last("__value", ignorenulls=True).over(within)).join(carried, (F.col("account_id") == F.col("__account")) & (F.col("__day") == F.col("__of")))
-    return both.select(*df.columns, F.coalesce("__within", "__carried").alias(name))
+    within = in_order("account_id", "__slice")
+    upto, earlier = within.rowsBetween(Window.unboundedPreceding, Window.currentRow), within.rowsBetween(Window.unboundedPreceding, -1)
+    own = {f"__own_sum{i}": F.coalesce(F.sum(value).over(upto), F.lit(0)) for i, value in enumerate(sums.values())}
+    own |= {f"__own_last{i}": F.last(f"__last{i}", ignorenulls=True).over(earlier) for i in range(len(lasts))}
+    both = marked.withColumns(own).join(before, (F.col("account_id") == F.col("__account")) & (F.col("__slice") == F.col("__of")))
+    found = [(F.col(f"__own_sum{i}") + F.col(f"__carried_sum{i}")).alias(name) for i, name in enumerate(sums)]
+    found += [F.coalesce(f"__own_last{i}", f"__carried_last{i}").alias(name) for i, name in enumerate(lasts)]
+    return both.select(*df.columns, *found)
 
 
-def running_total(df: DataFrame, value: str, name: str) -> DataFrame:
-    """df of sides with the running sum of `value` along its account up to and including the row.
+def last_before(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """df of sides with the last non-NULL `value` of an account strictly earlier in (ts, event_id)."""
+    return along(df, lasts={name: value})
 
-    Two levels like last_before: within a day by a window, and over the days by their sums.
-    """
-    marked = df.withColumn("__day", day_of("ts"))
-    daily = marked.groupBy("account_id", "__day").agg(F.sum(value).alias("__sum"))
-    earlier = Window.partitionBy("account_id").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
-    carried = daily.select(F.col("account_id").alias("__account"), F.col("__day").alias("__of"), F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__carried"))
-    within = in_order("account_id", "__day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = marked.withColumn("__within", F.sum(value).over(within)).join(carried, (F.col("account_id") == F.col("__account")) & (F.col("__day") == F.col("__of")))
-    return both.select(*df.columns, (F.col("__within") + F.col("__carried")).alias(name))
+
+def running_total(df: DataFrame, value: str, name: str) -> DataFrame:
+    """df of sides with the running sum of `value` along its account up to and including the row."""
+    return along(df, sums={name: value})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import ConfigError, InvariantViolation
 from tidemark.functions.ids import ACCOUNT_INTERNAL, kind_of
-from tidemark.functions.keyed import hashed_uniform, stable_key, with_keyed_uniform
+from tidemark.functions.keyed import stable_key, with_keyed_uniform, with_keyed_uniforms
 from tidemark.functions.timebase import DAY, snapshot_cutoff
+from tidemark.operators.ranking import rank_in_groups
 from tidemark.operators.truth import union_points
 from tidemark.sources.digest import multiset_digest
 
@@ -88,19 +90,27 @@ def normal_accounts(accounts: DataFrame) -> DataFrame:
     return accounts.filter(kind_of(F.col("account_id")) == ACCOUNT_INTERNAL)
 
 
-def rendezvous_partition(accounts: DataFrame, cells: int, share_none: float, key: str) -> DataFrame:
-    """(account_id, cell): the cell with the greatest weighted score -w / ln(u), u keyed by cell and account; cell -1 is none.
+def cell_keys(cells: Sequence[str], key: str) -> list[int]:
+    """The key of each cell's numbers, and of the none cell's, which comes last. The names' prefix is a fixed value."""
+    return [stable_key(key) ^ stable_key(f"recruit-cell/{name}") for name in (*cells, "NONE")]
 
-    Each account meets each cell inside its own row (an array of `cells` + 1 scores), so nothing is joined or shuffled,
-    and adding a cell moves only accounts to it. The none cell weighs cells * (1 - s) / s for a share s of eligible
-    accounts; the first of equal scores wins.
+
+def rendezvous_partition(accounts: DataFrame, cells: int | Sequence[str], share_none: float, key: str) -> DataFrame:
+    """(account_id, cell): the number of the cell with the greatest weighted score -w / ln(u), u keyed by cell and account; -1 is none.
+
+    `cells` are the cells' names, or how many there are. Each account meets each cell inside its own row (an array of
+    scores), so nothing is joined or shuffled, and adding a cell moves only accounts to it or to none. The none cell
+    weighs cells * (1 - s) / s for a share s of eligible accounts; the first of equal scores wins, none last.
     """
-    if cells < 1 or not 0 < share_none < 1:
+    names = list(map(str, range(cells))) if isinstance(cells, int) else list(cells)
+    if not names or not 0 < share_none < 1:
         raise ConfigError("at least one cell, and a share between 0 and 1")
     eligible = 1 - share_none
-    weights = [cells * (1 - eligible) / eligible] + [1.0] * cells
-    scores = [F.struct((F.lit(-w) / F.log(hashed_uniform(key, F.col("account_id"), F.lit(i)))).alias("score"), F.lit(-i).alias("first")) for i, w in zip(range(-1, cells), weights, strict=True)]
-    return accounts.select("account_id", (-F.array_max(F.array(*scores))["first"]).alias("cell"))
+    weights = [1.0] * len(names) + [len(names) * (1 - eligible) / eligible]
+    drawn = with_keyed_uniforms(accounts.select("account_id"), cell_keys(names, key), F.col("account_id"))
+    scored = drawn.withColumn("score", F.zip_with("u", F.array(*map(F.lit, weights)), lambda u, w: -w / F.log(u)))
+    place = F.array_position("score", F.array_max("score"))
+    return scored.select("account_id", F.when(place > len(names), -1).otherwise(place - 1).cast("int").alias("cell"))
 
 
 def reference_pool(eligible: DataFrame, everyone: DataFrame, fraction: float, key: str, method: str) -> DataFrame:
@@ -121,7 +131,7 @@ def reference_pool(eligible: DataFrame, everyone: DataFrame, fraction: float, ke
     bad = short.select("archetype").limit(5).collect()
     if bad:
         raise InvariantViolation(f"too few eligible accounts of {[r[0] for r in bad]}")
-    ranked = drawn.withColumn("no", F.row_number().over(Window.partitionBy("archetype").orderBy("u", "account_id")))
+    ranked = rank_in_groups(drawn, ["archetype"], F.floor(F.col("u") * 65_536), [F.col("u"), F.col("account_id")], "no")
     return ranked.join(F.broadcast(goal), "archetype").filter("no <= goal").select("account_id")  # a row per archetype
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.timebase import DAY
 from tidemark.operators import metrics, splits
 from tidemark.operators.grid import feature_names
-from tidemark.operators.pit import neighbour_means, temporal_order
 from tidemark.operators.store import TemporalStore
 from tidemark.operators.truth import OracleLabels
 from tidemark.session import Scratch
@@ -44,7 +43,7 @@ def split_from(spark: SparkSession, folder: str, horizon_s: int) -> splits.Split
     s, accounts = meta["config"]["splits"], read_table(spark, "accounts", folder)
     plan = splits.SplitPlan(s["train_end_day"] * DAY, s["val_end_day"] * DAY, meta["sim_end"], -(-max(s["horizons_hours"]) // 24) * DAY)
     everyone = splits.normal_accounts(owners_from(spark, folder))
-    cells = splits.rendezvous_partition(everyone.select("account_id"), meta["n_networks"], 1 - meta["config"]["recruitment"]["eligible_share"], f"cells/{meta['seed']}")
+    cells = splits.rendezvous_partition(everyone.select("account_id"), meta["cells"], 1 - meta["config"]["recruitment"]["eligible_share"], f"recruit/{meta['seed']}")
     eligible = everyone.join(cells.filter("cell < 0"), "account_id", "left_semi")
     ref = splits.reference_pool(eligible, everyone, s["ref_negative_fraction"], f"reference/{meta['seed']}", s["ref_pool_method"])
     ood = oracle_from(spark, folder).ood_entities().filter("entity_type = 'account'").select(F.col("entity_id").alias("account_id"))
@@ -91,8 +90,7 @@ def run_dataset(spark: SparkSession, folder: str, scratch: Scratch, horizon_s: i
     # What neighbours and order add, on an exact sample.
     marked = lr.withColumn("row_id", F.concat_ws("/", "account_id", "day"))
     picked = scratch.table(metrics.exact_sample(marked, sample, f"g3/{meta['seed']}", "row_id"), "picked")
-    t, a = store._tables["transactions"], store._tables["accounts"]
-    context = neighbour_means(picked, t, a, grid, NEIGHBOUR).join(temporal_order(picked, t, 30), "row_id")
+    context = store.context(picked, grid, NEIGHBOUR)
     both = scratch.table(picked.drop("score").join(context, "row_id").join(grid, ["account_id", "day"]).join(picked.select("row_id", "score"), "row_id"), "both")
     wide = [*names, *(f"nbr_mean_{f}" for f in NEIGHBOUR), *ORDER]
     halves = F.pmod(F.xxhash64("account_id"), F.lit(2)) == 0

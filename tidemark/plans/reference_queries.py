@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import ids
 from tidemark.functions.keyed import GAMMA, MULTIPLY_1, MULTIPLY_2, stable_key, with_keyed_uniform
-from tidemark.functions.timebase import DAY
+from tidemark.functions.timebase import DAY, TimeBase, hour_of, is_night, is_weekend
 from tidemark.operators import checks, describe, metrics, splits
 from tidemark.operators.grid import snapshot_features
-from tidemark.operators.pit import balance_at, neighbour_means, temporal_order, window_features
+from tidemark.operators.pit import temporal_order, window_features
 from tidemark.operators.settle import settle
-from tidemark.operators.sides import SETTLED, last_before, order_number, running_total, sides
-from tidemark.operators.store import Cutoff, visible
+from tidemark.operators.sides import SETTLED, last_before, running_total, sides
+from tidemark.operators.store import ALL_TABLES, AsOfView, TemporalStore
 from tidemark.operators.truth import OracleLabels
 from tidemark.plans import tables as T
 from tidemark.plans.tables import HORIZON, HORIZON_DAYS, sql
 from tidemark.session import Scratch
 from tidemark.sources.digest import multiset_digest
-from tidemark.sources.schema import conform
+from tidemark.sources import files
+from tidemark.sources.schema import conform, spec
+from tidemark.synth.generate import suppressed
 
 CUTOFF = 45 * DAY
 QUERIES, SQL = {}, {}
@@ -51,6 +56,19 @@ def label_cutoffs(spark: SparkSession, d: str) -> DataFrame:
 _CUTOFFS = "c AS (SELECT DISTINCT entity_id AS account_id, valid_from AS t, concat(entity_id, '/', valid_from) AS row_id FROM b JOIN a ON a.account_id = entity_id WHERE entity_type = 'account' AND account_kind = 'internal' AND opened_at <= valid_from)"
 
 
+def store(spark: SparkSession, d: str) -> TemporalStore:
+    """The sealed store over the test tables; those that are not there are empty, and account owners are relations."""
+    here = ledger(spark, d)
+    owned = here["accounts"].filter("owner_person_id IS NOT NULL")
+    none = {n: spark.createDataFrame([], spec(n).schema) for n in ALL_TABLES}
+    relations = owned.select(F.lit("OWNS_ACCOUNT").alias("relation_type"), F.col("owner_person_id").alias("src_id"), F.col("account_id").alias("dst_id"), F.col("opened_at").alias("valid_from"), F.coalesce("closed_at", F.lit(HORIZON)).cast("bigint").alias("valid_to"))
+    return TemporalStore(none | {n: here[n] for n in ("accounts", "logins", "merchants", "transactions")} | {"relations": relations}, HORIZON, here["labels"])
+
+
+def at_cutoff(spark: SparkSession, d: str) -> AsOfView:
+    return store(spark, d).as_of(CUTOFF)
+
+
 # Scans
 
 
@@ -59,9 +77,61 @@ def scan_conform(spark, d):
     return conform("ground_truth_networks", T.networks(spark, d))
 
 
+_REGISTERED = ("accounts", "labels", "logins", "merchants", "network_members", "transactions")
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n, CAST(sum({spec(n).primary_key[0] if n != 'labels' else 'entity_id'}) AS DECIMAL(38, 0)) AS keys FROM {n}" for n in _REGISTERED))
+def read_tables(spark, d):
+    """Every registered table that is there, read and conformed: its rows, and the sum of a key of it."""
+    out = None
+    for name in _REGISTERED:
+        key = spec(name).primary_key[0] if name != "labels" else "entity_id"
+        one = files.read_table(spark, name, d).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(key).cast("decimal(20,0)")).cast("decimal(38,0)").alias("keys")).select(F.lit(name).alias("name"), "n", "keys")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT person_id, archetype, origin FROM person_archetypes")
+def conform_renamed(spark, d):
+    """A table under its registered name, with the columns out of order and of wider types."""
+    return conform("person_truth", T.raw(spark, d, "person_archetypes").select("origin", F.col("person_id").cast("decimal(20,0)").alias("person_id"), "archetype"))
+
+
 @query("SELECT event_id, ts, amount_minor FROM transactions WHERE ts <= 3888000")
 def pruned_scan(spark, d):
-    return T.raw(spark, d, "transactions").filter(F.col("ts") <= CUTOFF).select("event_id", "ts", "amount_minor")
+    return files.read_columns(spark, "transactions", d, ["event_id", "ts", "amount_minor"]).filter(F.col("ts") <= CUTOFF)
+
+
+@query("SELECT channel, count(*) AS n FROM logins JOIN accounts USING (account_id) GROUP BY channel")
+def view_query(spark, d):
+    """SQL over the views of a folder's tables."""
+    files.create_views(spark, d)
+    return spark.sql("SELECT channel, count(*) AS n FROM logins JOIN accounts USING (account_id) GROUP BY channel")
+
+
+@query("SELECT merchant_id, merchant_category, region FROM merchants")
+def csv_round_trip(spark, d):
+    """A table exported as CSV and read again."""
+    out = Scratch(spark, "csv").path("out")
+    return spark.read.option("header", True).schema(spec("merchants").schema).csv(files.export_csv(spark, "merchants", d, out))
+
+
+@query("SELECT account_id, account_id >> 48 AS kind, account_id & 281474976710655 AS payload FROM (SELECT DISTINCT account_id FROM accounts)")
+def packed_ids(spark, d):
+    a = T.accounts(spark, d).select("account_id")
+    return a.select("account_id", ids.kind_of(F.col("account_id")).alias("kind"), ids.payload_of(F.col("account_id")).alias("payload"))
+
+
+@query(sql("l", "SELECT event_id, ts // 86400 AS day, ts % 86400 // 3600 AS hour, ts // 86400 % 7 >= 5 AS weekend, ts % 86400 < 18000 AS night FROM l"))
+def clock_parts(spark, d):
+    return T.logins(spark, d).select("event_id", F.floor(F.col("ts") / DAY).alias("day"), hour_of("ts").alias("hour"), is_weekend("ts").alias("weekend"), is_night("ts").alias("night"))
+
+
+@query("SELECT dom, CAST(date_diff('day', DATE '2024-01-01', d) AS BIGINT) AS day FROM (SELECT unnest(range(1, 32)) AS dom), (SELECT unnest(range(DATE '2024-01-01', DATE '2025-01-01', INTERVAL 1 DAY)) AS d) WHERE least(dom, date_part('day', last_day(d))) = date_part('day', d)")
+def month_days(spark, d):
+    """Which days of a year each day of the month falls on; short months have their last day for it."""
+    base = TimeBase(date(2024, 1, 1), 366)
+    return spark.createDataFrame([(dom, day) for dom in range(1, 32) for day in base.monthly_days([dom])], "dom bigint, day bigint")
 
 
 @query()
@@ -74,17 +144,29 @@ def table_digest(spark, d):
 
 @query(sql("t", "SELECT event_id, ts, status FROM t WHERE ts <= 3888000"))
 def asof_events(spark, d):
-    return T.transactions(spark, d).filter(visible(Cutoff(CUTOFF))).select("event_id", "ts", "status")
+    return at_cutoff(spark, d).transactions().select("event_id", "ts", "status")
+
 
+@query(sql("t", "SELECT event_id, ts FROM t WHERE ts >= 2592000 AND ts <= 3000000"))
+def asof_window(spark, d):
+    return at_cutoff(spark, d).transactions(30 * DAY, 3_000_000).select("event_id", "ts")
 
-@query(sql("l", "SELECT event_id, ts FROM l WHERE ts < 3888000 OR (ts = 3888000 AND event_id <= 1152921504606846976)"))
+
+@query(sql("l", "").rstrip() + ", tie AS (SELECT ts AS t, min(event_id) AS e FROM l GROUP BY ts HAVING count(*) > 1 ORDER BY ts DESC LIMIT 1) SELECT event_id, ts FROM l, tie WHERE ts < t OR (ts = t AND event_id <= e)")
 def asof_tie_event_id(spark, d):
-    return T.logins(spark, d).filter(visible(Cutoff(CUTOFF, 1 << 60))).select("event_id", "ts")
+    """Up to the first of the logins that share the last second that several share; the others of that second are not visible."""
+    tie = T.logins(spark, d).groupBy("ts").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("e")).filter("n > 1").orderBy(F.desc("ts")).first()
+    return store(spark, d).as_of(tie["ts"], tie["e"]).logins().select("event_id", "ts")
 
 
 @query(sql("a", "SELECT account_id, opened_at FROM a WHERE opened_at <= 3888000"))
 def asof_accounts(spark, d):
-    return T.accounts(spark, d).filter(F.col("opened_at") <= CUTOFF).select("account_id", "opened_at")
+    return at_cutoff(spark, d).accounts().select("account_id", "opened_at")
+
+
+@query(sql("a", "SELECT owner_person_id AS src_id, account_id AS dst_id, opened_at AS valid_from, CASE WHEN coalesce(closed_at, 7776000) <= 3888000 THEN closed_at END AS valid_to FROM a WHERE owner_person_id IS NOT NULL AND opened_at <= 3888000"))
+def asof_relations(spark, d):
+    return at_cutoff(spark, d).relations("OWNS_ACCOUNT").select("src_id", "dst_id", "valid_from", "valid_to")
 
 
 @query(sql("b", "SELECT entity_type, entity_id, scenario_id, valid_from, CASE WHEN valid_to <= 3888000 THEN valid_to END AS valid_to FROM b WHERE valid_from <= 3888000"))
@@ -96,15 +178,12 @@ def relations_masked(spark, d):
 
 @query(sql("b", "SELECT entity_type, entity_id, scenario_id, valid_from FROM b WHERE known_at <= 3888000 AND NOT is_ood_family"))
 def known_labels(spark, d):
-    return T.labels(spark, d).filter(f"known_at <= {CUTOFF} AND NOT is_ood_family").select("entity_type", "entity_id", "scenario_id", "valid_from")
+    return at_cutoff(spark, d).known_labels().select("entity_type", "entity_id", "scenario_id", "valid_from")
 
 
 @query(sql("t a s", f"SELECT a.account_id, coalesce(arg_max(s.after, (s.ts, s.event_id, s.is_credit)), any_value(a.initial_balance_minor)) AS balance FROM a LEFT JOIN s ON s.account_id = a.account_id AND s.ts <= {CUTOFF} WHERE a.account_kind = 'internal' AND a.opened_at <= {CUTOFF} GROUP BY a.account_id"))
 def asof_balance(spark, d):
-    own = sides(T.transactions(spark, d).filter(visible(Cutoff(CUTOFF))))
-    last = own.groupBy("account_id").agg(F.max_by("after", order_number()).alias("after"))
-    a = T.accounts(spark, d).filter(f"account_kind = 'internal' AND opened_at <= {CUTOFF}").select("account_id", "initial_balance_minor")
-    return a.join(last, "account_id", "left").select("account_id", F.coalesce("after", "initial_balance_minor").alias("balance"))
+    return at_cutoff(spark, d).balances(T.accounts(spark, d).filter("account_kind = 'internal'"))
 
 
 # Point-in-time features
@@ -145,12 +224,12 @@ _GRID_SQL = sql("t l a s", "").rstrip() + f", {_HOLD}, {_GRID_ROWS}, f AS (" + _
 _BALANCE = "bal AS (SELECT r.account_id, r.day, arg_max(h.after, (h.ts, h.event_id, h.is_credit)) AS after FROM r JOIN h ON h.account_id = r.account_id AND h.day < r.day GROUP BY ALL)"
 
 
-def grid(spark, d) -> DataFrame:
-    return snapshot_features(T.transactions(spark, d), T.logins(spark, d), T.accounts(spark, d), 1, HORIZON_DAYS)
+def grid(spark, d, **more) -> DataFrame:
+    return store(spark, d).snapshot_grid(1, HORIZON_DAYS, **more)
 
 
 def _grid_part(spark, d, names):
-    return grid(spark, d).select("account_id", "day", *names)
+    return grid(spark, d, only=names)
 
 
 _AMOUNTS = [f"{f}_{w}d" for w in (7, 30) for f in ("total_amount", "total_amount_in", "total_amount_out", "txn_count", "max_amount")]
@@ -183,6 +262,20 @@ def balance_locf(spark, d):
     return _grid_part(spark, d, ["balance", "account_age_days"])
 
 
+_LISTED = (1, 7, 30, 31, 60, 90)
+_ALL_ROWS = f"r AS (SELECT account_id, day, opened_at FROM a, (SELECT unnest({list(_LISTED)}) AS day) WHERE opened_at <= day * 86400 - 1)"
+
+
+@query(
+    sql("t a s", "").rstrip()
+    + f", {_ALL_ROWS} SELECT r.account_id, r.day, coalesce(count(s.event_id) FILTER (status = 'SETTLED'), 0) AS txn_count_7d, CAST(coalesce(sum(amount_minor) FILTER (status = 'SETTLED' AND is_credit), 0) AS BIGINT) AS total_amount_in_7d, "
+    "count(DISTINCT counterparty_id) FILTER (status = 'SETTLED' AND is_credit AND txn_type = 'TRANSFER') AS in_degree_7d FROM r LEFT JOIN s ON s.account_id = r.account_id AND s.ts // 86400 >= r.day - 7 AND s.ts // 86400 < r.day GROUP BY ALL"
+)
+def grid_all_listed(spark, d):
+    """External accounts too, on some days only."""
+    return grid(spark, d, days=_LISTED, internal_only=False, only=["txn_count_7d", "total_amount_in_7d", "in_degree_7d"])
+
+
 @query(sql("t a s", "").rstrip() + f", {_HOLD} SELECT account_id, event_id, is_credit, credit_ts FROM h")
 def holding_time(spark, d):
     own = sides(T.transactions(spark, d)).join(T.accounts(spark, d).filter("account_kind = 'internal'").select("account_id"), "account_id", "left_semi")
@@ -201,12 +294,35 @@ def holding_time(spark, d):
 )
 def pit_range_join(spark, d):
     cutoffs = Scratch(spark, "pit").table(label_cutoffs(spark, d), "cutoffs")
+    found = store(spark, d).point_in_time(cutoffs)
+    return found.drop("balance", "account_age_days")
+
+
+_WEEKLY = "c AS (SELECT account_id, w * 604800 + 302400 AS t, concat(account_id, '/', w) AS row_id FROM a, (SELECT unnest(range(13)) AS w) WHERE account_kind = 'internal' AND opened_at <= w * 604800 + 302400 AND w * 604800 + 302400 < 7776000)"
+
+
+@query(
+    sql("t l a s", "").rstrip()
+    + f", {_WEEKLY}, {_HOLD} "
+    + _features_sql(
+        "c",
+        "row_id",
+        "(SELECT c.row_id, h.* FROM c JOIN h ON h.account_id = c.account_id AND h.ts > c.t - {w} * 86400 AND h.ts <= c.t)",
+        "(SELECT c.row_id, l.device_id, l.ip_id FROM c JOIN l ON l.account_id = c.account_id AND l.outcome = 'SUCCESS' AND l.ts > c.t - {w} * 86400 AND l.ts <= c.t)",
+    )
+)
+def pit_every_account(spark, d):
+    """A cutoff in each week of every internal account."""
+    a = T.accounts(spark, d).filter("account_kind = 'internal'").withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(12))))
+    a = a.withColumn("t", (F.col("w") * 7 * DAY + 302_400).cast("bigint")).filter(f"opened_at <= t AND t < {HORIZON}")
+    cutoffs = Scratch(spark, "pit").table(a.select("account_id", "t", F.concat_ws("/", "account_id", "w").alias("row_id")), "cutoffs")
     return window_features(cutoffs, T.transactions(spark, d), T.logins(spark, d))
 
 
 @query(sql("t a b s", "").rstrip() + f", {_CUTOFFS} SELECT c.row_id, coalesce(arg_max(s.after, (s.ts, s.event_id, s.is_credit)), any_value(initial_balance_minor)) AS balance, any_value((c.t - opened_at) / 86400) AS account_age_days FROM c JOIN a USING (account_id) LEFT JOIN s ON s.account_id = c.account_id AND s.ts <= c.t GROUP BY c.row_id")
 def pit_balance(spark, d):
-    return balance_at(Scratch(spark, "pit").table(label_cutoffs(spark, d), "cutoffs"), T.transactions(spark, d), T.accounts(spark, d))
+    found = store(spark, d).point_in_time(Scratch(spark, "pit").table(label_cutoffs(spark, d), "cutoffs"))
+    return found.select("row_id", "balance", "account_age_days")
 
 
 @query(
@@ -235,7 +351,7 @@ def neighbour_context(spark, d):
     a = T.accounts(spark, d)
     points = days.withColumn("t", F.col("day") * DAY - 1).join(a.select("account_id", "opened_at"), "account_id").filter("opened_at <= t").drop("opened_at").withColumn("row_id", F.concat_ws("/", "account_id", "day"))
     points = Scratch(spark, "context").table(points, "points")
-    means = neighbour_means(points, T.transactions(spark, d), a, grid(spark, d), _NBR)
+    means = store(spark, d).context(points, grid(spark, d, only=_NBR), _NBR)
     return points.join(means, "row_id").select("account_id", "day", *(f"nbr_mean_{f}" for f in _NBR))
 
 
@@ -244,10 +360,7 @@ def neighbour_context(spark, d):
     + f" SELECT s.account_id, count(DISTINCT counterparty_id) AS flagged FROM s WHERE ts > {CUTOFF} - 2592000 AND ts <= {CUTOFF} AND counterparty_id IN (SELECT entity_id FROM b WHERE entity_type = 'account' AND risk_label = 1 AND known_at <= {CUTOFF} AND NOT is_ood_family) GROUP BY s.account_id"
 )
 def flagged_counterparties(spark, d):
-    """Of every account at once; equal pairs become one row before they are gathered."""
-    seen = sides(T.transactions(spark, d).filter((F.col("ts") > CUTOFF - 30 * DAY) & (F.col("ts") <= CUTOFF))).select("account_id", "counterparty_id").distinct()
-    risky = T.labels(spark, d).filter(f"entity_type = 'account' AND risk_label = 1 AND known_at <= {CUTOFF} AND NOT is_ood_family").select(F.col("entity_id").alias("counterparty_id")).distinct()
-    return seen.join(risky, "counterparty_id", "left_semi").groupBy("account_id").agg(F.count(F.lit(1)).alias("flagged"))
+    return at_cutoff(spark, d).flagged_counterparties(30 * DAY).groupBy("account_id").agg(F.count(F.lit(1)).alias("flagged"))
 
 
 # Targets and splits
@@ -306,7 +419,7 @@ def _mix(x: str) -> str:
     return f"xor({z}, {z} >> 31)"
 
 
-def _uniform_steps(source: str, id_column: str, key: int) -> str:
+def _uniform_steps(source: str, id_column: str, key: int | str) -> str:
     """Expressions u1 … u9 that end with (id, u); written as steps, since nested they would double at each xor."""
     steps, last = [f"u0 AS (SELECT *, xor({id_column}::UHUGEINT, {key}::UHUGEINT) AS z FROM {source})"], "u0"
     n = 1
@@ -365,9 +478,24 @@ def pool_composition(spark, d):
     return splits.pool_composition(stratified(spark, d), splits.normal_accounts(T.owners(spark, d)))
 
 
-@query()
+_CELLS = [f"fan_in/{i}" for i in range(20)]
+_KEYED = ", ".join(f"({i}, {k}::UHUGEINT)" for i, k in enumerate(splits.cell_keys(_CELLS, "recruit/1")))
+
+
+@query(
+    sql("a", "").rstrip()
+    + f", {_NORMAL}, nc AS (SELECT account_id, c, k FROM na, (VALUES {_KEYED}) v(c, k)), {_uniform_steps('nc', 'account_id', 'k')} "
+    "SELECT account_id, CAST(CASE WHEN c = 20 THEN -1 ELSE c END AS INT) AS cell FROM (SELECT account_id, arg_max(c, (-(CASE WHEN c = 20 THEN 20.0 ELSE 1.0 END) / ln(u), -c)) AS c FROM uu GROUP BY account_id)"
+)
 def rendezvous_partition(spark, d):
-    return splits.rendezvous_partition(splits.normal_accounts(T.accounts(spark, d)), 20, 0.5, "cells")
+    return splits.rendezvous_partition(splits.normal_accounts(T.accounts(spark, d)), _CELLS, 0.5, "recruit/1")
+
+
+@query(sql("a o", "").rstrip() + f", na AS (SELECT * FROM o WHERE account_id >> 48 = 1), {_UNIFORM} SELECT account_id FROM uu WHERE archetype != 'student' AND u * (SELECT count(*) FROM na WHERE archetype != 'student') < 0.1 * (SELECT count(*) FROM na)")
+def none_cell_pool(spark, d):
+    """A tenth of everyone, drawn from those that are no students."""
+    everyone = splits.normal_accounts(T.owners(spark, d))
+    return splits.reference_pool(everyone.filter("archetype != 'student'"), everyone, 0.1, "reference", "none_cell_hash")
 
 
 # Ledger checks
@@ -421,25 +549,57 @@ def amounts_and_channels(spark, d):
     return checks.amounts_and_channels(ledger(spark, d))
 
 
-@query(sql("t a", "").rstrip() + ", e AS (SELECT event_id, ts, src_account_id AS account_id FROM t UNION ALL SELECT event_id, ts, dst_account_id FROM t) SELECT CASE WHEN opened_at IS NULL THEN 'unknown account' ELSE 'before the account was opened' END AS problem, event_id FROM e LEFT JOIN a USING (account_id) WHERE opened_at IS NULL OR ts < opened_at")
+@query(sql("t a", "").rstrip() + ", z AS (SELECT account_id, opened_at + CASE WHEN account_kind = 'internal' THEN 15552000 ELSE 0 END AS opened_at FROM a WHERE region IS NOT NULL OR account_kind = 'external'), e AS (SELECT event_id, ts, src_account_id AS account_id FROM t UNION ALL SELECT event_id, ts, dst_account_id FROM t) SELECT CASE WHEN opened_at IS NULL THEN 'unknown account' ELSE 'before the account was opened' END AS problem, event_id FROM e LEFT JOIN z USING (account_id) WHERE opened_at IS NULL OR ts < opened_at")
 def fk_accounts(spark, d):
-    return checks.accounts_open(ledger(spark, d))
+    """With violations planted: accounts without a region are missing, internal ones opened half a year later."""
+    t = ledger(spark, d)
+    a = t["accounts"].filter("region IS NOT NULL OR account_kind = 'external'")
+    return checks.accounts_open(t | {"accounts": a.withColumn("opened_at", F.col("opened_at") + F.when(F.col("account_kind") == "internal", 180 * DAY).otherwise(0))})
 
 
-@query(sql("t", "SELECT 'unknown merchant' AS problem, event_id AS id FROM t WHERE channel = 'POS' AND merchant_id NOT IN (SELECT merchant_id FROM merchants)"))
+@query(sql("t", "SELECT 'unknown merchant' AS problem, event_id AS id FROM t WHERE channel = 'POS' AND merchant_id NOT IN (SELECT merchant_id FROM merchants WHERE region > 0)"))
 def fk_merchants(spark, d):
-    return checks.unknown_merchants(ledger(spark, d))
+    """With merchants of one region missing."""
+    t = ledger(spark, d)
+    return checks.unknown_merchants(t | {"merchants": t["merchants"].filter("region > 0")})
+
+
+@query(
+    sql("t l a", "").rstrip()
+    + " SELECT 'no ownership relation' AS problem, account_id AS id FROM a WHERE owner_person_id IS NOT NULL AND region IS NULL UNION ALL SELECT 'unknown device', event_id FROM l WHERE device_id NOT IN (SELECT device_id FROM t WHERE device_id IS NOT NULL)"
+    " UNION ALL SELECT 'unknown merchant', event_id FROM t WHERE channel = 'POS' AND merchant_id NOT IN (SELECT merchant_id FROM merchants WHERE region > 0)"
+)
+def relations_check(spark, d):
+    """With violations planted: no relation for accounts without a region, only devices of transactions, merchants of one region missing."""
+    t = ledger(spark, d)
+    edges = t["accounts"].filter("region IS NOT NULL AND owner_person_id IS NOT NULL").select(F.lit("OWNS_ACCOUNT").alias("relation_type"), F.col("owner_person_id").alias("src_id"), F.col("account_id").alias("dst_id"))
+    devices = t["transactions"].filter("device_id IS NOT NULL").select("device_id").distinct()
+    return checks.relations(t | {"relations": edges, "devices": devices, "merchants": t["merchants"].filter("region > 0")})
+
 
+_TERMINAL = "ev AS (SELECT event_id, network_id, phase, ts, phase = 'EXIT' OR event_id % 5 = 0 AS is_high_risk, phase = 'EXIT' AND event_id % 3 = 0 AS is_terminal FROM (SELECT DISTINCT t.event_id, t.ts, b.network_id, b.phase FROM t JOIN b ON entity_type = 'account' AND entity_id = src_account_id AND t.ts >= valid_from AND t.ts < valid_to))"
 
-@query(sql("a", "SELECT account_id FROM a WHERE account_kind = 'internal' AND owner_person_id NOT IN (SELECT person_id FROM person_archetypes)"))
-def ownership_anti(spark, d):
-    people = T.raw(spark, d, "person_archetypes").select(F.col("person_id").alias("owner_person_id")).distinct()
-    return T.accounts(spark, d).filter("account_kind = 'internal' AND owner_person_id IS NOT NULL").join(people, "owner_person_id", "left_anti").select("account_id")
 
+@query(
+    sql("t b", "").rstrip()
+    + f""", {_TERMINAL} SELECT 'labelled event is missing' AS problem, event_id AS id FROM ev WHERE event_id % 7 = 0 UNION ALL SELECT 'several terminal events', network_id FROM ev WHERE is_terminal GROUP BY network_id HAVING count(*) > 1
+UNION ALL SELECT 'terminal_ts differs', network_id FROM scenario_networks n LEFT JOIN (SELECT network_id, ts FROM ev WHERE is_terminal AND event_id % 7 != 0) e USING (network_id) WHERE terminal_ts IS DISTINCT FROM ts
+UNION ALL SELECT 'high risk differs within a phase', NULL FROM ev GROUP BY phase HAVING count(DISTINCT is_high_risk) > 1"""
+)
+def event_labels_check(spark, d):
+    """Events labelled by the intervals of their source account, with violations planted: every seventh event is missing,
+    a third of the exits are terminal, and risk differs within phases."""
+    t = ledger(spark, d)
+    b = t["labels"].filter("entity_type = 'account'").select("entity_id", "valid_from", "valid_to", "network_id", "phase")
+    of = t["transactions"].select("event_id", "ts", "src_account_id").join(b, F.col("entity_id") == F.col("src_account_id")).filter("ts >= valid_from AND ts < valid_to").select("event_id", "network_id", "phase").distinct()
+    labelled = of.select(F.lit("transactions").alias("event_table"), "event_id", "network_id", "phase", (F.col("phase").eqNullSafe("EXIT") | (F.col("event_id") % 5 == 0)).alias("is_high_risk"), ((F.col("phase") == "EXIT") & (F.col("event_id") % 3 == 0)).alias("is_terminal"))
+    return checks.event_labels(t | {"event_labels": labelled, "transactions": t["transactions"].filter("event_id % 7 != 0")})
 
-@query(sql("t l", "").rstrip() + ", e AS (SELECT event_id, ts, 1 AS o FROM t UNION ALL SELECT event_id, ts, 2 FROM l) SELECT 'ts outside of the horizon' AS problem, event_id FROM e WHERE ts < 0 OR ts >= 7776000 UNION ALL SELECT CASE WHEN count(DISTINCT o) > 1 THEN 'event id in both tables' ELSE 'event id used twice' END, event_id FROM e GROUP BY event_id HAVING count(*) > 1")
+
+@query(sql("t", "").rstrip() + ", e AS (SELECT event_id, ts, 1 AS o FROM t UNION ALL SELECT event_id, ts, 2 FROM logins) SELECT 'ts outside of the horizon' AS problem, event_id FROM e WHERE ts < 0 OR ts >= 3888000 UNION ALL SELECT CASE WHEN count(DISTINCT o) > 1 THEN 'event id in both tables' ELSE 'event id used twice' END, event_id FROM e GROUP BY event_id HAVING count(*) > 1")
 def timestamp_check(spark, d):
-    return checks.timestamps(ledger(spark, d), HORIZON)
+    """With violations: the horizon ends early, and logins come with their copies."""
+    return checks.timestamps(ledger(spark, d) | {"logins": T.raw(spark, d, "logins")}, CUTOFF)
 
 
 @query(
@@ -471,14 +631,12 @@ def diversity_cv(spark, d):
 
 @query(
     sql("t b", "").rstrip()
-    + f", {_uniform_steps('t', 'event_id', stable_key('suppress'))}, w AS (SELECT entity_id, valid_from, valid_to FROM b WHERE entity_type = 'account') SELECT event_id FROM uu WHERE NOT (u >= 0.5 AND EXISTS (SELECT 1 FROM w WHERE entity_id = src_account_id AND ts >= valid_from AND ts < valid_to))"
+    + f", {_uniform_steps('t', 'event_id', stable_key('suppress'))}, w AS (SELECT entity_id, valid_from, valid_to FROM b WHERE entity_type = 'account') SELECT event_id FROM uu WHERE NOT (u >= 0.5 AND EXISTS (SELECT 1 FROM w WHERE (entity_id = src_account_id OR entity_id = dst_account_id) AND ts >= valid_from AND ts < valid_to))"
 )
 def suppression(spark, d):
-    """Events in a label interval of their account are kept only with a keyed number below one half."""
-    t = with_keyed_uniform(T.transactions(spark, d).select("event_id", "ts", "src_account_id"), stable_key("suppress"), F.col("event_id"))
-    w = T.labels(spark, d).filter("entity_type = 'account'").select("entity_id", "valid_from", "valid_to")
-    inside = (F.col("src_account_id") == F.col("entity_id")) & (F.col("ts") >= F.col("valid_from")) & (F.col("ts") < F.col("valid_to")) & (F.col("u") >= 0.5)
-    return t.join(w, inside, "left_anti").select("event_id")
+    """Events in a label interval of an account of theirs are kept only with a keyed number below one half."""
+    windows = T.labels(spark, d).filter("entity_type = 'account'").select(F.col("entity_id").alias("account_id"), F.col("valid_from").alias("start"), F.col("valid_to").alias("end"), F.lit(0.5).alias("retention"))
+    return suppressed(T.transactions(spark, d), windows, "suppress").select("event_id")
 
 
 @query()
@@ -501,7 +659,7 @@ LEFT JOIN (SELECT archetype, median(n) AS median_distinct_out_cp FROM (SELECT ar
 LEFT JOIN (SELECT archetype, median(n) AS median_distinct_in_cp, max(n) AS max_distinct_in_cp FROM (SELECT archetype, account_id, count(DISTINCT src_account_id) AS n FROM i GROUP BY ALL) GROUP BY archetype) USING (archetype)"""
 )
 def sanity_activity(spark, d):
-    return describe.activity(T.transactions(spark, d), T.owners(spark, d), HORIZON_DAYS)
+    return describe.activity(T.transactions(spark, d), T.owners(spark, d), HORIZON_DAYS, Scratch(spark, "activity"))
 
 
 @query(sql("t", "").rstrip() + ", n AS (SELECT row_number() OVER (ORDER BY amount_minor) - 1 AS no, amount_minor FROM t), c AS (SELECT count(*) AS n FROM t) SELECT " + ", ".join(f"(SELECT amount_minor FROM n WHERE no = round_even((SELECT n - 1 FROM c) * {q}, 0)) AS {name}" for name, q in (("q10", 0.1), ("q50", 0.5), ("q90", 0.9), ("q99", 0.99))))
@@ -584,6 +742,39 @@ def top_scores(spark, d):
     return metrics.top_k(scored_accounts(spark, d).select("account_id", "y", "total"), 100, "total", ["account_id"])
 
 
+@query(
+    sql("a b", "").rstrip()
+    + f", {_POINTS}, y AS (SELECT account_id, t, day, EXISTS (SELECT 1 FROM b WHERE entity_type = 'account' AND entity_id = r.account_id AND valid_from <= t AND t < valid_to) AS y FROM r), k AS (SELECT y FROM y ORDER BY day * 7 % 31 DESC, account_id, t LIMIT 500) SELECT (SELECT count(*) FROM k WHERE y) / (SELECT count(*) FROM y WHERE y) AS recall"
+)
+def recall_at_k(spark, d):
+    """Share of the positives among the 500 highest of a made score."""
+    y = oracle(spark, d).targets("active_phase", all_points(spark, d))
+    scores = all_points(spark, d).select("account_id", "t", (F.col("day") * 7 % 31).cast("double").alias("score"))
+    return spark.createDataFrame([(metrics.recall_at_k(y, scores, 500),)], "recall double")
+
+
+_RESULTS = [(0.1, 0.4, 0.2, 0.01), (0.25, 0.55, 0.1, 0.02), (0.31, 0.5, 0.3, 0.01), (0.2, 0.02, 0.59, 0.01), (0.3, 0.6, 0.1, 0.02)]
+_HOLDS = {"no feature alone": "best_ap <= 0.30", "not too easy": "greatest(ap_lr, ap_tree) <= 0.60", "better than chance": "greatest(ap_lr, ap_tree) >= 3 * prevalence"}
+
+
+@query(
+    f"WITH r AS (SELECT * FROM (VALUES {', '.join(map(str, _RESULTS))}) v(best_ap, ap_lr, ap_tree, prevalence)), m AS (SELECT avg(best_ap) AS best_ap, avg(ap_lr) AS ap_lr, avg(ap_tree) AS ap_tree, avg(prevalence) AS prevalence FROM r), x AS ("
+    + " UNION ALL ".join(f"SELECT '{name}' AS criterion, (SELECT {test} FROM m) AND (SELECT count(*) FROM r WHERE {test}) >= (SELECT count(*) - 1 FROM r) AS holds" for name, test in _HOLDS.items())
+    + ") SELECT criterion, holds FROM x UNION ALL SELECT 'passed', bool_and(holds) FROM x"
+)
+def rule(spark, d):
+    """The rule over made results of five seeds."""
+    found = metrics.gate_rule([dict(zip(("best_ap", "ap_lr", "ap_tree", "prevalence"), r, strict=True)) for r in _RESULTS])
+    return spark.createDataFrame(list(found.items()), "criterion string, holds boolean")
+
+
+@query(sql("t a b", "").rstrip() + f", {_SCORED}, f AS (SELECT avg(ln(1 + n)) AS m, stddev_pop(ln(1 + n)) AS s FROM sc) SELECT account_id, (ln(1 + n) - m) / s AS n FROM sc, f")
+def standardised(spark, d):
+    """Values brought to mean 0 and deviation 1 by what was fitted."""
+    rows = Scratch(spark, "scaling").table(scored_accounts(spark, d), "scored")
+    return metrics.scaled(rows, metrics.fit_scaling(rows, ["n"])).select("account_id", "n")
+
+
 @query(sql("t a b", "").rstrip() + f", {_SCORED} SELECT avg(ln(1 + n)) AS mean_n, stddev_pop(ln(1 + n)) AS sd_n, avg(ln(1 + total)) AS mean_total, stddev_pop(ln(1 + total)) AS sd_total FROM sc")
 def standardise_stats(spark, d):
     s = metrics.fit_scaling(Scratch(spark, "scaling").table(scored_accounts(spark, d), "scored"), ["n", "total"])

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -23,9 +24,25 @@ def _scan(spark: SparkSession, name: str, folder: str) -> DataFrame:
         raise FileNotFoundError(f"{folder}/{name}.parquet: {e.getCondition()}") from e
 
 
+@contextmanager
+def stored_counts(spark: SparkSession, path: str) -> Iterator[DataFrame]:
+    """The Parquet files at a path as a source that answers counts of its columns from the files' footers."""
+    wanted = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield spark.read.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def read_table(spark: SparkSession, name: str, folder: str) -> DataFrame:
     """A registered table, conformed; a missing file raises FileNotFoundError."""
-    return conform(name, _scan(spark, name, folder))
+    df = _scan(spark, name, folder)
+    with stored_counts(spark, f"{folder}/{name}.parquet") as stored:
+        return conform(name, df, stored)
 
 
 def from_arrow(spark: SparkSession, name: str, table: pa.Table) -> DataFrame:
@@ -44,7 +61,8 @@ def read_columns(spark: SparkSession, name: str, folder: str, columns: Sequence[
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise SchemaError(f"{name}: the file has no columns {missing}")
-    return cast_columns(df.select(*columns), name, columns)
+    with stored_counts(spark, f"{folder}/{name}.parquet") as stored:
+        return cast_columns(df.select(*columns), name, columns, stored)
 
 
 def write_table(name: str, df: DataFrame, folder: str) -> None:

@@ -101,17 +101,30 @@ register(
 register("network_members", "network_id i64, entity_type s, entity_id i64, first_role s, joined_ts i64, is_created b", ["network_id", "entity_type", "entity_id"], truth=True)
 
 
-def cast_columns(df: DataFrame, name: str, columns: Sequence[str]) -> DataFrame:
-    """The columns cast to their registered types, after one pass that finds lossy casts and forbidden NULLs."""
+def cast_columns(df: DataFrame, name: str, columns: Sequence[str], stored: DataFrame | None = None) -> DataFrame:
+    """The columns cast to their registered types, after one pass that finds lossy casts and forbidden NULLs.
+
+    Columns that have their type already are only counted, which files answer from their footers: `stored` is df as a
+    source that can (stored_counts). Only the others are read for the check.
+    """
     fields = {f.name: f for f in spec(name).schema}
+    same = [c for c in columns if df.schema[c].dataType == fields[c].dataType]
+    strict = [c for c in same if not fields[c].nullable]
+    if strict:
+        counted = (df if stored is None else stored).agg(F.count(F.lit(1)).alias("rows"), *(F.count(col(c)).alias(f"n_{i}") for i, c in enumerate(strict))).first()
+        for i, c in enumerate(strict):
+            if counted["rows"] != counted[f"n_{i}"]:
+                raise SchemaError(f"{name}.{c}: {counted['rows'] - counted[f'n_{i}']} values are NULL")
     checks = []
     for c in columns:
+        if c in same:
+            continue
         to = F.try_cast if hasattr(F, "try_cast") else None
         target = col(c).try_cast(fields[c].dataType) if to is None else to(col(c), fields[c].dataType)
         back = target.cast(df.schema[c].dataType)
         lossy = col(c).isNotNull() & (target.isNull() | ~back.eqNullSafe(col(c)))
         checks += [F.count_if(lossy).alias(f"lossy {c}"), F.count_if(col(c).isNull() & F.lit(not fields[c].nullable)).alias(f"null {c}")]
-    row = df.agg(*checks).first().asDict()
+    row = df.agg(*checks).first().asDict() if checks else {}
     for what, n in row.items():
         if n:
             kind, c = what.split(" ", 1)
@@ -119,12 +132,12 @@ def cast_columns(df: DataFrame, name: str, columns: Sequence[str]) -> DataFrame:
     return df.select(*(col(c).cast(fields[c].dataType).alias(c) for c in columns))
 
 
-def conform(name: str, df: DataFrame) -> DataFrame:
+def conform(name: str, df: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """df with exactly the registered columns in their order and types; raises SchemaError where that loses anything."""
     want = spec(name).schema.names
     if set(df.columns) != set(want) or len(df.columns) != len(want):
         raise SchemaError(f"{name}: missing {sorted(set(want) - set(df.columns))}, unknown {sorted(set(df.columns) - set(want))}")
-    return cast_columns(df, name, want)
+    return cast_columns(df, name, want, stored)
 
 
 def duplicate_keys(name: str, df: DataFrame) -> DataFrame:

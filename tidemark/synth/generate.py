@@ -23,7 +23,7 @@ from tidemark.sources.schema import REGISTRY, conform
 from tidemark.synth.config import GeneratorConfig
 from tidemark.synth.draw import Draws
 from tidemark.synth.normal import account_of, browsing, build_population, login_rows, normal_transactions, session_logins
-from tidemark.synth.scenario import FAMILIES, plans
+from tidemark.synth.scenario import FAMILIES, cell_names, plans
 
 
 @dataclass(frozen=True)
@@ -104,7 +104,7 @@ def generate(spark: SparkSession, cfg: GeneratorConfig, scratch: Scratch, settle
         # A member belongs to one network, but the phases of a network with several rounds follow each other per account, so intervals are cut in _truth.
         run_checks(tables, all_checks(cfg.sim_end, cfg["infrastructure"]["session_window"], v["min_cv"], v["min_instances"]))
     digests = {n: [str(x) for x in multiset_digest(df).first()] for n, df in tables.items()}
-    metadata = {"config": cfg.values, "config_hash": cfg.config_hash(), "seed": cfg.seed, "sim_end": cfg.sim_end, "digests": digests, "row_counts": {n: int(d[0]) for n, d in digests.items()}, "n_networks": len(made)} | {"provenance": _provenance()}
+    metadata = {"config": cfg.values, "config_hash": cfg.config_hash(), "seed": cfg.seed, "sim_end": cfg.sim_end, "digests": digests, "row_counts": {n: int(d[0]) for n, d in digests.items()}, "n_networks": len(made), "cells": cell_names(made)} | {"provenance": _provenance()}
     return Dataset(tables, metadata)
 
 

@@ -176,10 +176,15 @@ def plan_network(i: Mapping, members: Mapping[str, int], seed: int, sim_end: int
     return rows
 
 
+def cell_names(made: list[dict]) -> list[str]:
+    """The names of the instances' cells of accounts."""
+    return [f"{i['family']}/{i['idx']}" for i in made]
+
+
 def plans(spark: SparkSession, cfg: GeneratorConfig, accounts: DataFrame, draw: Draws) -> tuple[DataFrame, list[dict]]:
     """All plan rows, and the instances. Accounts fall into one cell per instance or none; a network recruits from its own cell only, so another network changes nothing in it."""
     made = instances(cfg)
-    cells = rendezvous_partition(accounts, len(made), 1 - cfg["recruitment"]["eligible_share"], f"cells/{cfg.seed}")
+    cells = rendezvous_partition(accounts, cell_names(made), 1 - cfg["recruitment"]["eligible_share"], f"recruit/{cfg.seed}")
     order = Window.partitionBy("cell").orderBy(F.xxhash64(F.lit(cfg.seed), "account_id"), "account_id")
     ranked = cells.filter("cell >= 0").withColumn("no", F.row_number().over(order) - 1).filter("no < 64")
     seed, end = cfg.seed, cfg.sim_end
