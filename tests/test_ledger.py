@@ -130,3 +130,17 @@ def test_event_labels_and_relations(spark):
     assert problems == {"labelled event is missing", "several terminal events", "terminal_ts differs", "high risk differs within a phase"}
     assert {r["problem"] for r in checks.relations(t).collect()} == {"no ownership relation"}
     assert checks.schema_no_currency({"a": spark.createDataFrame([], "currency string")}).count() == 1
+
+
+@pytest.mark.parametrize("unit_rows", [1, 7, 1_000])
+def test_units_of_an_account_and_dependencies(spark, scratch, unit_rows):
+    """Accounts walked in many units, events that depend on others of limited and unlimited accounts: as in one sequence."""
+    rng = random.Random(unit_rows)
+    events = []
+    for i in range(160):
+        src, dst = rng.sample(range(5), 2)
+        events.append((i, 100 * i + rng.randrange(50), src, dst, rng.randrange(1, 120), rng.choice([None, None, rng.randrange(i)]) if i else None))
+    accounts = [(a, 100, None if a == 0 else rng.choice([0, 50])) for a in range(5)]
+    e, a = spark.createDataFrame(events, EVENTS), spark.createDataFrame(accounts, ACCOUNTS)
+    found = [rows(settle(e, a, scratch, method, unit_rows=unit_rows)) for method in METHODS]
+    assert found[0] == found[1] and {r[6] for r in found[0]} == {"SETTLED", "DECLINED"}

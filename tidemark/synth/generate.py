@@ -50,7 +50,7 @@ def _provenance() -> dict:
     return {"commit": git("rev-parse", "HEAD"), "dirty": bool(git("status", "--porcelain")), "python": platform.python_version(), "pyspark": pyspark.__version__}
 
 
-def generate(spark: SparkSession, cfg: GeneratorConfig, scratch: Scratch, settle_method: str = "sequential", check: bool = True) -> Dataset:
+def generate(spark: SparkSession, cfg: GeneratorConfig, scratch: Scratch, settle_method: str = "fixpoint", check: bool = True) -> Dataset:
     """All 14 tables; with check the integrity checks run on them before they are returned."""
     draw = Draws(cfg.seed)
     pop = build_population(spark, cfg, draw)
