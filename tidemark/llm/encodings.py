@@ -301,9 +301,11 @@ class NgramModel:
         stand for another. Exact, as a character's probability depends on the two before it, which are the state."""
         layers: list[dict[tuple[str, bool], tuple[float, str]]] = [{} for _ in range(len(span) + 1)]
         layers[0]["\x02\x02", False] = (0.0, "")
+        others = [[(n, ch, True) for n in (1, 2, 3, 4) if i + n <= len(span) for ch in keys.get(span[i : i + n], ())] if span[i] > "\x7f" else [] for i in range(len(span))]
+        if not any(others):
+            return None
         for i, layer in enumerate(layers[:-1]):
-            options = [] if "\x7f" <= span[i] < "\xa0" else [(1, span[i], False)]
-            options += [(n, ch, True) for n in (1, 2, 3, 4) if i + n <= len(span) for ch in keys.get(span[i : i + n], ())]
+            options = others[i] if "\x7f" <= span[i] < "\xa0" else [(1, span[i], False), *others[i]]
             for (two, changed), (score, done) in layer.items():
                 for n, ch, other in options:
                     state = (two[1] + ch, changed or other)
