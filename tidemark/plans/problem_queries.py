@@ -91,7 +91,8 @@ def p6_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = by_type(read_entity_cells(spark, _p6_table(spark, sf_dir)), TXN_TYPES, HORIZON)
     quiet = cells.filter(f"n >= 4 AND since_last >= {30 * DAY}").select(F.col("entity").alias("src_account_id"), F.col("kind").alias("txn_type"))
-    return quiet.join(internal_accounts(spark, sf_dir).withColumnRenamed("account_id", "src_account_id"), "src_account_id", "left_semi")
+    internal = internal_accounts(spark, sf_dir).withColumnRenamed("account_id", "src_account_id").hint("merge")  # as many as there are accounts
+    return quiet.join(internal, "src_account_id", "left_semi")
 
 
 def p7_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
