@@ -3,12 +3,14 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tidemark.cli import main
 from tidemark.errors import ConfigError
 from tidemark.session import Scratch
 from tidemark.synth.config import load_config
+from tidemark.synth.draw import Draws
 from tidemark.synth.generate import generate
 from tidemark.synth.scenario import FAMILIES, instances, plan_network, slots
 
@@ -101,7 +103,35 @@ def test_tampered_files_are_noticed(spark, folder, tmp_path, capsys):
 
 
 def test_same_seed_same_data(spark):
-    cfg = load_config("tiny", seed=3, overrides={"population": {"n_persons": 120}})
+    cfg = load_config("tiny", seed=3)
     a, b = (generate(spark, cfg, Scratch(spark, "same"), method, check=False) for method in ("sequential", "fixpoint"))
     assert a.metadata["digests"] == b.metadata["digests"]
     assert rows(a.tables["atms"]) == rows(b.tables["atms"])
+
+
+def test_networks_raise_and_do_not_vanish(spark):
+    with pytest.raises(ConfigError, match="too few accounts"):
+        generate(spark, load_config("tiny", seed=3, overrides={"population": {"n_persons": 40}}), Scratch(spark, "few"), check=False)
+    with pytest.raises(ConfigError, match="max_instances reached"):
+        instances(load_config("tiny", overrides={"recruitment": {"target_prevalence": 0.5}}))
+
+
+def test_draws_have_the_moments_of_their_distributions(spark):
+    draw, k = Draws(5), F.col("id")
+    df = spark.range(20_000)
+    for mean in (0.3, 6.0, 45.0):
+        m, v, most = df.select(draw.poisson(mean, "p", k).alias("x")).agg(F.avg("x"), F.var_pop("x"), F.max("x")).first()
+        assert abs(m - mean) < 5 * (mean / 20_000) ** 0.5 and abs(v - mean) < 0.1 * mean and most > mean + 2.5 * mean**0.5
+    for shape in (0.4, 1.0, 3.5):
+        x = df.select(draw.gamma(shape, "g", k).alias("x"))
+        m, v, low, missing = x.agg(F.avg("x"), F.var_pop("x"), F.min("x"), F.count_if(F.col("x").isNull())).first()
+        assert abs(m - shape) < 5 * (shape / 20_000) ** 0.5 and abs(v - shape) < 0.15 * shape and low > 0 and missing == 0
+    with pytest.raises(ConfigError):
+        draw.poisson(1_000, "p", k)
+
+
+def test_quota_of_each_family():
+    cfg = load_config("dev")
+    sizes = {f: [len(slots(f, i["fan"], i["hops"])) for i in instances(cfg) if i["family"] == f] for f in FAMILIES}
+    quota = cfg["recruitment"]["target_prevalence"] * cfg["population"]["n_persons"] / sum(f["weight"] for f in cfg["families"].values())
+    assert all(abs(sum(s) - quota * cfg["families"][f]["weight"]) <= max(s) or len(s) == cfg["families"][f]["min_instances"] for f, s in sizes.items())

@@ -12,8 +12,10 @@ from pathlib import Path
 from tidemark.errors import ConfigError
 
 ARCHETYPE = {"share": 0.1, "income": 1.0, "card_daily": 0.6, "p_night": 0.05, "atm_weekly": 0.4, "p2p_monthly": 3.0, "browse_daily": 0.4, "customers_daily": 0.0, "suppliers_daily": 0.0, "travel": 0.02, "surge": 0.0, "dormancy": 0.02}
-FAMILY = {"max_instances": 4, "min_instances": 1, "fan": {"kind": "ShiftedPoisson", "shift": 2, "mean": 1.5}, "hops": 3, "rounds": 2, "ood": False, "exit": "atm", "amount": {"kind": "LogNormal", "median": 60_000, "sigma": 0.6}, "start_day": {"kind": "Uniform", "low": 5, "high": 60}, "holding_hours": {"kind": "Gamma", "shape": 2.0, "scale": 12.0}}
+FAMILY = {"weight": 1.0, "max_instances": 4, "min_instances": 1, "fan": {"kind": "ShiftedPoisson", "shift": 2, "mean": 1.5}, "hops": 3, "rounds": 2, "ood": False, "exit": "atm", "amount": {"kind": "LogNormal", "median": 60_000, "sigma": 0.6}, "start_day": {"kind": "Uniform", "low": 5, "high": 60}, "holding_hours": {"kind": "Gamma", "shape": 2.0, "scale": 12.0}}
 
+# Days, split ends, horizons, label latency, shares never known and of the reference pool, and session
+# lengths of the profiles, all below, are those that published results were made with.
 BASE: dict = {
     "simulation": {"seed": 1, "days": 90, "anchor": "2024-01-01"},
     "population": {"n_persons": 2_500, "n_regions": 8, "household_size": 2.2, "n_merchants": 320, "n_atms": 60, "n_employers": 40, "n_billers": 30, "n_landlords": 20, "n_card_networks": 5},
@@ -43,14 +45,14 @@ BASE: dict = {
     "families": {
         "fan_in": FAMILY | {},
         "fan_out": FAMILY | {"exit": "atm"},
-        "pass_through": FAMILY | {"exit": "external"},
+        "pass_through": FAMILY | {"weight": 0.25, "exit": "external"},
         "burst": FAMILY | {},
         "dormant_activation": FAMILY | {"ood": True},
         "multi_hop": FAMILY | {},
         "cycle": FAMILY | {"ood": True, "exit": "external"},
-        "structuring_like": FAMILY | {},
+        "structuring_like": FAMILY | {"weight": 0.25, },
         "shared_infrastructure": FAMILY | {"exit": "external"},
-        "account_to_cash": FAMILY | {},
+        "account_to_cash": FAMILY | {"weight": 0.25, },
     },
     "recruitment": {"eligible_share": 0.5, "target_prevalence": 0.02},
     "high_risk_phases": ["MOVEMENT", "EXIT"],
@@ -60,9 +62,9 @@ BASE: dict = {
     "validation": {"min_cv": 0.05, "min_instances": 5},
 }
 PROFILES: dict[str, dict] = {
-    "tiny": {"simulation": {"days": 45}, "population": {"n_persons": 400}, "family_defaults": {"max_instances": 2, "start_day": {"kind": "Uniform", "low": 2, "high": 25}}, "recruitment": {"target_prevalence": 0.2}, "splits": {"train_end_day": 28, "val_end_day": 37}},
+    "tiny": {"simulation": {"days": 45}, "population": {"n_persons": 400}, "family_defaults": {"max_instances": 2, "start_day": {"kind": "Uniform", "low": 2, "high": 25}}, "recruitment": {"target_prevalence": 0.14}, "splits": {"train_end_day": 28, "val_end_day": 37}},
     "dev": {},
-    "research": {"population": {"n_persons": 100_000, "n_merchants": 4_000, "n_atms": 800}, "family_defaults": {"max_instances": 62}},
+    "research": {"population": {"n_persons": 100_000, "n_merchants": 4_000, "n_atms": 800}, "family_defaults": {"max_instances": 150}},
 }
 KINDS = {"LogNormal": ("median", "sigma"), "Gamma": ("shape", "scale"), "Uniform": ("low", "high"), "ShiftedPoisson": ("shift", "mean"), "Beta": ("a", "b"), "Constant": ("value",), "Empirical": ("values", "weights")}
 

@@ -8,6 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.errors import ConfigError
 from tidemark.functions.keyed import hashed_uniform
 
 
@@ -28,31 +29,48 @@ class Draws:
         return (lo + F.floor(self.uniform(name, *ids) * (hi - lo + 1))).cast("bigint")
 
     def gamma(self, shape: float, name: str, *ids: Column) -> Column:
-        """By the cube-root normal approximation of Wilson and Hilferty."""
-        c = 1.0 / (9.0 * shape)
-        return F.greatest(F.lit(0.0), shape * F.pow(1.0 - c + self.normal(name, *ids) * math.sqrt(c), 3))
+        """By the rejection of Marsaglia and Tsang: the first of up to 64 tries that is accepted. A try fails with less than
+        5 %, so that all fail once in 10^83."""
+        more = max(shape, 1.0 + shape if shape < 1 else shape)
+        d = more - 1.0 / 3.0
+        c = 1.0 / math.sqrt(9.0 * d)
+
+        def tried(i: Column) -> Column:
+            x = self.normal(f"{name}/x", *ids, i)
+            v = F.pow(1.0 + c * x, F.lit(3))
+            accepted = (v > 0) & (F.log(self.uniform(f"{name}/u", *ids, i)) < 0.5 * x * x + d - d * v + d * F.log(F.when(v > 0, v).otherwise(1.0)))
+            return F.when(accepted, d * v)
+
+        tries = F.filter(F.transform(F.sequence(F.lit(0), F.lit(63)), tried), lambda v: v.isNotNull())
+        found = F.element_at(tries, 1)
+        return found * F.pow(self.uniform(f"{name}/boost", *ids), F.lit(1.0 / shape)) if shape < 1 else found
 
     @staticmethod
-    def _thresholds(mean: float, most: int) -> Column:
-        """Cumulative probabilities of 0 … most - 1."""
+    def _thresholds(mean: float) -> Column:
+        """Cumulative probabilities of 0, 1, … up to the largest number that a uniform of 53 bits can reach."""
         term = total = math.exp(-mean)
-        out = [total]
-        for k in range(1, most):
+        out, k = [total], 0
+        while total < 1.0 - 2.0**-53 and (term > 2.0**-60 or k < mean):
+            k += 1
             term *= mean / k
             total += term
             out.append(min(1.0, total))
         return F.array(*map(F.lit, out))
 
-    def poisson(self, mean: float, most: int, name: str, *ids: Column) -> Column:
-        """By inversion; `most` bounds the count."""
+    def poisson(self, mean: float, name: str, *ids: Column) -> Column:
+        """By inversion, exact for means up to some 700, where exp(-mean) is still a number."""
+        if not 0 <= mean <= 700:
+            raise ConfigError(f"a mean of {mean} is out of range")
         u = self.uniform(name, *ids)
-        return F.size(F.filter(self._thresholds(float(mean), most), lambda c: c < u))
+        return F.size(F.filter(self._thresholds(float(mean)), lambda c: c < u))
 
-    def poisson_by(self, key: Column, means: Mapping[str, float], most: int, name: str, *ids: Column) -> Column:
+    def poisson_by(self, key: Column, means: Mapping[str, float], name: str, *ids: Column) -> Column:
         """The same with a mean for each value of a key; 0 for other keys."""
         table = F.array(F.lit(1.0))
         for value, mean in means.items():
-            table = F.when(key == value, self._thresholds(float(mean), most)).otherwise(table)
+            if not 0 <= mean <= 700:
+                raise ConfigError(f"a mean of {mean} is out of range")
+            table = F.when(key == value, self._thresholds(float(mean))).otherwise(table)
         u = self.uniform(name, *ids)
         return F.size(F.filter(table, lambda c: c < u))
 
@@ -66,7 +84,7 @@ class Draws:
         if kind == "Uniform":
             return F.lit(float(d["low"])) + self.uniform(name, *ids) * float(d["high"] - d["low"])
         if kind == "ShiftedPoisson":
-            return (self.poisson(float(d["mean"]), 12, name, *ids) + int(d["shift"])).cast("double")
+            return (self.poisson(float(d["mean"]), name, *ids) + int(d["shift"])).cast("double")
         if kind == "Beta":
             a, b = self.gamma(float(d["a"]), f"{name}/x", *ids), self.gamma(float(d["b"]), f"{name}/y", *ids)
             return a / F.greatest(a + b, F.lit(1e-12))

@@ -76,8 +76,8 @@ def generate(spark: SparkSession, cfg: GeneratorConfig, scratch: Scratch, settle
 
     columns = ["event_id", "ts", "txn_type", "channel", "src_account_id", "dst_account_id", "merchant_id", "atm_id", "amount_minor", "region"]
     none = F.lit(None).cast("bigint")
-    digital = session_logins(kept.filter(F.col("channel").isin("APP", "WEB")), cfg, draw)
-    with_login = digital.filter("login_ts < ts")
+    # A login in the first second of all may be at the same time as its event, which is not too late.
+    with_login = session_logins(kept.filter(F.col("channel").isin("APP", "WEB")), cfg, draw)
     rest = kept.filter(~F.col("channel").isin("APP", "WEB"))
     normal_rows = with_login.select(*columns, "device_id", "ip_id", "login_event_id").unionByName(rest.select(*columns, none.alias("device_id"), none.alias("ip_id"), none.alias("login_event_id")))
     scenario_rows = planned.select(*(F.col(c) if c not in ("merchant_id", "region") else F.lit(None if c == "merchant_id" else 0).cast("bigint" if c == "merchant_id" else "smallint").alias(c) for c in columns), none.alias("device_id"), none.alias("ip_id"), none.alias("login_event_id"))

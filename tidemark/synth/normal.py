@@ -124,8 +124,8 @@ def normal_transactions(spark: SparkSession, cfg: GeneratorConfig, pop: Populati
     def at(low: float, high: float, name: str, *ids: Column) -> Column:
         return F.floor((low + u(name, pid, day, *ids) * (high - low)) * HOUR)
 
-    def count(rate: str, most: int, name: str, times: float = 1.0) -> Column:
-        return draw.poisson_by(F.col("archetype"), {a: v[rate] * times for a, v in cfg["archetypes"].items()}, most, name, pid, day)
+    def count(rate: str, name: str, times: float = 1.0) -> Column:
+        return draw.poisson_by(F.col("archetype"), {a: v[rate] * times for a, v in cfg["archetypes"].items()}, name, pid, day)
 
     def several(df: DataFrame, n: Column) -> DataFrame:
         return df.withColumn("n", n).filter("n > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
@@ -145,7 +145,7 @@ def normal_transactions(spark: SparkSession, cfg: GeneratorConfig, pop: Populati
     streams.append(_events(monthly("bill", bills, k), 3, at(3, 6, "bill/at", k), draw.sample(a["bill"], "bill", pid, k) * (0.9 + 0.2 * u("bill/wobble", pid, day, k)), "OUTBOUND_PAYMENT", "SCHEDULED", mine, of("biller", "biller", pid, k), draw, k))
     burst_from = draw.integer(0, cfg.days - 1, "surge/from", pid)
     surging = (u("surge", pid) < F.col("surge")) & day.between(burst_from, burst_from + 9)
-    cards = several(spine, F.when(surging, count("card_daily", 16, "card", 4.0)).otherwise(count("card_daily", 12, "card")))
+    cards = several(spine, F.when(surging, count("card_daily", "card", 4.0)).otherwise(count("card_daily", "card")))
     hour = F.when(u("card/night", pid, day, k) < F.col("p_night"), 5 * u("card/at", pid, day, k)).otherwise(8 + 14 * u("card/at", pid, day, k))
     favourite = u("card/favourite", pid, day, k) < 0.5
     local = F.floor(u("merchant/local", pid, day, k) * (p["n_merchants"] // p["n_regions"])) * p["n_regions"] + F.col("region")
@@ -154,20 +154,20 @@ def normal_transactions(spark: SparkSession, cfg: GeneratorConfig, pop: Populati
     streams.append(_events(cards, 4, F.floor(hour * HOUR), draw.sample(a["card"], "card/amount", pid, day, k), "CARD_PAYMENT", "POS", mine, of("card_network", "network", pid, day, k), draw, k, merchant=merchant.cast("bigint")))
     atm = a["atm"]
     notes = F.least(F.lit(atm["most"]), F.greatest(F.lit(atm["step"]), F.round(atm["median"] * F.exp(draw.normal("atm/amount", pid, day, k) * atm["sigma"]) / atm["step"]) * atm["step"]))
-    streams.append(_events(several(spine, count("atm_weekly", 4, "atm", 1 / 7)), 5, at(7, 23, "atm/at", k), notes, "ATM_WITHDRAWAL", "ATM", mine, external(CASH), draw, k, atm=draw.integer(1, p["n_atms"], "atm/which", pid, day, k)))
+    streams.append(_events(several(spine, count("atm_weekly", "atm", 1 / 7)), 5, at(7, 23, "atm/at", k), notes, "ATM_WITHDRAWAL", "ATM", mine, external(CASH), draw, k, atm=draw.integer(1, p["n_atms"], "atm/which", pid, day, k)))
     digital = F.when(u("channel", pid, day, k) < 0.7, "APP").otherwise("WEB")
     friend = draw.integer(0, p["n_persons"] - 1, "contact", pid, draw.integer(0, 4, "friend", pid, day, k))
-    p2p = several(spine, count("p2p_monthly", 6, "p2p", 1 / 30)).filter(friend != pid)
+    p2p = several(spine, count("p2p_monthly", "p2p", 1 / 30)).filter(friend != pid)
     streams.append(_events(p2p, 6, at(8, 23, "p2p/at", k), draw.sample(a["p2p"], "p2p/amount", pid, day, k), "TRANSFER", digital, mine, account_of(friend), draw, k))
-    trade = spine.filter(F.col("customers_daily") > 0).withColumn("n", count("customers_daily", 40, "customers")).filter("n > 0")
+    trade = spine.filter(F.col("customers_daily") > 0).withColumn("n", count("customers_daily", "customers")).filter("n > 0")
     streams.append(_events(trade, 7, at(23, 23.5, "batch/at"), draw.sample(a["business"], "batch", pid, day) * F.col("n") * 0.9, "INBOUND_CREDIT", "INBOUND_EXTERNAL", external(WORLD), mine, draw))
-    customers = several(spine.filter(F.col("customers_daily") > 0), count("customers_daily", 8, "customer", 0.1))
+    customers = several(spine.filter(F.col("customers_daily") > 0), count("customers_daily", "customer", 0.1))
     customers = customers.withColumn("business", mine).withColumn("person_id", draw.integer(0, p["n_persons"] - 1, "customer/who", pid, day, k)).filter(F.col("business") != account_of(F.col("person_id")))
     # The customer's counter must not meet another business's, so the business is hashed into the number.
     number = F.pmod(F.xxhash64("business", "day", "k"), F.lit(2_048)).cast("int")
     sold = _events(customers, 8, F.floor((8 + 13 * u("customer/at", F.col("business"), day, k)) * HOUR), draw.sample(a["business"], "customer/amount", F.col("business"), day, k), "TRANSFER", F.when(u("customer/channel", F.col("business"), day, k) < 0.7, "APP").otherwise("WEB"), account_of(F.col("person_id")), F.col("business"), draw, number)
     streams.append(sold.dropDuplicates(["event_id"]))
-    suppliers = several(spine.filter(F.col("suppliers_daily") > 0), count("suppliers_daily", 12, "supplier"))
+    suppliers = several(spine.filter(F.col("suppliers_daily") > 0), count("suppliers_daily", "supplier"))
     streams.append(_events(suppliers, 9, at(9, 18, "supplier/at", k), draw.sample(a["business"], "supplier/amount", pid, day, k) * 2, "OUTBOUND_PAYMENT", "WEB", mine, external(WORLD), draw, k))
     out = streams[0]
     for s in streams[1:]:
@@ -228,7 +228,7 @@ def browsing(spark: SparkSession, cfg: GeneratorConfig, pop: Population, draw: D
     """Logins without a transaction, in the form of session_logins."""
     pid, day = F.col("person_id"), F.col("day")
     spine = pop.people.withColumn("day", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cfg.days - 1).cast("bigint"))))
-    count = draw.poisson_by(F.col("archetype"), {a: v["browse_daily"] for a, v in cfg["archetypes"].items()}, 6, "browse", pid, day)
+    count = draw.poisson_by(F.col("archetype"), {a: v["browse_daily"] for a, v in cfg["archetypes"].items()}, "browse", pid, day)
     n = spine.withColumn("n", count).filter("n > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
     seconds = F.floor((7 + 16.5 * draw.uniform("browse/at", pid, day, F.col("k"))) * HOUR)
     rows = _events(n, 10, seconds, F.lit(1), "TRANSFER", F.when(draw.uniform("browse/channel", pid, day, F.col("k")) < 0.7, "APP").otherwise("WEB"), account_of(pid), account_of(pid), draw, F.col("k"))

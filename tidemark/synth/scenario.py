@@ -67,25 +67,29 @@ def slots(family: str, fan: int, hops: int) -> list[tuple[str, str, bool]]:
 
 
 def instances(cfg: GeneratorConfig) -> list[dict]:
-    """The networks to plan, in a fixed order: at least min_instances of each family, then more while the quota of members holds."""
-    quota = cfg["recruitment"]["target_prevalence"] * cfg["population"]["n_persons"]
-    made, total = [], 0
-    widest = max(f["max_instances"] for f in cfg["families"].values())
-    for i in range(widest):
-        for code, family in enumerate(FAMILIES, 1):
-            f = cfg["families"][family]
-            if i >= f["max_instances"]:
-                continue
+    """The networks to plan, in a fixed order of families and numbers.
+
+    Each family has a quota of members, its weight's share of the target prevalence; families with max_instances 0 have
+    none. Its instances are taken as long as they are fewer than min_instances or bring it closer to its quota. A family
+    that reaches max_instances and is still further below its quota than half an instance raises ConfigError.
+    """
+    quota = cfg["recruitment"]["target_prevalence"] * cfg["population"]["n_persons"] / sum(f["weight"] for f in cfg["families"].values())
+    made = []
+    for code, family in enumerate(FAMILIES, 1):
+        f = cfg["families"][family]
+        total = last = 0
+        for i in range(f["max_instances"]):
             rng = rng_of(cfg.seed, "instance", family, i)
             fan, hops = max(1, int(value_of(f["fan"], rng))), int(f["hops"])
-            members = slots(family, fan, hops)
-            if i >= f["min_instances"] and total + len(members) / 2 > quota:
-                continue
-            total += len(members)
+            last = len(slots(family, fan, hops))
+            if i >= f["min_instances"] and total + last / 2 > quota * f["weight"]:
+                break
+            total += last
             start = int(min(max(value_of(f["start_day"], rng), 1), cfg.days - 10) * DAY + rng.integers(8 * HOUR, 18 * HOUR))
             made.append({"family": family, "code": code, "idx": i, "fan": fan, "hops": hops, "rounds": int(f["rounds"]), "ood": bool(f["ood"]), "exit": f["exit"], "start": start, "amount": int(value_of(f["amount"], rng)) + 100, "holding": int(value_of(f["holding_hours"], rng) * HOUR) + HOUR, "retention": int(rng.integers(200, 800)), "forward": int(rng.integers(700, 980))})
-    if total < 0.5 * quota and widest < 1 << 10:
-        raise ConfigError("the families' max_instances are too few for the target prevalence")
+        else:
+            if f["max_instances"] and quota * f["weight"] - total > max(1, last) / 2:
+                raise ConfigError(f"{family}: max_instances reached with {total} members of a quota of {quota * f['weight']:.1f}")
     return made
 
 
@@ -176,6 +180,11 @@ def plan_network(i: Mapping, members: Mapping[str, int], seed: int, sim_end: int
     return rows
 
 
+def recruits(i: Mapping) -> int:
+    """How many accounts an instance takes from its cell."""
+    return sum(not created for _, _, created in slots(i["family"], i["fan"], i["hops"]))
+
+
 def cell_names(made: list[dict]) -> list[str]:
     """The names of the instances' cells of accounts."""
     return [f"{i['family']}/{i['idx']}" for i in made]
@@ -186,7 +195,8 @@ def plans(spark: SparkSession, cfg: GeneratorConfig, accounts: DataFrame, draw:
     made = instances(cfg)
     cells = rendezvous_partition(accounts, cell_names(made), 1 - cfg["recruitment"]["eligible_share"], f"recruit/{cfg.seed}")
     order = Window.partitionBy("cell").orderBy(F.xxhash64(F.lit(cfg.seed), "account_id"), "account_id")
-    ranked = cells.filter("cell >= 0").withColumn("no", F.row_number().over(order) - 1).filter("no < 64")
+    needed = F.element_at(F.array(*(F.lit(recruits(i)) for i in made)), F.col("cell") + 1)
+    ranked = cells.filter("cell >= 0").withColumn("no", F.row_number().over(order) - 1).filter(F.col("no") < needed)
     seed, end = cfg.seed, cfg.sim_end
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -202,10 +212,11 @@ def plans(spark: SparkSession, cfg: GeneratorConfig, accounts: DataFrame, draw:
             if fresh:
                 members[name] = pack(3, scenario_payload(i["code"], i["idx"], created))
                 created += 1
-            elif (account := next(pool, None)) is not None:
-                members[name] = account
-            else:  # too few accounts in the cell
-                return shape.empty_table()
+            else:
+                members[name] = next(pool)
         return pa.Table.from_pylist(plan_network(i, members, seed, end), schema=shape)
 
+    found = {r[0]: r[1] for r in ranked.groupBy("cell").agg(F.count(F.lit(1))).collect()}  # a row per instance
+    if lacking := [name for c, (name, i) in enumerate(zip(cell_names(made), made, strict=True)) if found.get(c, 0) < recruits(i)]:
+        raise ConfigError(f"too few accounts for {lacking[:5]}; more persons or fewer instances are needed")
     return ranked.groupBy("cell").applyInArrow(lambda t: run(t), PLAN), made
