@@ -135,3 +135,18 @@ def test_quota_of_each_family():
     sizes = {f: [len(slots(f, i["fan"], i["hops"])) for i in instances(cfg) if i["family"] == f] for f in FAMILIES}
     quota = cfg["recruitment"]["target_prevalence"] * cfg["population"]["n_persons"] / sum(f["weight"] for f in cfg["families"].values())
     assert all(abs(sum(s) - quota * cfg["families"][f]["weight"]) <= max(s) or len(s) == cfg["families"][f]["min_instances"] for f, s in sizes.items())
+
+
+def test_networks_log_in_before_they_pay(spark, folder):
+    """Digital transfers of networks have logins of their own, which are labelled; shared infrastructure is shared."""
+    t = {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in ("event_labels", "logins", "transactions", "labels", "devices", "ips")}
+    labelled = t["event_labels"].filter("event_table = 'logins'").join(t["logins"], "event_id")
+    assert labelled.count() == t["event_labels"].filter("event_table = 'logins'").count() > 0
+    setup = labelled.filter("phase = 'SETUP'")
+    per_network = setup.groupBy("network_id").agg(F.countDistinct("account_id").alias("accounts"), F.countDistinct("device_id").alias("devices"), F.countDistinct("ip_id").alias("ips")).collect()
+    assert per_network and all(r["accounts"] >= 2 and r["devices"] == r["ips"] == 1 for r in per_network)
+    assert setup.join(t["devices"], "device_id").join(t["ips"], "ip_id").count() == setup.count()
+    assert {r[0] for r in t["labels"].select("phase").distinct().collect()} >= {"SETUP", "INFLOW", "HOLD", "MOVEMENT", "EXIT"}
+    paid = t["event_labels"].filter("event_table = 'transactions'").join(t["transactions"].filter("channel IN ('APP', 'WEB')"), "event_id")
+    mine = t["event_labels"].filter("event_table = 'logins'").select(F.col("event_id").alias("login_event_id"))
+    assert paid.count() == paid.join(mine, "login_event_id").count() > 0

@@ -11,7 +11,7 @@ import pyspark
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ids import event_id
+from tidemark.functions.ids import event_id, kind_of
 from tidemark.functions.keyed import stable_key, with_keyed_uniform
 from tidemark.functions.timebase import DAY
 from tidemark.operators.checks import all_checks, run_checks
@@ -23,7 +23,7 @@ from tidemark.sources.schema import REGISTRY, conform
 from tidemark.synth.config import GeneratorConfig
 from tidemark.synth.draw import Draws
 from tidemark.synth.normal import account_of, browsing, build_population, login_rows, normal_transactions, session_logins
-from tidemark.synth.scenario import FAMILIES, cell_names, plans
+from tidemark.synth.scenario import FAMILIES, SCENARIO_DEVICE, SCENARIO_IP, cell_names, plans
 
 
 @dataclass(frozen=True)
@@ -68,7 +68,9 @@ def generate(spark: SparkSession, cfg: GeneratorConfig, scratch: Scratch, settle
     owner = (code * 65_536 + F.col("instance_idx")).cast("bigint")
     planned = plan.filter("what = 'event'").join(net.select("network_id", "family", "instance_idx"), "network_id")
     planned = planned.withColumns({"event_id": event_id(3, owner, F.col("no")), "depends_id": F.when(F.col("depends_on").isNotNull(), event_id(3, owner, F.col("depends_on"))), "atm_id": F.when(F.col("cash"), draw.integer(1, cfg["population"]["n_atms"], "atm/scenario", F.col("no"), F.col("network_id")))})
-    planned = scratch.table(planned, "planned")
+    planned = scratch.table(planned.withColumn("login_event_id", F.when(F.col("login_no").isNotNull(), event_id(4, owner, F.col("login_no")))), "planned")
+    entries = plan.filter("what = 'login'").join(net.select("network_id", "family", "instance_idx"), "network_id").withColumn("event_id", event_id(4, owner, F.col("no")))
+    entries = scratch.table(entries, "entries")
 
     created = plan.filter("what = 'member' AND is_created").select("account_id", F.col("ts").alias("opened_at")).distinct()
     new_accounts = created.select("account_id", F.lit("internal").alias("account_kind"), F.lit(None).cast("string").alias("external_role"), F.col("account_id").alias("owner_person_id"), (F.col("opened_at") - DAY).alias("opened_at"), F.lit(None).cast("bigint").alias("closed_at"), F.lit(0).cast("bigint").alias("overdraft_limit_minor"), F.lit(0).cast("bigint").alias("initial_balance_minor"), F.lit(0).cast("smallint").alias("region"))
@@ -80,22 +82,27 @@ def generate(spark: SparkSession, cfg: GeneratorConfig, scratch: Scratch, settle
     with_login = session_logins(kept.filter(F.col("channel").isin("APP", "WEB")), cfg, draw)
     rest = kept.filter(~F.col("channel").isin("APP", "WEB"))
     normal_rows = with_login.select(*columns, "device_id", "ip_id", "login_event_id").unionByName(rest.select(*columns, none.alias("device_id"), none.alias("ip_id"), none.alias("login_event_id")))
-    scenario_rows = planned.select(*(F.col(c) if c not in ("merchant_id", "region") else F.lit(None if c == "merchant_id" else 0).cast("bigint" if c == "merchant_id" else "smallint").alias(c) for c in columns), none.alias("device_id"), none.alias("ip_id"), none.alias("login_event_id"))
+    scenario_rows = planned.select(*(F.col(c) if c not in ("merchant_id", "region") else F.lit(None if c == "merchant_id" else 0).cast("bigint" if c == "merchant_id" else "smallint").alias(c) for c in columns), "device_id", "ip_id", "login_event_id")
     all_rows = scratch.table(normal_rows.unionByName(scenario_rows), "rows")
     logins = login_rows(with_login.unionByName(browsing(spark, cfg, pop, draw).filter(F.col("ts") < cfg.sim_end)), cfg, draw)
+    logins = logins.unionByName(entries.select("event_id", "ts", "account_id", "device_id", "ip_id", "channel", F.lit("SUCCESS").alias("outcome")))
 
     to_settle = all_rows.join(planned.select("event_id", "depends_id"), "event_id", "left").select("event_id", "ts", "src_account_id", "dst_account_id", "amount_minor", F.col("depends_id").alias("depends_on"))
     ledger = settle(to_settle, accounts, Scratch(spark, "ledger"), settle_method).select("event_id", "status", "src_before", "src_after", "dst_before", "dst_after")
     done = all_rows.join(ledger, "event_id")
     transactions = done.select(*columns, "device_id", "ip_id", "login_event_id", "status", F.col("src_before").alias("src_balance_before_minor"), F.col("src_after").alias("src_balance_after_minor"), F.col("dst_before").alias("dst_balance_before_minor"), F.col("dst_after").alias("dst_balance_after_minor"))
     transactions = scratch.table(transactions.repartition("event_id").sortWithinPartitions("ts", "event_id"), "transactions")
-    truth = _truth(cfg, draw, plan, planned, net, transactions)
-    devices = pop.tables["devices"]
+    truth = _truth(cfg, draw, plan, planned, entries, net, transactions)
+    used = entries.groupBy("device_id").agg(F.min("ts").alias("first_seen_at")).filter(kind_of(F.col("device_id")) == SCENARIO_DEVICE)
+    devices = pop.tables["devices"].unionByName(used.select("device_id", F.lit("mobile").alias("device_kind"), "first_seen_at"))
+    places = entries.select("ip_id").distinct().filter(kind_of(F.col("ip_id")) == SCENARIO_IP)
+    ips = pop.tables["ips"].unionByName(places.select("ip_id", F.lit("household").alias("ip_context"), draw.integer(0, cfg["population"]["n_regions"] - 1, "region/scenario", F.col("ip_id")).cast("smallint").alias("region")))
     more = {
         "persons": pop.tables["persons"].unionByName(created.select(F.col("account_id").alias("person_id"), F.lit(0).cast("smallint").alias("region"), F.lit(-1).cast("bigint").alias("household_id"), (F.col("opened_at") - DAY).alias("created_at"))),
         "person_truth": pop.tables["person_truth"].unionByName(created.select(F.col("account_id").alias("person_id"), F.lit("student").alias("archetype"), F.lit("scenario").alias("origin"))),
         "relations": pop.tables["relations"].unionByName(created.select(F.lit("OWNS_ACCOUNT").alias("relation_type"), F.col("account_id").alias("src_id"), F.col("account_id").alias("dst_id"), F.col("opened_at").alias("valid_from"), F.lit(cfg.sim_end).cast("bigint").alias("valid_to"))),
         "devices": devices,
+        "ips": ips,
     }
     tables = pop.tables | more | truth | {"accounts": accounts, "transactions": transactions, "logins": logins}
     tables = {n: scratch.table(conform(n, tables[n]), f"final_{n}") for n in REGISTRY}
@@ -108,11 +115,12 @@ def generate(spark: SparkSession, cfg: GeneratorConfig, scratch: Scratch, settle
     return Dataset(tables, metadata)
 
 
-def _truth(cfg: GeneratorConfig, draw: Draws, plan: DataFrame, planned: DataFrame, net: DataFrame, transactions: DataFrame) -> dict[str, DataFrame]:
+def _truth(cfg: GeneratorConfig, draw: Draws, plan: DataFrame, planned: DataFrame, entries: DataFrame, net: DataFrame, transactions: DataFrame) -> dict[str, DataFrame]:
     """Label tables from the plan and from what was settled."""
     settled = planned.join(transactions.select("event_id", "status"), "event_id")
     ends = settled.groupBy("network_id").agg(F.max("ts").alias("last_event"), F.max(F.when((F.col("phase") == "EXIT") & (F.col("status") == "SETTLED"), F.struct("ts", "event_id"))).alias("terminal"))
-    first = settled.select("network_id", "ts", F.explode(F.array("src_account_id", "dst_account_id")).alias("account_id")).groupBy("network_id", "account_id").agg(F.min("ts").alias("first_own"))
+    first = settled.select("network_id", "ts", F.explode(F.array("src_account_id", "dst_account_id")).alias("account_id"))
+    first = first.unionByName(entries.select("network_id", "ts", "account_id")).groupBy("network_id", "account_id").agg(F.min("ts").alias("first_own"))
     intervals = plan.filter("what = 'interval'").select("network_id", "account_id", "role", "phase", F.col("ts").alias("s"), "valid_to")
     intervals = intervals.join(first, ["network_id", "account_id"]).withColumn("valid_from", F.greatest("s", "first_own"))
     following = F.lead("valid_from").over(Window.partitionBy("network_id", "account_id").orderBy("valid_from", "valid_to"))
@@ -128,6 +136,8 @@ def _truth(cfg: GeneratorConfig, draw: Draws, plan: DataFrame, planned: DataFram
     terminal = outcome.select("network_id", F.col("terminal.event_id").alias("terminal_event"))
     high = F.col("phase").isin(*cfg["high_risk_phases"])
     event_labels = planned.join(facts.drop("family"), "network_id").join(terminal, "network_id").select(F.lit("transactions").alias("event_table"), "event_id", "scenario_id", "network_id", "family", "phase", "event_type", high.alias("is_high_risk"), F.coalesce(F.col("event_id") == F.col("terminal_event"), F.lit(False)).alias("is_terminal"), "is_ood_family", "known_at")
+    of_logins = entries.join(facts.drop("family"), "network_id").select(F.lit("logins").alias("event_table"), "event_id", "scenario_id", "network_id", "family", "phase", "event_type", high.alias("is_high_risk"), F.lit(False).alias("is_terminal"), "is_ood_family", "known_at")
+    event_labels = event_labels.unionByName(of_logins)
     members = plan.filter("what = 'member'").join(facts.select("network_id"), "network_id", "left_semi")
     sizes = members.groupBy("network_id").agg(F.count(F.lit(1)).cast("int").alias("n_members"), F.count_if("is_created").cast("int").alias("n_created_accounts"))
     networks = outcome.join(sizes, "network_id").select(

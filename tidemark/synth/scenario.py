@@ -86,7 +86,7 @@ def instances(cfg: GeneratorConfig) -> list[dict]:
                 break
             total += last
             start = int(min(max(value_of(f["start_day"], rng), 1), cfg.days - 10) * DAY + rng.integers(8 * HOUR, 18 * HOUR))
-            made.append({"family": family, "code": code, "idx": i, "fan": fan, "hops": hops, "rounds": int(f["rounds"]), "ood": bool(f["ood"]), "exit": f["exit"], "start": start, "amount": int(value_of(f["amount"], rng)) + 100, "holding": int(value_of(f["holding_hours"], rng) * HOUR) + HOUR, "retention": int(rng.integers(200, 800)), "forward": int(rng.integers(700, 980))})
+            made.append({"regions": cfg["population"]["n_regions"], "family": family, "code": code, "idx": i, "fan": fan, "hops": hops, "rounds": int(f["rounds"]), "ood": bool(f["ood"]), "exit": f["exit"], "start": start, "amount": int(value_of(f["amount"], rng)) + 100, "holding": int(value_of(f["holding_hours"], rng) * HOUR) + HOUR, "retention": int(rng.integers(200, 800)), "forward": int(rng.integers(700, 980))})
         else:
             if f["max_instances"] and quota * f["weight"] - total > max(1, last) / 2:
                 raise ConfigError(f"{family}: max_instances reached with {total} members of a quota of {quota * f['weight']:.1f}")
@@ -95,28 +95,49 @@ def instances(cfg: GeneratorConfig) -> list[dict]:
 
 PLAN = (
     "what string, network_id bigint, no int, ts bigint, txn_type string, channel string, src_account_id bigint, dst_account_id bigint, amount_minor bigint, depends_on int, phase string, event_type string, "
-    "account_id bigint, role string, valid_to bigint, is_created boolean, cash boolean"
+    "account_id bigint, role string, valid_to bigint, is_created boolean, cash boolean, login_no int, device_id bigint, ip_id bigint"
 )
+SCENARIO_DEVICE, SCENARIO_IP, PERSONAL_DEVICE, MOBILE_IP = 3, 5, 1, 4  # kinds in ids
 
 
 def plan_network(i: Mapping, members: Mapping[str, int], seed: int, sim_end: int) -> list[dict]:
-    """Events, intervals and members of one network; `members` gives each slot's account."""
+    """Events, logins, intervals and members of one network; `members` gives each slot's account.
+
+    About half of the transfers are digital and follow a login of their account within the session window, the others
+    are scheduled. In shared_infrastructure all members first log in from one device and one IP of the network's own,
+    in a SETUP phase, and all of their transfers come from there.
+    """
     rng, net, family = rng_of(seed, "plan", i["family"], i["idx"]), network_of(i["code"], i["idx"]), i["family"]
     world, cash = pack(2, WORLD), pack(2, CASH)
     rows: list[dict] = []
     roles = {name: role for name, role, _ in slots(family, i["fan"], i["hops"])}
     fresh = {name: created for name, _, created in slots(family, i["fan"], i["hops"])}
+    created = {account for name, account in members.items() if fresh[name]}
     funded: dict[int, int] = {}
     t = i["start"]
 
+    own_device, own_ip = pack(SCENARIO_DEVICE, scenario_payload(i["code"], i["idx"], 0xFFFF)), pack(SCENARIO_IP, scenario_payload(i["code"], i["idx"], 0xFFFF))
+    shared = family == "shared_infrastructure"
+
+    def login(phase: str, ts: int, account: int, channel: str, what: str) -> dict:
+        """A planned login; created accounts and shared ones use the network's device, others that of their person."""
+        own = shared or account in created
+        device = own_device if own else pack(PERSONAL_DEVICE, account & (1 << 48) - 1)
+        ip = own_ip if own else pack(MOBILE_IP, account % i.get("regions", 1))
+        rows.append({"what": "login", "no": sum(r["what"] == "login" for r in rows), "ts": ts, "account_id": account, "channel": channel, "phase": phase, "event_type": what, "device_id": device, "ip_id": ip})
+        return rows[-1]
+
     def event(phase: str, kind: str, channel: str, src: int, dst: int, amount: float, what: str, is_cash: bool = False) -> None:
         """A planned transaction; one of a member depends on the last money that came to it."""
         nonlocal t
-        t += int(rng.integers(600, 6 * HOUR))
+        t += int(rng.integers(1_800, 6 * HOUR))
         if t >= sim_end or src == dst:
             return
+        entry = {}
+        if channel in ("APP", "WEB"):
+            entry = login(phase, t - int(rng.integers(20, 1_200)), src, channel, "LOGIN")
         no = sum(r["what"] == "event" for r in rows)
-        rows.append({"what": "event", "no": no, "ts": t, "txn_type": kind, "channel": channel, "src_account_id": src, "dst_account_id": dst, "amount_minor": max(1, int(amount)), "depends_on": funded.get(src), "phase": phase, "event_type": what, "cash": is_cash})
+        rows.append({"what": "event", "login_no": entry.get("no"), "device_id": entry.get("device_id"), "ip_id": entry.get("ip_id"), "no": no, "ts": t, "txn_type": kind, "channel": channel, "src_account_id": src, "dst_account_id": dst, "amount_minor": max(1, int(amount)), "depends_on": funded.get(src), "phase": phase, "event_type": what, "cash": is_cash})
         funded[dst] = no
 
     def interval(phase: str, start: int, end: int) -> None:
@@ -125,20 +146,29 @@ def plan_network(i: Mapping, members: Mapping[str, int], seed: int, sim_end: int
                 rows.append({"what": "interval", "account_id": account, "role": roles[name], "phase": phase, "ts": start, "valid_to": min(end, sim_end)})
 
     def transfer(phase: str, src: str, dst: str, amount: float, what: str = "TRANSFER_FUNDS") -> None:
-        event(phase, "TRANSFER", "SCHEDULED", members[src], members[dst], amount, what)
+        draw = rng.random()
+        channel = "APP" if shared or draw < 0.35 else "WEB" if draw < 0.5 else "SCHEDULED"
+        event(phase, "TRANSFER", channel, members[src], members[dst], amount, what)
 
     names = list(members)
     victims = [n for n in names if n.startswith("victim")]
     main = next(n for n in names if n not in victims)
     begin = t
+    if shared:
+        took = int(rng.integers(2 * HOUR, 12 * HOUR))
+        for account, ts in zip(members.values(), sorted(int(x) for x in rng.integers(t, t + took, len(members))), strict=True):
+            if ts < sim_end:
+                login("SETUP", ts, account, "APP", "NEW_DEVICE_LOGIN")
+        interval("SETUP", t, t + took)
+        t += took
     for _ in range(i["rounds"]):
         inflow = t
-        for _ in range(i["fan"] if family in ("fan_in", "fan_out", "burst", "shared_infrastructure") else 1):
+        for n in range(i["fan"] if family in ("fan_in", "fan_out", "burst", "shared_infrastructure") else 1):
             amount = i["amount"] * (rng.uniform(0.8, 1.0) if family == "structuring_like" else rng.uniform(0.85, 1.15))
             if victims:
                 transfer("INFLOW", victims[int(rng.integers(len(victims)))], main, amount, "RECEIVE_FUNDS")
             elif family == "shared_infrastructure":
-                event("INFLOW", "INBOUND_CREDIT", "INBOUND_EXTERNAL", world, members[names[1 + int(rng.integers(len(names) - 1))]], amount, "RECEIVE_FUNDS")
+                event("INFLOW", "INBOUND_CREDIT", "INBOUND_EXTERNAL", world, members[names[1 + n % (len(names) - 1)]], amount, "RECEIVE_FUNDS")
             else:
                 event("INFLOW", "INBOUND_CREDIT", "INBOUND_EXTERNAL", world, members[main], amount, "RECEIVE_FUNDS")
         interval("INFLOW", inflow, t + 1)
