@@ -26,15 +26,16 @@ def score_bucket(score: Column, per_doubling: int = 1 << 16) -> Column:
     return F.when(~F.isnan(score), F.signum(score) * number).cast("bigint")
 
 
-def average_precision_by(df: DataFrame, groups: Sequence[str], y: str = "y", score: str = "score") -> DataFrame:
+def average_precision_by(df: DataFrame, groups: Sequence[str], y: str = "y", score: str = "score", per_doubling: int = 1 << 16) -> DataFrame:
     """(groups, positives, ap): Σ (R_n - R_{n-1}) P_n over the distinct scores from the highest down; groups without a positive have NULL.
 
     Equal scores are one threshold. Rows become one per distinct score first; running counts over scores are taken per
-    bucket of scores and over the buckets' totals, so no group is sorted in one task.
+    bucket of scores and over the buckets' totals, so no group is sorted in one task, only one row for each of its
+    buckets (score_bucket), of which there are some millions at most.
     """
     g = list(groups)
     rows = df.select(*map(col, g), col(y).cast("boolean").alias("y"), (col(score).cast("double") + 0.0).alias("score"))
-    by_score = rows.groupBy(*map(col, g), "score").agg(F.count(F.lit(1)).alias("n"), F.count_if("y").alias("pos")).withColumn("bucket", score_bucket(F.col("score")))
+    by_score = rows.groupBy(*map(col, g), "score").agg(F.count(F.lit(1)).alias("n"), F.count_if("y").alias("pos")).withColumn("bucket", score_bucket(F.col("score"), per_doubling))
     sums = by_score.groupBy(*map(col, g), "bucket").agg(F.sum("n").alias("bn"), F.sum("pos").alias("bpos"))
     down = Window.partitionBy(*map(col, g)).orderBy(F.desc("bucket")) if g else Window.orderBy(F.desc("bucket"))
     above = down.rowsBetween(Window.unboundedPreceding, -1)

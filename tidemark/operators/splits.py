@@ -131,7 +131,7 @@ def reference_pool(eligible: DataFrame, everyone: DataFrame, fraction: float, ke
     bad = short.select("archetype").limit(5).collect()
     if bad:
         raise InvariantViolation(f"too few eligible accounts of {[r[0] for r in bad]}")
-    ranked = rank_in_groups(drawn, ["archetype"], F.floor(F.col("u") * 65_536), [F.col("u"), F.col("account_id")], "no")
+    ranked = rank_in_groups(drawn, ["archetype"], F.floor(F.col("u") * 4_096), [F.col("u"), F.col("account_id")], "no")
     return ranked.join(F.broadcast(goal), "archetype").filter("no <= goal").select("account_id")  # a row per archetype
 
 

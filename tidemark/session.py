@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,15 +65,26 @@ class Scratch:
     """Tables of one run, written to the shared folder.
 
     A written table survives the loss of executors and has a size that Spark knows from its files, so that a later
-    join broadcasts it only if it is below spark.sql.autoBroadcastJoinThreshold.
+    join broadcasts it only if it is below spark.sql.autoBroadcastJoinThreshold. Tables stay until the process ends, as
+    results read them lazily; a session that runs many queries should write each result and then close its scratch,
+    or use it in a `with` block, and Scratch.close_all deletes those of all runs.
     """
 
+    opened: ClassVar[list[Scratch]] = []
+
+
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
         self._made: dict[str, list[str]] = {}
         self._tables = 0
-        atexit.register(self.close)
+        self.__class__.opened.append(self)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -99,6 +111,13 @@ class Scratch:
     def close(self) -> None:
         """Delete all tables of the run; results that still read them are then no longer readable."""
         self._delete(self.root)
+        if self in self.opened:
+            self.opened.remove(self)
+
+    @classmethod
+    def close_all(cls) -> None:
+        for s in list(cls.opened):
+            s.close()
 
     def _delete(self, path: str) -> None:
         try:
@@ -110,3 +129,6 @@ class Scratch:
                 import shutil
 
                 shutil.rmtree(path[5:], ignore_errors=True)
+
+
+atexit.register(Scratch.close_all)
