@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from tidemark.llm.encodings import READ_AS, WRITTEN_IN, NgramModel, _scorer, a_word, byte_table, candidates, find_garbled, foreign, restore, spans_of
+from tidemark.llm.made_cases import made_cases, misread
 
 WORDS = {
     "de": "Die Wärmeleitfähigkeit übertrifft jede zulässige Störung außerhalb der Grenzschicht während der Abkühlung für größere Prüfkörper".split(),
@@ -242,3 +243,21 @@ def test_filling_is_exact():
         span = "".join(c for c in word.encode().decode("latin-1") if not "\x80" <= c < "\xa0")
         best = max((float(sum(model.step(("\x02\x02" + r + "\x03")[i : i + 3]) for i in range(len(r) + 1))), r) for r in set(readings(span)) if r != span)
         assert model.fill(span, keys) == best[1]
+
+
+def test_control_characters_are_telling(spark, scratch):
+    docs = [(i, f"{t} a – b", x) for i, t, x in corpus(random.Random(12))]
+    docs.append((9_400, "plain words \x96 and more", "en"))
+    df, g = found_in(spark, scratch, docs)
+    assert [r["restored"] for r in restore(df, g).collect()] == ["plain words – and more"]
+
+
+def test_made_cases_are_counted_by_chain(spark, scratch):
+    docs = corpus(random.Random(13), 200)
+    df = spark.createDataFrame([(i, t, "x") for i, t, _ in docs], "doc_id bigint, text string, chain string")
+    found = {(r["chain"], r["wholly"]): r for r in made_cases(df, scratch, sample=120).collect()}
+    utf8 = [r for (chain, _), r in found.items() if chain.startswith("utf_8")]
+    assert 100 <= sum(r["made"] for r in found.values()) <= 120 and all(r["restored"] <= r["found"] <= r["made"] for r in found.values())
+    assert sum(r["found"] for r in utf8) == sum(r["made"] for r in utf8) > 0
+    assert misread("für", "utf_8", "cp1252") == "fÃ¼r" and misread("für", "cp1251", "cp866") is None and misread("abc", "utf_8", "cp1252") is None
+    assert made_cases(df.limit(0), scratch).count() == 0

@@ -127,8 +127,10 @@ def _script(ch: str) -> str:
 
 
 def foreign(span: str) -> bool:
-    """Whether a word holds what does not belong in one: letters of two scripts, a symbol between letters, a capital after
-    a small letter, or a letter between digits, the latter three above ASCII."""
+    """Whether a span holds what does not belong in one: a control character from 0x80 on, letters of two scripts, a symbol
+    between letters, a capital after a small letter, or a letter between digits, the latter three above ASCII."""
+    if any("\x80" <= ch < "\xa0" for ch in span):
+        return True
     if len({_script(ch) for ch in span} - {""}) > 1:
         return True
     for before, ch, after in zip(span, span[1:], span[2:] + " "):
@@ -146,6 +148,11 @@ def a_word(span: str) -> bool:
     return sum(ch.isalnum() for ch in span) >= 2
 
 
+def telling(span: str) -> bool:
+    """A word, or a span with a control character from 0x80 on, which no text has unless bytes were read wrongly."""
+    return a_word(span) or any("\x80" <= ch < "\xa0" for ch in span)
+
+
 def candidates(span: str) -> list[tuple[str, str, int]]:
     """(text, chain, kind) of every chain that gives another text: kind 0 through UTF-8, kind 1 between single bytes.
 
@@ -404,7 +411,7 @@ def _scorer(model):
             types = (pa.float64(), pa.string(), pa.string())
             columns = [pa.array([x[kind][j] for x in best], types[j]) for kind in (0, 1) for j in range(3)]
             likelier = [x[1][0] is not None and x[1][0] > 0 for x in best]
-            columns.append(pa.array([yes and a_word(s) for s, yes in zip(spans, likelier, strict=True)], pa.bool_()))
+            columns.append(pa.array([yes and telling(s) for s, yes in zip(spans, likelier, strict=True)], pa.bool_()))
             columns.append(pa.array([yes and foreign(s) and not foreign(x[1][1]) for s, x, yes in zip(spans, best, likelier, strict=True)], pa.bool_()))
             pairs = pa.list_(pa.struct([("chain", pa.string()), ("margin", pa.float64())]))
             columns += [pa.array([[{"chain": c, "margin": g} for c, g in x[kind].items()] for x in credits], pairs) for kind in (0, 1)]
@@ -440,7 +447,7 @@ def find_garbled(
     least three spans that the same chain makes likelier by `together` in sum; a span counts for every chain that makes it
     likelier, by however little. The margins are in natural logarithms,
     for chains through UTF-8 and for those between single-byte encodings; between those, a span counts on its own only if
-    it is a word (a_word). The first is validated on the spans of documents held to be clean: if more than false_share of
+    it is a word or has a control character (telling). The first is validated on the spans of documents held to be clean: if more than false_share of
     their weight lies above the margin, it is raised until that is no more so. The second is validated for each chain, on
     documents that no chain through UTF-8 and no sum above `together` gives away: if more than false_share of the
     distinct spans that the chain can read, and more than three, lie above it, it is raised likewise for this chain.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.canon import ARCHETYPES, code_of, value_of
 from tidemark.llm.encodings import find_garbled, restore
 from tidemark.llm.grouped_splits import grouped_splits, linked_pairs
+from tidemark.llm.made_cases import made_cases
 from tidemark.llm.mixing import Mix, mix_sources
 from tidemark.llm.packing import fill_report, pack
 from tidemark.llm.quantiles import K, estimates, exact_percentiles, merge_sketches, rank_error, sketches
@@ -201,7 +202,12 @@ def p10_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_garbled(table(spark, sf_dir, "documents"), Scratch(spark, "p10")).shown
 
 
-QUERIES = {f.__name__: f for f in (p10_found, p10_restored, p10_shown, p4_found, p4_percentiles, p4_estimates, p4_bounds, p5_found, p5_splits, p5_checks, p8_found, p8_fill, p8_containers, p8_checks, p9_found, p9_shares, p9_plan, p9_checks)}
+def p10_made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many made cases of each chain are found and restored among all documents."""
+    return made_cases(table(spark, sf_dir, "documents"), Scratch(spark, "p10"))
+
+
+QUERIES = {f.__name__: f for f in (p10_found, p10_restored, p10_shown, p10_made, p4_found, p4_percentiles, p4_estimates, p4_bounds, p5_found, p5_splits, p5_checks, p8_found, p8_fill, p8_containers, p8_checks, p9_found, p9_shares, p9_plan, p9_checks)}
 
 _OWNED = """t AS (SELECT event_id, min(src_account_id) AS src_account_id, min(amount_minor) AS amount_minor FROM transactions GROUP BY event_id),
 a AS (SELECT account_id, min(owner_person_id) AS owner_person_id FROM accounts GROUP BY account_id),
