@@ -306,20 +306,34 @@ class NgramModel:
     def fill(self, span: str, keys: dict[str, list[str]]) -> str | None:
         """The likeliest reading of a span in which bytes were dropped: at each place one character stays or one to four
         stand for another. Exact, as a character's probability depends on the two before it, which are the state."""
-        layers: list[dict[tuple[str, bool], tuple[float, str]]] = [{} for _ in range(len(span) + 1)]
-        layers[0]["\x02\x02", False] = (0.0, "")
-        others = [[(n, ch, True) for n in (1, 2, 3, 4) if i + n <= len(span) for ch in keys.get(span[i : i + n], ())] if span[i] > "\x7f" else [] for i in range(len(span))]
+        size = len(span)
+        others = [[(i + n, ch) for n in (1, 2, 3, 4) if i + n <= size for ch in keys.get(span[i : i + n], ())] if span[i] > "\x7f" else () for i in range(size)]
         if not any(others):
             return None
-        for i, layer in enumerate(layers[:-1]):
-            options = others[i] if "\x7f" <= span[i] < "\xa0" else [(1, span[i], False), *others[i]]
-            for (two, changed), (score, done) in layer.items():
-                for n, ch, other in options:
-                    state = (two[1] + ch, changed or other)
-                    reached = (score + self.step(two + ch), done + ch)
-                    if state not in layers[i + n] or reached > layers[i + n][state]:
-                        layers[i + n][state] = reached
-        ends = [(score + self.step(two + "\x03"), done) for (two, changed), (score, done) in layers[-1].items() if changed and done != span]
+        # Per place what was reached with a change, by the last two characters; without any change there is one way only.
+        layers: list[dict[str, tuple[float, str]]] = [{} for _ in range(size + 1)]
+        known, step = self._steps, self.step
+        plain, before = 0.0, "\x02\x02"  # None once a control character stands before, which cannot stay
+
+        for i, ch in enumerate(span):
+            stays = not "\x7f" <= ch < "\xa0"
+            options = [(i + 1, ch), *others[i]] if stays else others[i]
+            ways = [(two, score, done, options) for two, (score, done) in layers[i].items()] if options else []
+            if plain is not None and others[i]:
+                ways.append((before, plain, span[:i], others[i]))
+            for two, score, done, mine in ways:
+                for at, other in mine:
+                    three = two + other
+                    gain = known.get(three)
+                    total = score + (step(three) if gain is None else gain)
+                    layer, state = layers[at], three[1:]
+                    old = layer.get(state)
+                    if old is None or total > old[0] or (total == old[0] and done + other > old[1]):
+                        layer[state] = (total, done + other)
+            if plain is not None:
+                plain = plain + step(before + ch) if stays else None
+                before = before[1] + ch
+        ends = [(score + step(two + "\x03"), done) for two, (score, done) in layers[-1].items() if done != span]
         return max(ends)[1] if ends else None
 
     def step(self, three: str) -> float:
@@ -399,15 +413,20 @@ def _scorer(model):
                         chains.append(f"utf_8>{codec} with bytes dropped")
                         kinds.append(0)
                         rows.append(i)
-            gains = lm.scores(texts) - base[rows] if texts else []
+            gains = lm.scores(texts) - base[rows] if texts else np.zeros(0)
             best: list[list] = [[(None, None, None)] * 2 for _ in spans]
             credits: list[list[dict]] = [[{}, {}] for _ in spans]
-            for gain, text, chain, kind, i in zip(gains, texts, chains, kinds, rows, strict=True):
+            # Only what is likelier than the span counts, and of the rest the best for each kind.
+            place = np.asarray(rows, dtype=np.int64) * 2 + np.asarray(kinds, dtype=np.int64)
+            most = np.full(2 * len(spans), -np.inf)
+            np.maximum.at(most, place, gains)
+            for c in np.flatnonzero((gains > 0) | (gains == most[place])).tolist():
+                gain, text, chain, kind, i = float(gains[c]), texts[c], chains[c], kinds[c], rows[c]
                 now = best[i][kind]
                 if now[0] is None or (gain, text) > (now[0], now[1]):
-                    best[i][kind] = (float(gain), text, chain.partition("|")[0])
+                    best[i][kind] = (gain, text, chain.partition("|")[0])
                 for one in chain.split("|") if gain > 0 else ():
-                    credits[i][kind][one] = max(float(gain), credits[i][kind].get(one, 0.0))
+                    credits[i][kind][one] = max(gain, credits[i][kind].get(one, 0.0))
             types = (pa.float64(), pa.string(), pa.string())
             columns = [pa.array([x[kind][j] for x in best], types[j]) for kind in (0, 1) for j in range(3)]
             likelier = [x[1][0] is not None and x[1][0] > 0 for x in best]
