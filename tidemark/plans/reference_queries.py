@@ -646,6 +646,24 @@ def settlement(spark, d):
     return settle(plan, T.accounts(spark, d), Scratch(spark, "settle"))
 
 
+@query(sql("t", "SELECT 'events' AS what, count(*) AS n FROM t UNION ALL SELECT unnest(['settled without funds', 'declined with funds', 'balances differ']), 0"))
+def settlement_checks(spark, d):
+    """(what, n): that the settlement is the right one. Balances are recomputed from its statuses; a status is right if it
+    is what the balance before it allows, and as each follows from earlier ones, all are right if none is wrong."""
+    scratch = Scratch(spark, "settle")
+    done = scratch.table(settlement(spark, d), "done")
+    shape = done.select("*", F.col("src_before").alias("src_balance_before_minor"), F.col("src_after").alias("src_balance_after_minor"), F.col("dst_before").alias("dst_balance_before_minor"), F.col("dst_after").alias("dst_balance_after_minor"))
+    led = running_total(sides(shape), "delta", "total").join(T.accounts(spark, d).select("account_id", "initial_balance_minor", "overdraft_limit_minor"), "account_id")
+    after = F.col("initial_balance_minor") + F.col("total")
+    fits = F.col("overdraft_limit_minor").isNull() | (after - F.col("delta") - F.col("amount_minor") >= -F.col("overdraft_limit_minor"))
+    settled, debit = F.col("status") == SETTLED, ~F.col("is_credit")
+    row = led.agg(
+        F.count_if(debit).alias("events"), F.count_if(debit & settled & ~fits).alias("settled without funds"), F.count_if(debit & ~settled & fits).alias("declined with funds"),
+        F.count_if((after != F.col("after")) | (after - F.col("delta") != F.col("before"))).alias("balances differ"),
+    )
+    return row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("what"), F.col(f"`{c}`").alias("n")) for c in row.columns))).alias("x")).select("x.*")
+
+
 # Descriptive tables
 
 

@@ -105,7 +105,8 @@ def generate(spark: SparkSession, cfg: GeneratorConfig, scratch: Scratch, settle
         "ips": ips,
     }
     tables = pop.tables | more | truth | {"accounts": accounts, "transactions": transactions, "logins": logins}
-    tables = {n: scratch.table(conform(n, tables[n]), f"final_{n}") for n in REGISTRY}
+    # Written first, so that conforming reads files and does not make each table twice.
+    tables = {n: conform(n, scratch.table(tables[n], f"final_{n}")) for n in REGISTRY}
     if check:
         v = cfg["validation"]
         # A member belongs to one network, but the phases of a network with several rounds follow each other per account, so intervals are cut in _truth.
