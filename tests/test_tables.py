@@ -111,3 +111,13 @@ def test_time(spark):
             TimeBase(*bad)
     df = spark.createDataFrame([(-1,), (5 * 86_400 + 4 * 3_600,)], "ts bigint").select(day_of("ts"), hour_of("ts"), is_weekend("ts"), is_night("ts"))
     assert rows(df) == [(-1, 23, True, False), (5, 4, True, True)]
+
+
+def test_forbidden_nulls_are_seen_in_the_files(spark, tmp_path):
+    spark.createDataFrame([(1, 2), (2, None)], "atm_id bigint, region smallint").write.parquet(f"{tmp_path}/atms.parquet")
+    with pytest.raises(SchemaError, match="region"):
+        files.read_table(spark, "atms", str(tmp_path))
+    with pytest.raises(SchemaError, match="region"):
+        files.read_columns(spark, "atms", str(tmp_path), ["region"])
+    assert files.read_columns(spark, "atms", str(tmp_path), ["atm_id"]).count() == 2
+    assert "parquet" in spark.conf.get("spark.sql.sources.useV1SourceList") and spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"

@@ -786,11 +786,11 @@ def rule(spark, d):
     return spark.createDataFrame(list(found.items()), "criterion string, holds boolean")
 
 
-@query(sql("t a b", "").rstrip() + f", {_SCORED}, f AS (SELECT avg(ln(1 + n)) AS m, stddev_pop(ln(1 + n)) AS s FROM sc) SELECT account_id, (ln(1 + n) - m) / s AS n FROM sc, f")
+@query(sql("t a b", "").rstrip() + f", {_SCORED}, f AS (SELECT avg(ln(1 + n)) AS m, stddev_pop(ln(1 + n)) AS s FROM sc) SELECT account_id, round((ln(1 + n) - m) / s, 6) AS n FROM sc, f")
 def standardised(spark, d):
     """Values brought to mean 0 and deviation 1 by what was fitted."""
     rows = Scratch(spark, "scaling").table(scored_accounts(spark, d), "scored")
-    return metrics.scaled(rows, metrics.fit_scaling(rows, ["n"])).select("account_id", "n")
+    return metrics.scaled(rows, metrics.fit_scaling(rows, ["n"])).select("account_id", F.round("n", 6).alias("n"))
 
 
 @query(sql("t a b", "").rstrip() + f", {_SCORED} SELECT avg(ln(1 + n)) AS mean_n, stddev_pop(ln(1 + n)) AS sd_n, avg(ln(1 + total)) AS mean_total, stddev_pop(ln(1 + total)) AS sd_total FROM sc")
