@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.errors import ConfigError, FutureAccessError
 from tidemark.functions.timebase import DAY, HOUR, day_of, is_night
 from tidemark.operators.grid import HOLD_CAP
-from tidemark.operators.sides import SETTLED, last_before, order_number, sides
+from tidemark.operators.sides import SETTLED, order_number, sides
 
 
 def check_cutoffs(cutoffs: DataFrame, accounts: DataFrame, sim_end: int) -> None:
@@ -37,39 +37,60 @@ def in_windows(cutoffs: DataFrame, events: DataFrame, window_days: int) -> DataF
     return spread.join(e, (F.col("c_account") == F.col("account_id")) & (F.col("c_day") == F.col("e_day")) & (F.col("ts") > start) & (F.col("ts") <= F.col("t"))).drop("c_account", "c_day", "e_day")
 
 
+#: What a row of window_features is, of a transaction's side, a login, or a bound; bounds are the highest.
+CREDIT, DEBIT, ATM, DECLINED, DEVICE, IP, START, CUTOFF = range(8)
+
+
 def window_features(cutoffs: DataFrame, transactions: DataFrame, logins: DataFrame, windows: Sequence[int] = (7, 30)) -> DataFrame:
     """(row_id, features): the windowed features of the grid over (t - w days, t] for each cutoff (row_id, account_id, t).
 
-    Each cutoff meets the events of its widest window once; what lies in a narrower one is told by the time. Events
-    become one row per cutoff and counterparty (device, IP) with the latest time, which gives the distinct ones of
-    every window, and then one row per cutoff.
+    The starts and ends of all windows of an account cut its time into pieces, so each window is whole pieces. Events
+    and bounds go by account once, each event goes to its piece only, and windows run over one row per piece: nothing
+    is repeated for the cutoffs that see it, and no table is joined whose size Spark takes for that of a smaller one. A
+    key counts from its piece until it comes again in a later one or leaves the window. All of an account's rows are
+    sorted in one task, which spills.
     """
-    wanted = cutoffs.select("account_id").distinct()
-    own = sides(transactions, ("txn_type",)).join(wanted, "account_id", "left_semi")
-    settled, credit, amount = F.col("status") == SETTLED, F.col("is_credit"), F.col("amount_minor")
-    own = last_before(own, F.when(settled & credit, F.col("ts")), "credit_ts")
+    settled, credit = F.col("status") == SETTLED, F.col("is_credit")
+    code = F.when(settled & credit, CREDIT).when(settled & (F.col("txn_type") == "ATM_WITHDRAWAL"), ATM).when(settled, DEBIT).when(~settled & ~credit, DECLINED)
+    key = F.when(settled & (F.col("txn_type") == "TRANSFER"), F.col("counterparty_id"))
+    moved = sides(transactions, ("txn_type",)).select("account_id", "ts", code.alias("code"), key.alias("key"), "event_id", "amount_minor").filter("code IS NOT NULL")
+    used = F.explode(F.array(F.struct(F.lit(DEVICE).alias("code"), F.col("device_id").alias("key")), F.struct(F.lit(IP).alias("code"), F.col("ip_id").alias("key"))))
+    entered = logins.filter("outcome = 'SUCCESS'").select("account_id", "ts", used.alias("u")).select("account_id", "ts", "u.*")
+    bound = F.explode(F.array(F.struct(F.col("t").alias("ts"), F.lit(CUTOFF).alias("code")), *(F.struct((F.col("t") - w * DAY).alias("ts"), F.lit(START).alias("code")) for w in windows)))
+    bounds = cutoffs.select("account_id", bound.alias("b")).select("account_id", "b.*")
+    rows = moved.unionByName(entered, allowMissingColumns=True).unionByName(bounds, allowMissingColumns=True).filter("account_id IS NOT NULL AND ts IS NOT NULL")
+    whole = Window.unboundedPreceding
+    # The bound at or after a row ends its piece; rows after an account's last bound are in no window.
+    back = Window.partitionBy("account_id").orderBy(F.desc("ts"), F.desc("code")).rowsBetween(whole, Window.currentRow)
+    rows = rows.withColumn("piece", F.min(F.when(F.col("code") >= START, F.col("ts"))).over(back)).filter((F.col("code") != START) & F.col("piece").isNotNull())
+    earlier = Window.partitionBy("account_id").orderBy("ts", "event_id", F.col("code") == CREDIT).rowsBetween(whole, -1)
+    rows = rows.withColumn("credit_ts", F.max(F.when(F.col("code") == CREDIT, F.col("ts"))).over(earlier))
+    rows = rows.withColumn("again", F.lead("piece").over(Window.partitionBy("account_id", "code", "key").orderBy("piece")))
+    rows = rows.withColumn("counts", F.col("key").isNotNull() & ~F.col("again").eqNullSafe(F.col("piece")))
+    comes = F.struct(F.col("piece").alias("at"), F.lit(0).alias("leaves"))
+    leaves = [F.struct(F.least(F.col("again"), F.col("piece") + w * DAY).alias("at"), F.lit(i).alias("leaves")) for i, w in enumerate(windows, 1)]
+    rows = rows.withColumn("m", F.explode(F.when(F.col("counts"), F.array(comes, *leaves)).otherwise(F.array(comes)))).select("*", "m.*")
+    amount, here = F.col("amount_minor"), F.col("leaves") == 0
     hold = F.least(F.coalesce(F.col("ts") - F.col("credit_ts"), F.lit(HOLD_CAP)), F.lit(HOLD_CAP))
-    out = settled & ~credit
+    came, out, moves = F.col("code") == CREDIT, F.col("code").isin(DEBIT, ATM), F.col("code").isin(CREDIT, DEBIT, ATM)
     money = {
-        "a_in": (settled & credit, amount), "a_out": (out, amount), "n": (settled, F.lit(1)), "held": (out, amount.cast("double") * hold), "atm": (out & (F.col("txn_type") == "ATM_WITHDRAWAL"), amount),
-        "night": (settled & is_night("ts"), F.lit(1)), "declined": (~settled & ~credit, F.lit(1)),
+        "a_in": (came, amount), "a_out": (out, amount), "n": (moves, F.lit(1)), "held": (out, amount.cast("double") * hold), "atm": (F.col("code") == ATM, amount),
+        "night": (moves & is_night("ts"), F.lit(1)), "declined": (F.col("code") == DECLINED, F.lit(1)),
     }
-    key = F.when(settled & (F.col("txn_type") == "TRANSFER"), F.col("counterparty_id"))
-    inside = {w: F.col("ts") > F.col("t") - w * DAY for w in windows}
-    first = [F.sum(F.when(cond & inside[w], what).otherwise(0)).alias(f"{name}_{w}") for name, (cond, what) in money.items() for w in windows]
-    first += [F.max(F.when(settled & inside[w], amount)).alias(f"largest_{w}") for w in windows]
-    met = in_windows(cutoffs, own, max(windows)).groupBy("row_id", credit, key.alias("key")).agg(*first, F.max(F.col("ts") - F.col("t")).alias("latest"))
-
-    def distinct(w: int, cond):
-        return F.count_if(F.col("key").isNotNull() & cond & (F.col("latest") > -w * DAY))
-
-    second = [F.sum(f"{name}_{w}").alias(f"{name}_{w}") for name in money for w in windows] + [F.max(f"largest_{w}").alias(f"largest_{w}") for w in windows]
-    second += [distinct(w, credit).alias(f"in_{w}") for w in windows] + [distinct(w, ~credit).alias(f"out_{w}") for w in windows]
-    totals = met.groupBy("row_id").agg(*second)
-    entered = in_windows(cutoffs, logins.filter("outcome = 'SUCCESS'").select("account_id", "ts", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("device_id").alias("key")), F.struct(F.lit(1).alias("kind"), F.col("ip_id").alias("key")))).alias("u")), max(windows))
-    used = entered.groupBy("row_id", "u.kind", "u.key").agg(F.max(F.col("ts") - F.col("t")).alias("latest"))
-    used = used.groupBy("row_id").agg(*(distinct(w, F.col("kind") == k).alias(f"{name}_{w}") for k, name in enumerate(("devices", "ips")) for w in windows))
-    result = cutoffs.select("row_id").join(totals, "row_id", "left").join(used, "row_id", "left")
+    kinds = {"in": CREDIT, "out": DEBIT, "devices": DEVICE, "ips": IP}
+    sums = [F.sum(F.when(here & cond, what).otherwise(0)).alias(name) for name, (cond, what) in money.items()]
+    changes = [
+        F.sum(F.when(F.col("counts") & (F.col("code") == kind), F.when(here, 1).when(F.col("leaves") == i, -1)).otherwise(0)).alias(f"{name}_{w}")
+        for name, kind in kinds.items()
+        for i, w in enumerate(windows, 1)
+    ]
+    pieces = rows.groupBy("account_id", "at").agg(*sums, F.max(F.when(here & moves, amount)).alias("largest"), *changes, F.max(here & (F.col("code") == CUTOFF)).alias("asked"))
+    by_time = Window.partitionBy("account_id").orderBy("at")
+    inside = {w: by_time.rangeBetween(1 - w * DAY, Window.currentRow) for w in windows}
+    found = [F.sum(name).over(inside[w]).alias(f"{name}_{w}") for w in windows for name in money] + [F.max("largest").over(inside[w]).alias(f"largest_{w}") for w in windows]
+    found += [F.sum(f"{name}_{w}").over(by_time.rangeBetween(whole, Window.currentRow)).alias(f"{name}_{w}") for w in windows for name in kinds]
+    seen = pieces.select(F.col("account_id").alias("__account"), F.col("at").alias("__at"), "asked", *found).filter("asked").drop("asked")
+    result = cutoffs.select("row_id", "account_id", "t").join(seen.hint("merge"), (F.col("account_id") == F.col("__account")) & (F.col("t") == F.col("__at")), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     columns = []
     for w in windows:
