@@ -14,6 +14,7 @@ from tidemark.errors import ConfigError
 from tidemark.functions.canon import col
 from tidemark.functions.keyed import stable_key, with_keyed_uniform
 from tidemark.operators.truth import OracleTargets, require_oracle
+from tidemark.session import Scratch
 
 
 def score_bucket(score: Column, per_doubling: int = 1 << 16) -> Column:
@@ -50,9 +51,18 @@ def average_precision_by(df: DataFrame, groups: Sequence[str], y: str = "y", sco
     return ranked.groupBy(*map(col, g)).agg(F.max("positives").alias("positives"), F.sum(part).alias("ap"))
 
 
+def _scored(targets: OracleTargets, scores: DataFrame) -> DataFrame:
+    """Targets from full truth with their scores (account_id, t, score).
+
+    Scores are as many as the points, which Spark takes for as few as the accounts that were repeated for each day, so
+    they are never broadcast.
+    """
+    return require_oracle(targets).join(scores.hint("merge"), ["account_id", "t"])
+
+
 def average_precision(targets: OracleTargets, scores: DataFrame) -> float:
     """AP of scores (account_id, t, score) on targets from full truth; raises without positives or with a score that is not finite."""
-    rows = require_oracle(targets).join(scores, ["account_id", "t"])
+    rows = _scored(targets, scores)
     bad = rows.agg(F.count_if(F.col("score").isNull() | F.isnan("score") | (F.abs("score") == float("inf")))).first()[0]
     if bad:
         raise ValueError(f"{bad} scores are not finite")
@@ -68,10 +78,12 @@ def top_k(df: DataFrame, k: int, score: str, row_id: Sequence[str]) -> DataFrame
 
 
 def recall_at_k(targets: OracleTargets, scores: DataFrame, k: int) -> float:
-    """Share of the positives among the k highest scores; NaN without positives."""
-    rows = require_oracle(targets).join(scores, ["account_id", "t"])
-    whole = rows.agg(F.count_if("y")).first()[0]
-    return top_k(rows, k, "score", ["account_id", "t"]).agg(F.count_if("y")).first()[0] / whole if whole else math.nan
+    """Share of the positives among the k highest scores; NaN without positives. The join is made once and written."""
+    rows = _scored(targets, scores).select("account_id", "t", "y", "score")
+    with Scratch(rows.sparkSession, "recall") as scratch:
+        rows = scratch.table(rows, "scored")
+        whole = rows.agg(F.count_if("y")).first()[0]
+        return top_k(rows, k, "score", ["account_id", "t"]).agg(F.count_if("y")).first()[0] / whole if whole else math.nan
 
 
 def single_feature_ap(df: DataFrame, features: Sequence[str], y: str = "y") -> DataFrame:

@@ -41,13 +41,14 @@ def overlapping(points: DataFrame, intervals: DataFrame, cond: Column, first: Co
     """points with y: whether an interval of the same account meets cond. points has account_id and t.
 
     Points and intervals meet by account and slice of time, so the points of a busy account spread over its slices; an
-    interval is given to the slices from first to last.
+    interval is given to the slices from first to last. Spark takes repeated rows for as few as those they came from, so
+    neither the intervals' slices nor the points that are hit are ever broadcast.
     """
     i = intervals.withColumn("i_slice", F.explode(F.sequence(F.floor(first / slice_seconds), F.floor(last / slice_seconds)))).withColumnRenamed("account_id", "i_account")
     p = points.withColumn("p_slice", F.floor(F.col("t") / slice_seconds))
     same = (F.col("account_id") == F.col("i_account")) & (F.col("p_slice") == F.col("i_slice")) & cond
-    hit = p.join(i, same, "left_semi").select("account_id", "t").distinct().withColumn("y", F.lit(True))
-    return points.join(hit, ["account_id", "t"], "left").withColumn("y", F.coalesce("y", F.lit(False)))
+    hit = p.join(i.hint("merge"), same, "left_semi").select("account_id", "t").distinct().withColumn("y", F.lit(True))
+    return points.join(hit.hint("merge"), ["account_id", "t"], "left").withColumn("y", F.coalesce("y", F.lit(False)))
 
 
 class OracleLabels:
